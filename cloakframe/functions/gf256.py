@@ -12,36 +12,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@cache
+def _logs() -> tuple[list[int], list[int]]:
+    """Powers of the generator 3, and their logarithms (0 has none; its slot is unused)."""
+    power, log = [1], [0] * 256
+    for i in range(1, 255):
+        last = power[-1]
+        doubled = (last << 1) ^ (0x11B if last & 0x80 else 0)
+        power.append(doubled ^ last)
+        log[power[i]] = i
+    return power, log
+
+
+def _power(i: Column) -> Column:
+    return F.get(F.lit(_logs()[0]), i % 255)
+
+
+def _log(a: Column) -> Column:
+    return F.get(F.lit(_logs()[1]), a)
+
+
 def gf_mul(a: Column, b: Column) -> Column:
     """Product of two integer columns in 0..255."""
-    step = F.aggregate(
-        F.sequence(F.lit(0), F.lit(7)),
-        F.struct(F.lit(0).alias("p"), a.cast("int").alias("x")),
-        lambda s, i: F.struct(
-            F.when(F.getbit(b.cast("int"), i) == 1, s["p"].bitwiseXOR(s["x"]))
-            .otherwise(s["p"])
-            .alias("p"),
-            F.when(
-                s["x"] >= 128,
-                F.shiftleft(s["x"], 1).bitwiseXOR(F.lit(0x11B)),
-            )
-            .otherwise(F.shiftleft(s["x"], 1))
-            .alias("x"),
-        ),
-    )
-    return step["p"]
+    return F.when((a == 0) | (b == 0), F.lit(0)).otherwise(_power(_log(a) + _log(b)))
 
 
 def gf_inverse(a: Column) -> Column:
-    """Multiplicative inverse: a^254 by square and multiply; 0 maps to 0."""
-    powers = F.aggregate(
-        F.sequence(F.lit(1), F.lit(7)),
-        F.struct(F.lit(1).alias("r"), gf_mul(a, a).alias("sq")),
-        lambda s, _: F.struct(
-            gf_mul(s["r"], s["sq"]).alias("r"), gf_mul(s["sq"], s["sq"]).alias("sq")
-        ),
-    )
-    return powers["r"]
+    """Multiplicative inverse; 0 maps to 0."""
+    return F.when(a == 0, F.lit(0)).otherwise(_power(255 - _log(a)))
 
 
 def gf_div(a: Column, b: Column) -> Column:

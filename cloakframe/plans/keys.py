@@ -9,6 +9,7 @@ from __future__ import annotations
 import secrets
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,16 +61,16 @@ class KeyRing:
 
     def public_frame(self, spark: SparkSession) -> DataFrame:
         """The key registry without secrets."""
-        rows = [(k.kid, k.status, k.hash_alg, k.cipher_alg) for k in self.keys.values()]
-        return spark.createDataFrame(
-            rows, "kid string, status string, hash_alg string, cipher_alg string"
-        )
+        names = ["kid", "status", "hash_alg", "cipher_alg"]
+        rows = {n: [getattr(k, n) for k in self.keys.values()] for n in names}
+        schema = pa.schema([(n, pa.string()) for n in names])
+        return spark.createDataFrame(pa.table(rows, schema=schema))
 
 
 def one_row(spark: SparkSession, values: dict, schema: T.StructType) -> Column:
     """A struct Column backed by a one-row table; usable in batch and streaming plans."""
     row = [tuple(values[f.name] for f in schema.fields)]
-    table = spark.createDataFrame(row, schema)
+    table = spark.createDataFrame(spark.sparkContext.parallelize(row, 1), schema)
     return table.select(F.struct(*[F.col(f.name) for f in schema.fields])).scalar()
 
 

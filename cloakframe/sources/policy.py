@@ -118,4 +118,5 @@ def policy_from_text(spark: SparkSession, text: str) -> dict[str, DataFrame]:
     """The sections of a JSON text held by the caller."""
     if len(text.encode()) > POLICY_MAX_BYTES:
         raise ValueError(f"policy document exceeds {POLICY_MAX_BYTES} bytes")
-    return local_sections(parse_policy(spark.createDataFrame([(text,)], "doc string"), "doc"))
+    held = spark.createDataFrame(pa.table({"doc": pa.array([text], pa.string())}))
+    return local_sections(parse_policy(held, "doc"))
