@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions.digests import hmac_hex, python_hash
 from cloakframe.functions.text import object_json, sanitize, utf8
 from cloakframe.plans.ordering import carry_between, join_carried, row_numbers
-from cloakframe.plans.runtime import ship_package
+from cloakframe.plans.runtime import cut_lineage, ship_package
 from cloakframe.sources.audit_log import (
     BODY_FIELDS,
     CHECKPOINT_EVERY,
@@ -101,6 +101,7 @@ def build_chain(
     segment: int = CHECKPOINT_EVERY,
     alg: str = DEFAULT_HASH,
     strategy: str = "auto",
+    materialize: bool = True,
 ) -> DataFrame:
     """Chain the events of each key in ``order`` (unique per key).
 
@@ -137,9 +138,10 @@ def build_chain(
     schema = schema.add("prev_hash", "string").add("event_hash", "string")
     linked = ordered.mapInArrow(link_batches(alg), schema)
     linked = linked.withColumn("_r", F.struct(*[F.col(n).alias(n) for n in RECORD_FIELDS]))
-    return linked.withColumns(
+    built = linked.withColumns(
         {"place": F.col("sequence") * 2, "line": json_of("_r", RECORD_FIELDS)}
     ).drop("_r")
+    return cut_lineage(built) if materialize else built
 
 
 def checkpoint_seal(fields: dict[str, Column], pads: Column) -> Column:
@@ -264,22 +266,22 @@ def link_lines(parsed: DataFrame, seal: Column | None = None) -> DataFrame:
 
 def _slim(parsed: DataFrame, seal: Column | None) -> DataFrame:
     """The few fields linking needs, so that only they are shuffled."""
-    rec, cp = F.col("rec"), F.col("cp")
+    doc, is_checkpoint = F.col("doc"), F.col("kind") == "checkpoint"
     seal_bad = F.lit(False)
     if seal is not None:
-        fields = {n: cp[n] for n in ["chain_id", "created_at", "head_hash", "last_sequence"]}
-        seal_bad = F.lower(cp["seal"]) != checkpoint_seal(fields, seal)
+        fields = {n: doc[n] for n in ["chain_id", "created_at", "head_hash", "last_sequence"]}
+        seal_bad = is_checkpoint & (F.lower(doc["seal"]) != checkpoint_seal(fields, seal))
     return parsed.select(
         "log",
         "_blk",
         "_at",
         "kind",
         "reason",
-        F.coalesce(rec["event"] == GENESIS_EVENT, F.lit(False)).alias("_genesis"),
-        F.coalesce(rec["chain_id"], cp["chain_id"]).alias("chain_id"),
-        F.coalesce(rec["sequence"], cp["last_sequence"]).alias("sequence"),
-        F.coalesce(rec["event_hash"], cp["head_hash"]).alias("hash"),
-        rec["prev_hash"].alias("prev_hash"),
+        F.coalesce(doc["event"] == GENESIS_EVENT, F.lit(False)).alias("_genesis"),
+        doc["chain_id"].alias("chain_id"),
+        F.when(is_checkpoint, doc["last_sequence"]).otherwise(doc["sequence"]).alias("sequence"),
+        F.when(is_checkpoint, doc["head_hash"]).otherwise(doc["event_hash"]).alias("hash"),
+        doc["prev_hash"].alias("prev_hash"),
         seal_bad.alias("_seal_bad"),
     )
 

@@ -19,7 +19,7 @@ from cloakframe.functions.text import (
     to_hex,
     utf8,
 )
-from cloakframe.plans.jobs import finish, lifecycle_error
+from cloakframe.plans.jobs import compute_once, finish, lifecycle_error
 from cloakframe.plans.policy import Policy
 
 AUTH_FAILED = "message authentication failed"
@@ -152,7 +152,7 @@ def _opened(df: DataFrame, col: str, secret: Column) -> tuple[DataFrame, Column]
     """Frame with ``_shape`` and ``_plain``; the second value is the full error column."""
     made = df.withColumn("_shape", _open_error(F.col(col), secret))
     plain = F.when(F.col("_shape").isNull(), _open(F.col(col), secret))
-    made = made.withColumn("_plain", plain)
+    made = compute_once(made, {"_plain": plain})
     failed = F.col(col).isNotNull() & F.col("_plain").isNull()
     problem = first_error(
         F.col("_shape"), error_when(failed, "invalid_input", AUTH_FAILED)

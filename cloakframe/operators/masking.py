@@ -61,16 +61,16 @@ def mask_by_profile(
     on_error: str = "quarantine",
     pos: str | None = None,
 ):
-    """Mask with a profile named per row; the policy-sized profile table is broadcast."""
+    """Mask with a profile named per row; the profile table has the size of a policy."""
     profiles = policy.tables["masking_profiles"].join(
-        F.broadcast(policy.key_frame().select("kid", F.col("status").alias("key_status"))),
+        policy.key_frame().select("kid", F.col("status").alias("key_status")),
         "kid",
         "left",
     )
     packed = profiles.select(
         F.col("name").alias("_name"), F.struct(*profiles.columns).alias("_mask")
     )
-    joined = df.join(F.broadcast(packed), F.col(profile_col) == F.col("_name"), "left")
+    joined = df.join(packed, F.col(profile_col) == F.col("_name"), "left")
     problem = first_error(
         error_when(F.col("_name").isNull(), "invalid_input", "masking profile not found"),
         mask_error(col, F.col("_mask")),

@@ -1,7 +1,6 @@
 """P-13, A-2, J-8, A-6: rules over policy tables.
 
-Policy tables are bounded by the size limit of the policy document, so broadcasts of
-them are safe whatever the data volume.
+A policy is bounded by the size limit of its document; frames made from many policies work too.
 """
 
 from __future__ import annotations

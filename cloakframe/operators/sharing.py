@@ -24,7 +24,7 @@ from cloakframe.functions.text import (
     to_base64url,
     utf8,
 )
-from cloakframe.plans.jobs import lifecycle_error
+from cloakframe.plans.jobs import compute_once, lifecycle_error
 from cloakframe.plans.policy import Policy
 from cloakframe.plans.runtime import ship_package
 
@@ -157,7 +157,7 @@ def split_secret(
             "plaintext exceeds sharing profile maximum length",
         ),
     )
-    made = df.withColumn("error", problem)
+    made = compute_once(df, {"error": problem})
     ok = F.col("error").isNull() & F.col(col).isNotNull()
     made = made.withColumn(
         "set_id",
@@ -194,9 +194,8 @@ def decode_share(df: DataFrame, col: str, profile: str, policy: Policy) -> DataF
     c = F.col(col)
     raw = from_base64url(F.substr(c, F.lit(len(SHARE_PREFIX) + 1)))
     e = F.col("_e")
-    made = df.withColumn("_raw", raw).withColumn(
-        "_e", F.from_json(F.col("_raw").cast("string"), ENVELOPE)
-    )
+    made = df.withColumn("_raw", raw)
+    made = compute_once(made, {"_e": F.from_json(F.col("_raw").cast("string"), ENVELOPE)})
     made = made.withColumn("_y", from_base64url(e["share"]))
     fields = {
         "index": e["index"],
@@ -239,7 +238,7 @@ def decode_share(df: DataFrame, col: str, profile: str, policy: Policy) -> DataF
             "share payload length does not match sharing profile",
         ),
     )
-    return made.withColumn("error", problem)
+    return compute_once(made, {"error": problem})
 
 
 def combine_shares(

@@ -25,7 +25,13 @@ from cloakframe.functions.text import (
     utf8,
 )
 from cloakframe.operators.batches import duplicate_refs
-from cloakframe.plans.jobs import JobError, finish, first_failure, lifecycle_error
+from cloakframe.plans.jobs import (
+    JobError,
+    compute_once,
+    finish,
+    first_failure,
+    lifecycle_error,
+)
 from cloakframe.plans.policy import Policy
 from cloakframe.sources.tables import SnapshotTable, consume
 
@@ -109,7 +115,9 @@ def tokenize(
     )
     raw = keyed_random(run, f"token|{profile}", spec["token_len"], ref, col)
     token = F.concat(F.lit(spec["token_prefix"] + "_"), to_base64url(raw))
-    done = finish(df, {"token": token}, problem, "null", None)
+    done = compute_once(df, {"error": problem})
+    done = done.withColumn("token", F.when(F.col("error").isNull(), token))
+    done = done.select(*[c for c in done.columns if c != "error"], "error")
 
     payload = object_json(
         {
@@ -119,12 +127,14 @@ def tokenize(
             "profile": secret["name"],
         }
     )
-    stored = (
-        done.filter(F.col("token").isNotNull() & F.col(col).isNotNull())
-        .withColumn("hashid", token_hash(F.col("token"), secret))
-        .withColumn("_aad", _data_aad(secret, F.col("hashid")))
-        .withColumn("_nonce", keyed_random(run, f"vault|{profile}", NONCE_BYTES, ref, col))
-    )
+    stored = done.filter(F.col("error").isNull() & F.col(col).isNotNull())
+    stored = compute_once(
+        stored,
+        {
+            "hashid": token_hash(F.col("token"), secret),
+            "_nonce": keyed_random(run, f"vault|{profile}", NONCE_BYTES, ref, col),
+        },
+    ).withColumn("_aad", _data_aad(secret, F.col("hashid")))
     sealed = gcm_encrypt(
         utf8(payload), secret["data_key"], F.col("_nonce"), utf8(F.col("_aad"))
     )
@@ -135,6 +145,13 @@ def tokenize(
     return done, vault
 
 
+def _hashed(df: DataFrame, token_col: str, spec: dict, secret: Column) -> DataFrame:
+    """Add ``_shape`` (what is wrong with the token), ``hashid`` and ``kid``."""
+    made = compute_once(df, {"_shape": token_error(token_col, spec, secret)})
+    hashid = F.when(F.col("_shape").isNull(), token_hash(F.col(token_col), secret))
+    return compute_once(made, {"hashid": hashid}).withColumn("kid", F.lit(spec["kid"]))
+
+
 def vault_lookup(df: DataFrame, table: SnapshotTable, version: int | None = None) -> DataFrame:
     """J-6: left join of ``(kid, hashid)`` rows with the vault; ``data`` is NULL when missing.
 
@@ -157,18 +174,15 @@ def detokenize(
 ):
     """Adds ``plaintext`` and ``metadata``. Rows with a malformed token skip the vault."""
     spec, secret = policy.profile("token", profile), policy.column("token", profile)
-    made = df.withColumn("_shape", token_error(token_col, spec, secret))
-    made = made.withColumn(
-        "hashid",
-        F.when(F.col("_shape").isNull(), token_hash(F.col(token_col), secret)),
-    ).withColumn("kid", F.lit(spec["kid"]))
+    made = _hashed(df, token_col, spec, secret)
     found = vault_lookup(made, table, version)
     parts = F.split("data", "\\.")
     raw = [from_base64(F.get(parts, F.lit(i))) for i in range(3)]
     plain = from_utf8(gcm_decrypt(raw[0], secret["data_key"], raw[1], raw[2]))
     aad_ok = from_utf8(raw[2]) == _data_aad(secret, F.col("hashid"))
-    found = found.withColumn("_aad_ok", aad_ok).withColumn(
-        "_payload", F.from_json(F.when(F.col("_aad_ok"), plain), PAYLOAD)
+    found = found.withColumn("_aad_ok", aad_ok)
+    found = compute_once(
+        found, {"_payload": F.from_json(F.when(F.col("_aad_ok"), plain), PAYLOAD)}
     )
     asked = F.col("hashid").isNotNull()
     stored = F.col("data").isNotNull()
@@ -220,13 +234,8 @@ def redeem_once(
     if not spec["one_time"]:
         raise JobError("tokenization profile is not one-time")
     version = table.version()
-    hashed = df.select(
-        F.lit(0).alias("_batch"),
-        F.col(pos).cast("long").alias("_pos"),
-        F.lit(spec["kid"]).alias("kid"),
-        F.when(
-            token_error(token_col, spec, secret).isNull(), token_hash(F.col(token_col), secret)
-        ).alias("hashid"),
+    hashed = _hashed(df, token_col, spec, secret).select(
+        F.lit(0).alias("_batch"), F.col(pos).cast("long").alias("_pos"), "kid", "hashid"
     )
     repeat = duplicate_refs(hashed, "hashid", ["_batch"], "_pos").first()
     if repeat is not None:

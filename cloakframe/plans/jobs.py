@@ -23,6 +23,17 @@ class JobError(ValueError):
     """Raised by ``on_error='fail'``: the whole frame is refused for its first bad row."""
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter on a projected column is pushed below the projection and computes it a second
+    time, however costly it is. Rows of a one-element array are a barrier to that.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[made.alias(name) for name, made in columns.items()])
+    return df.select(*kept, F.inline_outer(F.array(row)))
+
+
 def lifecycle_error(status: Column, use: str) -> Column:
     """P-12: ``new`` needs an active key, ``verify`` an active or retired one."""
     if use not in ("new", "verify"):
@@ -44,11 +55,13 @@ def finish(
     ``quarantine`` two frames: good rows, and rejected rows with the reason
     ``fail``       all or nothing: raise for the first bad row in ``pos`` order
     """
-    out = df.withColumn("error", problem)
+    if on_error == "null":
+        out = df.withColumn("error", problem)
+    else:
+        out = compute_once(df, {"error": problem})
     ok = F.col("error").isNull()
     out = out.withColumns({name: F.when(ok, made) for name, made in outputs.items()})
-    names = [c for c in out.columns if c != "error"]
-    out = out.select(*names, "error")
+    out = out.select(*[c for c in out.columns if c != "error"], "error")
     if on_error == "null":
         return out
     if on_error == "quarantine":
@@ -111,6 +124,7 @@ def validate_rows(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
 
 __all__ = [
     "JobError",
+    "compute_once",
     "error_when",
     "finish",
     "first_error",

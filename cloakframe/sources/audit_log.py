@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from cloakframe.functions import predicates as P
 from cloakframe.functions.digests import digest_hex
 from cloakframe.functions.text import utf8
+from cloakframe.plans.jobs import compute_once
 
 # Fixed values of the record format.
 RECORD_VERSION = "cf-audit-v1"
@@ -57,6 +58,13 @@ def field_names(ddl: str) -> list[str]:
 RECORD_FIELDS = field_names(RECORD)
 BODY_FIELDS = [f for f in RECORD_FIELDS if f != "event_hash"]
 CHECKPOINT_FIELDS = field_names(CHECKPOINT)
+_DOCUMENT = (
+    RECORD
+    + ", created_at string, head_hash string, last_sequence bigint, seal string, "
+    + "_corrupt_record string"
+)
+_CHAIN_ID = "^[0-9A-Fa-f]{32}\\z"
+_SECONDS = "^[0-9]+\\z"
 
 
 def json_of(source: str, names: list[str]) -> Column:
@@ -98,92 +106,76 @@ def _not(ok: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, alg: str = DEFAULT_HASH) -> DataFrame:
-    """Add ``kind`` (record, checkpoint, other), ``rec``, ``cp`` and the first ``reason`` a line
-    is bad on its own: size, JSON, shape, canonical form, hash."""
-    line = F.col("line")
-    version = F.get_json_object(line, "$.version")
-    valid = F.try_parse_json(line).isNotNull() & version.isNotNull()
-    made = lines.withColumn("_ver", F.when(valid, version))
-    made = made.withColumn(
-        "kind",
-        F.when(F.col("_ver") == RECORD_VERSION, "record")
-        .when(F.col("_ver") == CHECKPOINT_VERSION, "checkpoint")
-        .otherwise("other"),
-    )
-    made = made.withColumns(
-        {
-            "rec": F.when(F.col("kind") == "record", F.from_json(line, RECORD)),
-            "cp": F.when(F.col("kind") == "checkpoint", F.from_json(line, CHECKPOINT)),
-        }
+    """Add ``doc`` (the parsed line), ``kind`` (record, checkpoint, other) and the first
+    ``reason`` a line is bad on its own: size, JSON, shape, canonical form, hash.
+
+    Each line is parsed once, against the fields of both line kinds.
+    """
+    line, doc = F.col("line"), F.col("doc")
+    made = compute_once(lines, {"doc": F.from_json(line, _DOCUMENT)})
+    valid = doc["_corrupt_record"].isNull() & doc["version"].isNotNull()
+    kind = (
+        F.when(doc["version"] == RECORD_VERSION, "record")
+        .when(doc["version"] == CHECKPOINT_VERSION, "checkpoint")
+        .otherwise("other")
     )
+    made = made.withColumn("kind", kind)
     general = _reason(
         (F.octet_length(line) > RECORD_MAX_BYTES, "record exceeds maximum size"),
         (line == "", "record is empty"),
-        (F.col("_ver").isNull(), "record contains invalid JSON"),
+        (_not(valid), "record contains invalid JSON"),
         (F.col("kind") == "other", "record version is unsupported"),
     )
-    rec, cp = F.col("rec"), F.col("cp")
-    no_null = [rec[n].isNotNull() for n in RECORD_FIELDS]
-    complete = no_null[0]
-    for c in no_null[1:]:
-        complete = complete & c
-    text_bad = F.char_length(rec["reason"]) > TEXT_MAX_CHARS
-    for name in TEXT_FIELDS:
-        text_bad = text_bad | ~P.no_control(rec[name])
-    digits = 2 * P.HASH_BYTES[alg]
+    text_bad = F.char_length(doc["reason"]) > TEXT_MAX_CHARS
+    texts = F.concat_ws("", *[doc[name] for name in TEXT_FIELDS])
+    text_bad = text_bad | ~P.no_control(texts)
     record = _reason(
-        (_not(complete), "record contains invalid JSON"),
-        (rec["hash_alg"] != alg, "record version or hash algorithm is unsupported"),
-        (~rec["chain_id"].rlike("^[0-9A-Fa-f]{32}\\z"), "record chain_id is invalid"),
+        (_missing(RECORD_FIELDS), "record contains invalid JSON"),
+        (doc["hash_alg"] != alg, "record version or hash algorithm is unsupported"),
+        (~doc["chain_id"].rlike(_CHAIN_ID), "record chain_id is invalid"),
+        (~P.hash_hex_ok(doc["prev_hash"], alg), "prev_hash is invalid"),
+        (~P.hash_hex_ok(doc["event_hash"], alg), "event_hash is invalid"),
+        (~doc["timestamp"].rlike(_SECONDS), "record timestamp is invalid"),
         (
-            ~(P.hex_ok(rec["prev_hash"]) & (F.length(rec["prev_hash"]) == digits)),
-            "prev_hash is invalid",
-        ),
-        (
-            ~(P.hex_ok(rec["event_hash"]) & (F.length(rec["event_hash"]) == digits)),
-            "event_hash is invalid",
-        ),
-        (~rec["timestamp"].rlike("^[0-9]+\\z"), "record timestamp is invalid"),
-        (
-            (rec["event"] == "") | (rec["outcome"] == ""),
+            (doc["event"] == "") | (doc["outcome"] == ""),
             "record event and outcome must not be empty",
         ),
         (text_bad, "record contains invalid text fields"),
         (
-            record_hash("rec", alg) != rec["event_hash"],
+            record_hash("doc", alg) != doc["event_hash"],
             "event hash does not match record content",
         ),
-        (json_of("rec", RECORD_FIELDS) != line, "record JSON is not canonical"),
+        (json_of("doc", RECORD_FIELDS) != line, "record JSON is not canonical"),
         (
-            (rec["event"] == GENESIS_EVENT)
+            (doc["event"] == GENESIS_EVENT)
             & _not(
-                (rec["sequence"] == 0)
-                & (rec["prev_hash"] == ZERO_HASH)
-                & (rec["outcome"] == "success")
-                & (rec["action"] == GENESIS_ACTION)
+                (doc["sequence"] == 0)
+                & (doc["prev_hash"] == ZERO_HASH)
+                & (doc["outcome"] == "success")
+                & (doc["action"] == GENESIS_ACTION)
             ),
             "chain genesis is invalid",
         ),
     )
-    full = cp["chain_id"].isNotNull()
-    for name in CHECKPOINT_FIELDS:
-        full = full & cp[name].isNotNull()
     checkpoint = _reason(
-        (_not(full), "checkpoint contains invalid JSON"),
-        (json_of("cp", CHECKPOINT_FIELDS) != line, "checkpoint JSON is not canonical"),
-        (~cp["chain_id"].rlike("^[0-9A-Fa-f]{32}\\z"), "checkpoint chain_id is invalid"),
-        (
-            ~(P.hex_ok(cp["head_hash"]) & (F.length(cp["head_hash"]) == digits)),
-            "checkpoint head_hash is invalid",
-        ),
-        (~cp["created_at"].rlike("^[0-9]+\\z"), "checkpoint created_at is invalid"),
+        (_missing(CHECKPOINT_FIELDS), "checkpoint contains invalid JSON"),
+        (json_of("doc", CHECKPOINT_FIELDS) != line, "checkpoint JSON is not canonical"),
+        (~doc["chain_id"].rlike(_CHAIN_ID), "checkpoint chain_id is invalid"),
+        (~P.hash_hex_ok(doc["head_hash"], alg), "checkpoint head_hash is invalid"),
+        (~doc["created_at"].rlike(_SECONDS), "checkpoint created_at is invalid"),
     )
     reason = F.coalesce(
         general,
         F.when(F.col("kind") == "record", record),
         F.when(F.col("kind") == "checkpoint", checkpoint),
     )
-    return made.withColumn("reason", reason).drop("_ver")
+    return compute_once(made, {"reason": reason})
+
+
+def _missing(names: list[str]) -> Column:
+    """Some field is absent or NULL."""
+    found = [F.when(F.col(f"doc.{n}").isNull(), F.lit(True)) for n in names]
+    return F.coalesce(*found, F.lit(False))
 
 
 def read_audit_log(
@@ -197,8 +189,10 @@ def split_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     place = ["log", "_blk", "_at"]
     good = parsed.filter(F.col("reason").isNull())
     return (
-        good.filter("kind = 'record'").select(*place, "rec.*"),
-        good.filter("kind = 'checkpoint'").select(*place, "cp.*"),
+        good.filter("kind = 'record'").select(*place, *[f"doc.{n}" for n in RECORD_FIELDS]),
+        good.filter("kind = 'checkpoint'").select(
+            *place, *[f"doc.{n}" for n in CHECKPOINT_FIELDS]
+        ),
         parsed.filter(F.col("reason").isNotNull()).select(*place, "line", "reason"),
     )
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Fixed value: largest policy document that is accepted, in bytes. It bounds every table that
-# is derived from a policy, so those tables may be broadcast.
+# Fixed value: largest policy document that is accepted, in bytes. It bounds every table
+# that is derived from a policy.
 POLICY_MAX_BYTES = 8 * 1024 * 1024
 
 # Sections of a policy document and their fields.
