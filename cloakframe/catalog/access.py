@@ -4,6 +4,7 @@ S-3, A-2, A-6, SRC-2)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakframe.catalog.common import Entry, hmac_sql, message
 from cloakframe.catalog.fixtures import demo_policy, kid_of, table
@@ -13,7 +14,6 @@ from cloakframe.operators import access as A
 from cloakframe.operators import policy_checks as C
 from cloakframe.plans.keys import one_row
 from cloakframe.sources.policy import parse_policy, split_policy
-from pyspark.sql import types as T
 
 MAIN, OLD = kid_of("main"), kid_of("old")
 
@@ -54,11 +54,11 @@ select event_id,
 # --- J-2, J-3, J-4 --------------------------------------------------------------------
 
 _IPAD, _OPAD = hmac_pads(b"api key hashing key", "SHA-256")
-_PADS = T.StructType.fromDDL("ipad binary, opad binary")
 
 
 def _pads(spark):
-    return one_row(spark, {"ipad": _IPAD, "opad": _OPAD}, _PADS)
+    schema = T.StructType.fromDDL("ipad binary, opad binary")
+    return one_row(spark, {"ipad": _IPAD, "opad": _OPAD}, schema)
 
 
 def _clients(spark, sf):

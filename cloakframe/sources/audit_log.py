@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloakframe.functions import predicates as P
 from cloakframe.functions.digests import digest_hex
@@ -52,7 +51,8 @@ TEXT_FIELDS = [
 
 
 def field_names(ddl: str) -> list[str]:
-    return [f.name for f in T.StructType.fromDDL(ddl).fields]
+    """Names in a ``name type, name type`` list of simple types."""
+    return [part.split()[0] for part in ddl.split(", ")]
 
 
 RECORD_FIELDS = field_names(RECORD)
