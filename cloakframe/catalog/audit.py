@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloakframe.catalog.common import Entry
-from cloakframe.catalog.fixtures import demo_policy, kid_of, table
+from cloakframe.catalog.fixtures import demo_policy, kid_of, wide
 from cloakframe.operators import audit as A
 from cloakframe.plans.runtime import new_scratch
 from cloakframe.sources import audit_log as L
@@ -14,7 +14,7 @@ SEGMENT = 25
 
 
 def _events(spark, sf):
-    e = table(spark, sf, "events")
+    e = wide(spark, sf, "events", "event_id", "event_type", "user_id", "props", "ts")
     return e.select(
         "event_id",
         F.col("event_type").alias("event"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.plans.keys import KeyRing, RunKey
 from cloakframe.plans.policy import Policy
-from cloakframe.plans.runtime import ship_package
+from cloakframe.plans.runtime import ship_package, spread
 
 SEED = b"development seed, not for production"
 STATUSES = {
@@ -172,3 +172,8 @@ def demo_policy(spark: SparkSession) -> Policy:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table over all cores, for the jobs that encrypt or hash every row."""
+    return spread(table(spark, sf_dir, name).select(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloakframe.catalog.common import Entry, account, account_sql, message, tag_sql
-from cloakframe.catalog.fixtures import demo_policy, kid_of, table
+from cloakframe.catalog.fixtures import demo_policy, kid_of, table, wide
 from cloakframe.operators import commitments, digest_frames, encryption, fpe, masking, sharing, tags
 from cloakframe.operators import tokens as tok
 from cloakframe.plans.jobs import first_failure
@@ -66,7 +66,8 @@ from v
 
 def fpe_round_trip(spark, sf):
     """X-2, X-3: encrypt and decrypt every order account; shape and change are checked too."""
-    o = table(spark, sf, "orders").select("o_orderkey", account("o_orderkey", 16).alias("acct"))
+    o = wide(spark, sf, "orders", "o_orderkey")
+    o = o.select("o_orderkey", account("o_orderkey", 16).alias("acct"))
     pol = demo_policy(spark)
     sealed = fpe.fpe_encrypt(o.withColumn("c", F.col("acct")), "c", "card", pol, "null")
     plain = sealed.drop("error").withColumn("plain", F.col("c"))
@@ -107,7 +108,8 @@ select null, count(*) from lineitem where length('P#' || l_partkey || ' x') < 6
 
 def keyed_digests(spark, sf):
     """X-4, X-5: digest every order account and verify it against right and wrong tags."""
-    o = table(spark, sf, "orders").select("o_orderkey", account("o_custkey").alias("acct"))
+    o = wide(spark, sf, "orders", "o_orderkey", "o_custkey")
+    o = o.select("o_orderkey", account("o_custkey").alias("acct"))
     pol = demo_policy(spark)
     made = tags.keyed_digest(o, "acct", "account", pol, "digest", "null").drop("error")
     presented = F.when(F.col("o_orderkey") % 3 == 0, F.upper("digest")).when(
@@ -128,7 +130,8 @@ select o_orderkey, {tag_sql("account", account_sql("o_custkey"))} as digest,
 
 def _commit(spark, sf):
     """X-6, X-7: commitments to a repeating column: all verify, none repeats."""
-    o = table(spark, sf, "orders").select("o_orderkey", account("o_custkey").alias("acct"))
+    o = wide(spark, sf, "orders", "o_orderkey", "o_custkey")
+    o = o.select("o_orderkey", account("o_custkey").alias("acct"))
     pol = demo_policy(spark)
     made = commitments.commit(o, "acct", "account", pol, "o_orderkey", "null").drop("error")
     wrong = F.when(F.col("o_orderkey") % 2 == 0, F.col("acct")).otherwise(F.lit("somebody"))
@@ -154,7 +157,7 @@ from orders group by all
 
 def encrypt_round_trip(spark, sf):
     """X-8, X-9: every document encrypted and opened again; a changed label fails."""
-    d = table(spark, sf, "documents").select(
+    d = wide(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.regexp_replace("text", "\\p{Cc}", " ").alias("text")
     )
     pol, kid = demo_policy(spark), kid_of("main")
@@ -189,7 +192,8 @@ select doc_id, case when doc_id % 10 > 1 then sha256(t) end as digest,
 
 def _reencrypt(spark, sf):
     """X-10: rotate every order record from one key to another and open it there."""
-    o = table(spark, sf, "orders").select("o_orderkey", account("o_custkey").alias("acct"))
+    o = wide(spark, sf, "orders", "o_orderkey", "o_custkey")
+    o = o.select("o_orderkey", account("o_custkey").alias("acct"))
     pol, a, b = demo_policy(spark), kid_of("main"), kid_of("next")
     sealed = encryption.encrypt_column(o, "acct", a, pol, "o_orderkey", timestamp="1", on_error="null")
     moved = encryption.reencrypt_column(
@@ -221,7 +225,8 @@ def _new_vault(spark, df, col, profile, ref):
 
 def tokenize_round_trip(spark, sf):
     """X-11, X-12, J-6: tokenize customers, look all tokens (and some unknown ones) up again."""
-    c = table(spark, sf, "customer").select("c_custkey", account("c_custkey").alias("acct"))
+    c = wide(spark, sf, "customer", "c_custkey")
+    c = c.select("c_custkey", account("c_custkey").alias("acct"))
     done, vault = _new_vault(spark, c, "acct", "account", "c_custkey")
     kind = F.col("c_custkey") % 10
     shown = (
@@ -253,7 +258,8 @@ from customer
 
 def _redeem(spark, sf):
     """X-13, S-2: redeem the even customers' one-time tokens; only the odd ones stay."""
-    c = table(spark, sf, "customer").select("c_custkey", account("c_custkey").alias("acct"))
+    c = wide(spark, sf, "customer", "c_custkey")
+    c = c.select("c_custkey", account("c_custkey").alias("acct"))
     done, vault = _new_vault(spark, c, "acct", "once", "c_custkey")
     pol = demo_policy(spark)
     even = done.filter("c_custkey % 2 = 0").select("c_custkey", "token")
@@ -277,7 +283,8 @@ select c_custkey, case when c_custkey % 2 = 0 then {account_sql("c_custkey")} en
 
 def share_round_trip(spark, sf):
     """X-14, X-15: split customer secrets 3-of-5; two, three, four or five shares come back."""
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("secret"))
+    c = wide(spark, sf, "customer", "c_custkey", "c_name")
+    c = c.select("c_custkey", F.col("c_name").alias("secret"))
     pol = demo_policy(spark)
     shares = sharing.split_secret(c, "secret", "secret", pol, "c_custkey", "null")
     kept = shares.filter(F.col("index") <= F.col("c_custkey") % 4 + 2)
@@ -307,26 +314,26 @@ select o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_
 
 def table_digests(spark, sf):
     """X-17: one digest for all line items, whatever their order."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    li = wide(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_returnflag")
     cols = ["l_orderkey", "l_partkey", "l_returnflag"]
     return digest_frames.table_digest(li, cols)
 
 
 _LIMBS = ", ".join(
-    f"sum(cast('0x' || substr(h, {4 * i + 1}, 4) as bigint)) as s{i}" for i in range(16)
+    f"sum(cast('0x' || substr(h, {5 * i + 1}, 5) as bigint)) as s{i}" for i in range(13)
 )
 _TABLE_SQL = f"""
 with r as (select sha256('{{"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey
     || ',"l_returnflag":"' || l_returnflag || '"}}') as h from lineitem),
   s as (select count(*) as n, {_LIMBS} from r)
-select n as rows, sha256(concat_ws(',', n, {", ".join(f"s{i}" for i in range(16))})) as digest
+select n as rows, sha256(concat_ws(',', n, {", ".join(f"s{i}" for i in range(13))})) as digest
 from s
 """
 
 
 def _seal(spark, sf):
     """X-17: a sealed table verifies whole and reordered, not with a row changed or missing."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o = wide(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
     pol, cols = demo_policy(spark), ["o_orderkey", "o_custkey", "o_orderstatus"]
     seal = digest_frames.seal_table(o, cols, kid_of("main"), pol).first().asDict()
     last = o.agg(F.max("o_orderkey").alias("m")).first()["m"]
@@ -365,7 +372,8 @@ _STEPS = [
 
 def protect_orders(spark, sf):
     """X-18: store, search, display and pledge one column in a single pass over the orders."""
-    o = table(spark, sf, "orders").select("o_orderkey", account("o_custkey").alias("acct"))
+    o = wide(spark, sf, "orders", "o_orderkey", "o_custkey")
+    o = o.select("o_orderkey", account("o_custkey").alias("acct"))
     pol = demo_policy(spark)
     out = protect_frame(o, _STEPS, pol, drop=["acct"], on_error="null").drop("error")
     back = fpe.fpe_decrypt(out, "stored", "account", pol, "null")
@@ -427,7 +435,8 @@ def _membership(spark, sf):
     index = T.create_index(spark, new_scratch(spark, "index"))
     T.upsert_index(known, index)
     T.upsert_index(known, index)
-    o = table(spark, sf, "orders").select("o_orderkey", account("o_custkey").alias("acct"))
+    o = wide(spark, sf, "orders", "o_orderkey", "o_custkey")
+    o = o.select("o_orderkey", account("o_custkey").alias("acct"))
     out = tags.index_membership(o, "acct", "account", pol, index.read())
     return out.select("o_orderkey", "digest", "matched")
 

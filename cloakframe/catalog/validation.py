@@ -10,7 +10,7 @@ from cloakframe.catalog.common import (
     control_sql,
     text_message_sql,
 )
-from cloakframe.catalog.fixtures import kid_of, table
+from cloakframe.catalog.fixtures import kid_of, table, wide
 from cloakframe.functions import digests as D
 from cloakframe.functions import predicates as P
 from cloakframe.functions import text as X
@@ -215,7 +215,8 @@ select c_custkey, not regexp_matches(v, '[^0-9]') and length(v) between 6 and 32
     then 'plaintext length is outside fpe profile bounds' end as message from v
 """
 
-_META = """case event_id % 5
+_META = """case event_id % 6
+  when 5 then concat(repeat('[', 130), '"[', event_id, '"', repeat(']', 130))
   when 0 then props
   when 1 then concat('[', props, ']')
   when 2 then left(props, length(props) - 1)
@@ -224,28 +225,29 @@ _META = """case event_id % 5
 
 
 def _metadata(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.expr(_META).alias("m"))
+    e = wide(spark, sf, "events", "event_id", "props")
+    e = e.select("event_id", F.expr(_META).alias("m"))
     return e.select(
         "event_id",
         P.metadata_ok("m").alias("ok"),
         P.metadata_error("m")["message"].alias("message"),
         P.json_shape_ok("m").alias("shape_ok"),
-        P.json_depth("m").alias("depth"),
         X.canonical_json("m").alias("canonical"),
     )
 
 
 _METADATA_SQL = """
-select event_id, event_id % 5 in (0, 4) as ok, case event_id % 5
+select event_id, event_id % 6 in (0, 4) as ok, case event_id % 6
     when 1 then 'metadata must be a JSON object when present'
     when 2 then 'metadata contains invalid JSON'
-    when 3 then 'metadata exceeds tokenization maximum length' end as message,
-  event_id % 5 <> 2 as shape_ok,
-  case event_id % 5 when 0 then 1 when 1 then 2 when 2 then 1 when 3 then 2 else 3 end as depth,
-  case event_id % 5 when 0 then replace(props, ' ', '')
+    when 3 then 'metadata exceeds tokenization maximum length'
+    when 5 then 'metadata is nested too deeply' end as message,
+  event_id % 6 not in (2, 5) as shape_ok,
+  case event_id % 6 when 0 then replace(props, ' ', '')
     when 1 then '[' || replace(props, ' ', '') || ']' when 2 then null
     when 3 then '{"p":' || replace(props, ' ', '') || ',"pad":"' || repeat('x', 120) || '"}'
-    else '{"a":[1,{"y":2,"z":1}],"b":' || replace(props, ' ', '') || '}' end as canonical
+    when 4 then '{"a":[1,{"y":2,"z":1}],"b":' || replace(props, ' ', '') || '}'
+    else repeat('[', 130) || '"[' || event_id || '"' || repeat(']', 130) end as canonical
 from events
 """
 

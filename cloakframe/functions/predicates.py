@@ -339,6 +339,12 @@ def _depth_step(acc: Column, bracket: Column) -> Column:
     return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
 
 
+def too_deep(c: ColumnLike, limit: int = JSON_MAX_DEPTH) -> Column:
+    """Nested deeper than ``limit``. The walk is needed only by texts with that many brackets."""
+    opened = F.length(F.regexp_replace(as_col(c), "[^\\[{]", ""))
+    return F.when(opened <= limit, F.lit(False)).otherwise(json_depth(c) > limit)
+
+
 def reserved_json_key(c: ColumnLike) -> Column:
     return as_col(c).rlike('"\\$serde_json::private::(?:[^"\\\\]|\\\\.)*"\\s*:')
 
@@ -347,7 +353,7 @@ def json_shape_error(field: str, c: ColumnLike) -> Column:
     c = as_col(c)
     return first_error(
         _bad(c.isNull() | F.try_parse_json(c).isNotNull(), f"{field} contains invalid JSON"),
-        _bad(json_depth(c) <= JSON_MAX_DEPTH, f"{field} is nested too deeply"),
+        error_when(too_deep(c), "invalid_input", f"{field} is nested too deeply"),
         error_when(
             reserved_json_key(c),
             "invalid_input",

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions.digests import digest_hex, hmac_hex, keyed_random
+from cloakframe.functions.predicates import HASH_BYTES
 from cloakframe.functions.text import record_json, to_hex, utf8
 from cloakframe.plans.policy import Policy
 
-# Row digests are added up in pieces of four hex characters.
-_LIMB_HEX = 4
+# Row digests are added up in limbs of five hex characters, three limbs to a parsed number.
+_LIMB_HEX = 5
 
 
 def row_digest(
@@ -43,25 +44,35 @@ def row_digest(
     )
 
 
-def _limb(hexed: Column, i: int) -> Column:
-    piece = F.substring(hexed, i * _LIMB_HEX + 1, _LIMB_HEX)
-    return F.conv(piece, 16, 10).cast("long")
-
-
-def _fold(df: DataFrame, row_hex: Column, width: int, alg: str) -> DataFrame:
+def _fold(df: DataFrame, row_hex: Column, chars: int, alg: str) -> DataFrame:
     """Digest of the multiset of row digests: exact sums of their limbs, then one hash.
 
     Sums commute, so row order and partitioning do not matter, and they combine inside each
     task: one row per task is shuffled, however large the table and however often a row
-    repeats. A 16-bit limb leaves room for 2^47 rows.
+    repeats. A 20-bit limb leaves room for 2^43 rows.
     """
-    limbs = [F.sum(_limb(F.col("_h"), i)).alias(f"_s{i}") for i in range(width)]
-    sums = df.select(row_hex.alias("_h")).agg(F.count("_h").alias("rows"), *limbs)
-    text = F.concat_ws(
-        ",",
-        F.col("rows").cast("string"),
-        *[F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("string") for i in range(width)],
+    triple = 3 * _LIMB_HEX
+    words = {
+        f"_w{at}": F.conv(F.substring("_h", at + 1, min(triple, chars - at)), 16, 10).cast("long")
+        for at in range(0, chars, triple)
+    }
+    parsed = df.select(row_hex.alias("_h")).select(
+        "_h", *[word.alias(name) for name, word in words.items()]
+    )
+    limbs = []
+    for at in range(0, chars, triple):
+        width = min(triple, chars - at)
+        ends = [min(end, width) for end in range(_LIMB_HEX, width + _LIMB_HEX, _LIMB_HEX)]
+        start = 0
+        for end in ends:
+            shifted = F.shiftright(F.col(f"_w{at}"), 4 * (width - end))
+            limbs.append(shifted.bitwiseAND(F.lit((1 << 4 * (end - start)) - 1)))
+            start = end
+    sums = parsed.agg(
+        F.count("_h").alias("rows"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(limbs)]
     )
+    totals = [F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("string") for i in range(len(limbs))]
+    text = F.concat_ws(",", F.col("rows").cast("string"), *totals)
     return sums.select("rows", digest_hex(utf8(text), alg).alias("digest"))
 
 
@@ -72,8 +83,7 @@ def table_digest(df: DataFrame, cols: list[str], alg: str = "SHA-256") -> DataFr
     where row digests are keyed.
     """
     row_hex = digest_hex(utf8(record_json(df, cols)), alg)
-    width = {"SHA-224": 14, "SHA-256": 16, "SHA-384": 24, "SHA-512": 32}.get(alg, 16)
-    return _fold(df, row_hex, width, alg)
+    return _fold(df, row_hex, 2 * HASH_BYTES[alg], alg)
 
 
 def seal_table(df: DataFrame, cols: list[str], kid: str, policy: Policy) -> DataFrame:
@@ -81,7 +91,7 @@ def seal_table(df: DataFrame, cols: list[str], kid: str, policy: Policy) -> Data
     rows_key = policy.seal_column(kid, "table-rows")
     seal_key = policy.seal_column(kid, "table-seal")
     row_hex = hmac_hex(utf8(record_json(df, cols)), rows_key["ipad"], rows_key["opad"])
-    folded = _fold(df, row_hex, 16, "SHA-256")
+    folded = _fold(df, row_hex, 64, "SHA-256")
     body = F.concat_ws(";", F.lit(kid), F.col("rows").cast("string"), F.col("digest"))
     seal = hmac_hex(utf8(body), seal_key["ipad"], seal_key["opad"])
     return folded.select("rows", "digest", F.lit(kid).alias("kid"), seal.alias("seal"))

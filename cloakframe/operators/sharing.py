@@ -250,28 +250,31 @@ def combine_shares(
 ) -> DataFrame:
     """One row per group of presented shares: ``set_id, plaintext, error``.
 
-    ``group`` says which shares were presented together (default: by set id). Groups are first
-    reduced to counts and bit sets, which combine inside each task; only groups that can be
-    valid, so at most 32 shares each, are collected. A group of any size is refused cheaply.
+    ``group`` says which shares were presented together (default: by set id). A group is
+    reduced to its counts and to one slot per share index, so the buffer of a group never
+    exceeds the shares of one secret, however many rows claim to belong to it, and the
+    reduction starts inside each task. Repeated indexes show as a count above the slots.
     """
     spec = policy.profile("share", profile)
-    k = spec["threshold"]
+    k, n = spec["threshold"], spec["shares"]
     shares = decode_share(df, share_col, profile, policy)
     shares = shares.withColumn("set_id", F.col("_e.set_id")).withColumn(
-        "_point", F.col("_e.index")
+        "_point", F.when(F.col("error").isNull(), F.col("_e.index"))
     )
     keys = group or ["set_id"]
-    place = F.coalesce("_point", F.lit(1)) - 1
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
     facts = shares.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.min("set_id").alias("_set"),
         F.max("set_id").alias("_set_max"),
-        F.bit_or(bit).alias("_mask"),
         F.min(F.octet_length("_y")).alias("_len"),
         F.max(F.octet_length("_y")).alias("_len_max"),
         F.min("error.message").alias("_share_error"),
+        *[F.max(F.when(F.col("_point") == i, F.col("_y"))).alias(f"_y{i}") for i in range(1, n + 1)],
     )
+    slots = F.array(
+        *[F.struct(F.lit(i).alias("x"), F.col(f"_y{i}").alias("y")) for i in range(1, n + 1)]
+    )
+    facts = facts.withColumn("_s", F.filter(slots, lambda s: s["y"].isNotNull()))
     need = first_error(
         error_when(
             F.col("_share_error").isNotNull(),
@@ -287,7 +290,7 @@ def combine_shares(
             F.col("_n") < k, "invalid_input", "not enough shares to meet sharing profile threshold"
         ),
         error_when(
-            F.bit_count("_mask") != F.col("_n"), "invalid_input", "share indexes must be unique"
+            F.size("_s") != F.col("_n"), "invalid_input", "share indexes must be unique"
         ),
         error_when(
             F.col("_len") != F.col("_len_max"),
@@ -296,19 +299,13 @@ def combine_shares(
         ),
     )
     facts = facts.withColumn("_bad", need)
-    usable = shares.join(
-        facts.filter(F.col("_bad").isNull()).select(*keys), keys, "left_semi"
-    )
-    sets = usable.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_point", "_y"))).alias("_s")
-    )
-    opened = sets.select(
-        *keys,
+    usable = F.when(F.col("_bad").isNull(), F.col("_s"))
+    joined = facts.withColumn(
+        "_r",
         combine_bytes_udf(k)(
-            F.transform("_s", lambda s: s["_point"]), F.transform("_s", lambda s: s["_y"])
-        ).alias("_r"),
+            F.transform(usable, lambda s: s["x"]), F.transform(usable, lambda s: s["y"])
+        ),
     )
-    joined = facts.join(opened, keys, "left")
     text = F.col("_r.secret").cast("string")
     problem = first_error(
         F.col("_bad"),

@@ -44,6 +44,16 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core, for jobs that are bound by CPU.
+
+    A file is split at row groups, so a table of few large row groups would keep most cores
+    idle. Scans that have enough partitions are returned as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that a lost executor cannot change the rows."""
     shared_dir(df.sparkSession)
