@@ -7,6 +7,8 @@ size, so ordered work is done per split and only split summaries are put in sequ
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +100,11 @@ def scan_lines(spark: SparkSession, path: str, unit: str = "file") -> DataFrame:
 
 
 def _reason(*checks: tuple[Column, str]) -> Column:
-    return F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in checks], F.lit(None))
+    bad, text = checks[0]
+    case = F.when(bad, F.lit(text))
+    for bad, text in checks[1:]:
+        case = case.when(bad, F.lit(text))
+    return case
 
 
 def _not(ok: Column) -> Column:
@@ -164,18 +170,19 @@ def parse_lines(lines: DataFrame, alg: str = DEFAULT_HASH) -> DataFrame:
         (~P.hash_hex_ok(doc["head_hash"], alg), "checkpoint head_hash is invalid"),
         (~doc["created_at"].rlike(_SECONDS), "checkpoint created_at is invalid"),
     )
-    reason = F.coalesce(
-        general,
-        F.when(F.col("kind") == "record", record),
-        F.when(F.col("kind") == "checkpoint", checkpoint),
-    )
-    return compute_once(made, {"reason": reason})
+    # Two steps: the JIT leaves a generated method above 8000 bytes uncompiled.
+    parts = {
+        "_general": F.coalesce(general, F.when(F.col("kind") == "checkpoint", checkpoint)),
+        "_record": F.when(F.col("kind") == "record", record),
+    }
+    for name, part in parts.items():
+        made = compute_once(made, {name: part})
+    return made.withColumn("reason", F.coalesce("_general", "_record")).drop(*parts)
 
 
 def _missing(names: list[str]) -> Column:
     """Some field is absent or NULL."""
-    found = [F.when(F.col(f"doc.{n}").isNull(), F.lit(True)) for n in names]
-    return F.coalesce(*found, F.lit(False))
+    return reduce(lambda a, b: a | b, [F.col(f"doc.{n}").isNull() for n in names])
 
 
 def read_audit_log(
