@@ -79,13 +79,16 @@ def _verify_files(spark, sf):
     path, seal = _log(spark, sf)
     linked = A.link_lines(L.parse_lines(L.scan_lines(spark, path, "directory")), seal)
     marks = A.verify_checkpoints(linked)
-    verdict = A.verify_chain(linked).agg(
-        F.count("*").alias("logs"), F.sum("lines").alias("lines"), F.bool_and("valid").alias("valid")
-    )
-    found = marks.agg(
+    found = marks.groupBy("log").agg(
         F.count("*").alias("checkpoints"), F.count_if("valid").alias("checkpoints_valid")
     )
-    return verdict.join(found)
+    return A.verify_chain(linked).join(found, "log").agg(
+        F.count("*").alias("logs"),
+        F.sum("lines").alias("lines"),
+        F.bool_and("valid").alias("valid"),
+        F.sum("checkpoints").alias("checkpoints"),
+        F.sum("checkpoints_valid").alias("checkpoints_valid"),
+    )
 
 
 # Checkpoints: one per ten events of a chain and one at its end (when that is not the tenth).

@@ -105,7 +105,8 @@ def _redeem(spark, sf):
     stream = stream_frame(spark, shown)
     run_batches(spark, S.redeem_stream(stream, "token", "once", pol, vault, sink))
     won = spark.read.parquet(out).groupBy("c_custkey", "plaintext").agg(F.count("*").alias("wins"))
-    return won.join(vault.read().agg(F.count("*").alias("left_over")))
+    left = vault.read().agg(F.count("*")).scalar()
+    return won.select("*", left.alias("left_over"))
 
 
 _REDEEM_SQL = f"""

@@ -78,8 +78,10 @@ def vault_rows(spark, sf):
     counted = good.groupBy("kid").agg(
         F.count("*").alias("rows"), F.countDistinct("hashid").alias("hashids")
     )
-    return counted.join(bad.agg(F.count("*").alias("bad"))).join(
-        other.agg(F.count("*").alias("other"))
+    return counted.select(
+        "*",
+        bad.agg(F.count("*")).scalar().alias("bad"),
+        other.agg(F.count("*")).scalar().alias("other"),
     )
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from cloakframe.functions import predicates as P
 from cloakframe.functions.text import first_error
+from cloakframe.plans.runtime import cut_lineage
 
 KID_HASH = "BLAKE2b(256)"
 INDEX_DIGEST_MAX_CHARS = 128
@@ -262,10 +263,13 @@ def index_row_error() -> Column:
 def upsert_index(digests: DataFrame, table: SnapshotTable) -> int:
     """SNK-2: idempotent insert of ``(kid, digest)`` rows.
 
-    ``distinct`` combines inside each task first, so a hot digest is one row per task.
+    ``distinct`` combines inside each task first, so a hot digest is one row per task. Its
+    result is stored, because it is compared with the table twice: the stored keys it hits are
+    found first (a small batch then costs no shuffle of the table), and the rest is added.
     """
     version = table.version()
     wanted = digests.select("kid", F.lower("digest").alias("digest")).distinct()
+    wanted = cut_lineage(wanted)
     present = table.matching(wanted, version).select("kid", "digest")
     fresh = wanted.join(present, ["kid", "digest"], "left_anti")
     segment = table.stage(fresh)

@@ -168,3 +168,10 @@ def test_any_three_points_interpolate(secret, noise, points):
             total ^= int(mul[w, share(x)[i]])
         back.append(total)
     assert bytes(back) == secret
+
+
+def test_digests_from_sql(spark):
+    names = D.register_udfs(spark)
+    assert "digest_blake2b_256" in names
+    got = spark.sql("select hex(digest_blake2b_256(cast('abc' as binary)))").first()[0]
+    assert got.lower() == hashlib.blake2b(b"abc", digest_size=32).hexdigest()
