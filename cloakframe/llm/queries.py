@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import substring
+from cloakframe.llm import decontaminate, substring
 from cloakframe.llm.common import table
 
 
@@ -14,8 +14,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).drop("doc_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_decontamination": op6_decontamination,
 }
 
 SQL: dict[str, str] = {
@@ -23,13 +30,13 @@ SQL: dict[str, str] = {
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), windows AS (
-  SELECT doc_id, at, array_to_string(ws[at:at + 12], ' ') AS win
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS at FROM w)
+  SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)
 ), firsts AS (
   SELECT win, min(doc_id) AS least FROM windows GROUP BY win
 ), hit AS (
-  SELECT DISTINCT doc_id, at + j AS pos
-  FROM (SELECT v.doc_id, v.at FROM windows v JOIN firsts f USING (win) WHERE f.least < v.doc_id),
+  SELECT DISTINCT doc_id, p + j AS pos
+  FROM (SELECT v.doc_id, v.p FROM windows v JOIN firsts f USING (win) WHERE f.least < v.doc_id),
        (SELECT unnest(range(0, 13)) AS j)
 ), words AS (
   SELECT doc_id, pos, ws[pos] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w)
@@ -40,5 +47,33 @@ WITH w AS (
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
        CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op6_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS size, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM b WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT size FROM phrases
+), windows AS (
+  SELECT doc_id, p, size, array_to_string(ws[p:p + size - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, sizes)
+), found AS (
+  SELECT doc_id, p, w.size, item_id FROM windows w JOIN phrases f ON w.win = f.win AND w.size = f.size
+), words AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
 }

@@ -22,14 +22,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import row_key, texts
-from cloakframe.llm.words import blocks, mix, text_arrays, window_hashes, words_of
+from cloakframe.llm.common import texts
+from cloakframe.llm.words import BLOCK_BYTES, blocks, mix, text_arrays, window_hashes, words_of
 
 WINDOW = 13
 ROUNDS = 3
+NO_ID = np.iinfo(np.int64).max  # null ids come last
 _OUT = np.int64(1) << 40  # a context that leaves the text
 
 
@@ -113,54 +115,168 @@ def anchors(h: np.ndarray, first: np.ndarray, k: int = WINDOW):
     return np.where(chosen > 0, chosen, whole >> np.uint64(5)), whole, at, row[at]
 
 
-def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))
-    return row[new], value[new]
+def _first_of_each(*keys: np.ndarray) -> np.ndarray:
+    """Places of the first row of each combination of keys (the last key sorts first)."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    return order[new]
+
+
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _pack(batches):
+    """Compress the texts, which are about to be shuffled."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in blocks(batches, "text"):
+        packed = [pack.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(packed, pa.binary())],
+            ["doc_id", "k1", "k2", "packed"],
+        )
+
+
+def _unpacked(batches):
+    """Batches of shuffled rows with their texts back, in pieces of bounded size."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        size = [zstandard.frame_content_size(x) for x in batch.column("packed").to_pylist()]
+        total = np.cumsum(size)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK_BYTES)))
+            part = batch.slice(lo, hi - lo)
+            text = [unpack.decompress(x) for x in part.column("packed").to_pylist()]
+            yield part, words_of(pa.record_batch([pa.array(text, pa.binary()).cast(pa.string())], ["text"]), "text")
+            lo = hi
 
 
 def _anchor_rows(batches):
+    """Anchors of each text once. Those of several texts in one block are known to be shared:
+    their rows are spread by a salt, and two of them stand for all where anchors are compared."""
     for batch in blocks(batches, "text"):
         w = words_of(batch, "text")
         anchor, _, _, row = anchors(w.hashes(), w.first)
-        if len(anchor):
-            row, anchor = _distinct(row, anchor)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), batch.column("doc_key").take(pa.array(row))],
-                ["anchor", "doc_key"],
-            )
+        if not len(anchor):
+            continue
+        k1 = batch.column("k1").to_numpy(False)[row]
+        own = _first_of_each(k1, anchor)
+        row, anchor, k1 = row[own], anchor[own], k1[own]
+        ends = np.append(anchor[1:] != anchor[:-1], True)
+        starts = np.append(True, ends[:-1])
+        known = ~(starts & ends)
+        sent = starts | ends  # two rows of a known anchor, the only row of another
+        place = np.append(np.flatnonzero(known), np.flatnonzero(sent))
+        salt = np.append(1 + (k1[known] & 63), np.zeros(sent.sum(), np.int64))
+        where = pa.array(row[place])
+        yield pa.RecordBatch.from_arrays(
+            [
+                _longs(anchor[place]),
+                pa.array(salt.astype(np.int32)),
+                batch.column("k1").take(where),
+                batch.column("k2").take(where),
+            ],
+            ["anchor", "salt", "k1", "k2"],
+        )
+
+
+def _carried(batches, key):
+    """For sorted rows: each batch with its keys, and whether the first goes on with the last
+    key of the batch before; with it the value that key began with."""
+    last, began = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(False).astype(np.int64) for c in key])
+        new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))
+        if last is not None and (keys[:, 0] == last).all():
+            new[0] = False
+        yield batch, new, began
+        first = batch.column(2).to_numpy(False)
+        if new.any():
+            began = first[np.flatnonzero(new)[-1]]
+        last = keys[:, -1]
+
+
+def _of_two_texts(batches):
+    """From rows sorted by anchor and text, those whose anchor belongs to several texts."""
+    held = None
+    for batch, new, began in _carried(batches, ["anchor", "salt"]):
+        k1 = batch.column("k1").to_numpy(False)
+        group = np.cumsum(new)
+        at = np.flatnonzero(new)
+        first = np.append([0 if began is None else began], k1[at])[group]
+        later = k1 != first
+        known = batch.column("salt").to_numpy(False) > 0
+        several = np.zeros(group[-1] + 1, bool)
+        several[group[later]] = True
+        take = known | later
+        take[at] |= several[group[at]]
+        if several[0] and held is not None:  # the first text was in an earlier batch
+            yield held
+        if (~new).all() and later.any() or len(at):
+            held = None
+        if len(at) and not several[group[-1]]:
+            held = batch.slice(int(at[-1]), 1).select(["anchor", "k1", "k2"])
+        if take.any():
+            yield batch.filter(pa.array(take)).select(["anchor", "k1", "k2"])
 
 
 def _window_rows(batches):
-    for batch in blocks(batches, "text"):
-        w = words_of(batch, "text")
+    """Windows under shared anchors. Of equal windows in a block only that with the least
+    document goes on to be compared; the others are known to repeat and carry a salt."""
+    for batch, w in _unpacked(batches):
         anchor, whole, at, row = anchors(w.hashes(), w.first)
         lists = batch.column("shared")
         shared = lists.flatten().to_numpy(False)
         shared_row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(False))
         both = lambda r, a: mix(a.view(np.uint64)) ^ mix(r.astype(np.uint64) + np.uint64(1))
-        hit = np.isin(both(row, anchor), both(shared_row, shared))
-        if hit.any():
-            row, at = row[hit], at[hit]
-            where = pa.array(row)
-            second, all_at = window_hashes(w.hashes(1), w.first, WINDOW)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(whole[hit].view(np.int64)),
-                    pa.array((second[np.searchsorted(all_at, at)] >> np.uint64(33)).astype(np.int32)),
-                    batch.column("doc_id").take(where),
-                    batch.column("doc_key").take(where),
-                    pa.array((at - w.first[row]).astype(np.int32)),
-                ],
-                ["h", "check", "doc_id", "doc_key", "at"],
-            )
+        hit = np.flatnonzero(np.isin(both(row, anchor), both(shared_row, shared)))
+        if not len(hit):
+            continue
+        h, row, at = whole[hit], row[hit], at[hit]
+        doc = batch.column("doc_id").fill_null(NO_ID).to_numpy(False)[row]
+        order = np.lexsort((doc, h))
+        h, row, at, doc = h[order], row[order], at[order], doc[order]
+        new = np.append(True, h[1:] != h[:-1])
+        known = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        sent = known | np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
+        h, row, at, known = h[sent], row[sent], at[sent], known[sent]
+        where = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.where(known, 0, h.view(np.int64))),
+                pa.array(np.where(known, 1 + (h & np.uint64(1023)).astype(np.int64), 0).astype(np.int32)),
+                pa.array(doc[sent]),
+                batch.column("k1").take(where),
+                batch.column("k2").take(where),
+                pa.array((at - w.first[row]).astype(np.int32)),
+            ],
+            ["h", "salt", "doc_id", "k1", "k2", "at"],
+        )
+
+
+def _later_rows(batches):
+    """From windows sorted by hash and document, those that start in an earlier document too."""
+    for batch, new, began in _carried(batches, ["h", "salt"]):
+        doc = batch.column("doc_id").to_numpy(False)
+        first = np.append([0 if began is None else began], doc[new])[np.cumsum(new)]
+        take = (batch.column("salt").to_numpy(False) > 0) | (doc > first)
+        if take.any():
+            yield batch.filter(pa.array(take)).select(["k1", "k2", "at"])
 
 
 def _kept_rows(batches):
-    for batch in blocks(batches, "text"):
-        w = words_of(batch, "text")
+    for batch, w in _unpacked(batches):
         keep = np.ones(len(w.start) + WINDOW, bool)
+        n_words = np.diff(w.first)
+        doc = batch.column("doc_id").fill_null(NO_ID).to_numpy(False)
+        copy = (doc > batch.column("least").fill_null(NO_ID).to_numpy(False)) & (n_words >= WINDOW)
+        keep[: len(w.start)] = ~np.repeat(copy, n_words)
         lists = batch.column("starts")
         if len(values := lists.flatten()):
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(False))
@@ -168,7 +284,6 @@ def _kept_rows(batches):
             for j in range(WINDOW):
                 keep[begin + j] = False
         keep = keep[: len(w.start)]
-        n_words = np.diff(w.first)
         total = np.append(0, np.cumsum(~keep))
         joined = [w.joined(r, keep) for r in range(w.rows)]
         yield pa.RecordBatch.from_arrays(
@@ -189,30 +304,36 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     A word goes if a window of ``WINDOW`` words over it also starts in a document with a smaller
     id. ``docs`` needs doc_id and text; other columns are ignored.
     """
-    docs = texts(docs).withColumn("doc_key", row_key("doc_id", "text"))
-    rows = docs.select("doc_key", "text").mapInArrow(_anchor_rows, "anchor long, doc_key long")
+    key = ["k1", "k2"]
+    docs = texts(docs).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
     shared = (
-        rows.groupBy("anchor")
-        .agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("most"))
-        .where("least != most")
-        .select("anchor")
-    )
-    of_doc = (
-        rows.join(shared, "anchor", "left_semi")
-        .groupBy("doc_key")
+        docs.select("text", *key)
+        .mapInArrow(_anchor_rows, "anchor long, salt int, k1 long, k2 long")
+        .repartition("anchor", "salt")
+        .sortWithinPartitions("anchor", "salt", "k1")
+        .select("anchor", "salt", *key)
+        .mapInArrow(_of_two_texts, "anchor long, k1 long, k2 long")
+        .groupBy(*key)
         .agg(F.collect_set("anchor").alias("shared"))
     )
-    windows = docs.join(of_doc, "doc_key").mapInArrow(
-        _window_rows, "h long, check int, doc_id long, doc_key long, at int"
-    )
-    firsts = windows.groupBy("h", "check").agg(F.min("doc_id").alias("least"))
+    least = docs.groupBy(*key).agg(F.min("doc_id").alias("least"))
+    packed = docs.mapInArrow(_pack, "doc_id long, k1 long, k2 long, packed binary")
+    first_copies = packed.join(shared, key).join(least, key).where("doc_id <=> least")
     later = (
-        windows.join(firsts, ["h", "check"])
-        .where("least < coalesce(doc_id, 9223372036854775807)")
-        .groupBy("doc_key")
+        first_copies.mapInArrow(
+            _window_rows, "h long, salt int, doc_id long, k1 long, k2 long, at int"
+        )
+        .repartition("h", "salt")
+        .sortWithinPartitions("h", "salt", "doc_id")
+        .mapInArrow(_later_rows, "k1 long, k2 long, at int")
+        .groupBy(*key)
         .agg(F.collect_set("at").alias("starts"))
     )
-    kept = docs.join(later, "doc_key", "left").mapInArrow(
-        _kept_rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+    kept = (
+        packed.join(least, key)
+        .join(later, key, "left")
+        .mapInArrow(
+            _kept_rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+        )
     )
     return kept if with_text else kept.drop("kept")
