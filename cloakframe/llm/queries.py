@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import decontaminate, substring
+from cloakframe.llm import decontaminate, secret_scan, substring
 from cloakframe.llm.common import table
 
 
@@ -20,9 +20,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("doc_key")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
