@@ -30,7 +30,7 @@ from cloakframe.llm.common import texts
 from cloakframe.llm.words import BLOCK_BYTES, blocks, mix, text_arrays, window_hashes, words_of
 
 WINDOW = 13
-ROUNDS = 3
+ROUNDS = 2
 NO_ID = np.iinfo(np.int64).max  # null ids come last
 _OUT = np.int64(1) << 40  # a context that leaves the text
 
@@ -92,6 +92,20 @@ def _widen(cs, ce, at, last, row, s, old_cs, old_ce, to_left, to_right):
     return new_cs, new_ce
 
 
+def _with_neighbours(levels, row):
+    """Each level's symbols, then its pairs of adjacent symbols, which are more telling."""
+    for name, s, e, cs, ce in levels:
+        yield name, s, e, cs, ce
+        both = np.flatnonzero(row[s[1:]] == row[s[:-1]])
+        yield (
+            mix(mix(name[both]) * np.uint64(3) + name[both + 1]),
+            s[both],
+            e[both + 1],
+            np.minimum(cs[both], cs[both + 1]),
+            np.maximum(ce[both], ce[both + 1]),
+        )
+
+
 def anchors(h: np.ndarray, first: np.ndarray, k: int = WINDOW):
     """Anchor of every window of k words, the words the windows begin at, and their rows."""
     whole, at = window_hashes(h, first, k)
@@ -101,7 +115,7 @@ def anchors(h: np.ndarray, first: np.ndarray, k: int = WINDOW):
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(h)
     by_width = np.zeros((k + 1, n + 1), np.uint64)
-    for name, s, e, cs, ce in symbols(h, row):
+    for name, s, e, cs, ce in _with_neighbours(symbols(h, row), row):
         fits = (ce - cs <= k) & (cs >= 0) & (e - s >= 2)
         s, e, cs, ce, name = s[fits], e[fits], cs[fits], ce[fits], name[fits]
         rank = ((e - s).astype(np.uint64) << np.uint64(59)) | (name >> np.uint64(5))
@@ -156,86 +170,83 @@ def _unpacked(batches):
 
 
 def _anchor_rows(batches):
-    """Anchors of each text once. Those of several texts in one block are known to be shared:
-    their rows are spread by a salt, and two of them stand for all where anchors are compared."""
+    """Anchors of each text once, with the low bit clear. Those of several texts in one block are
+    known to be shared: their rows get the bit set, which spreads them, and two rows without it
+    stand for all of them where anchors are compared."""
     for batch in blocks(batches, "text"):
         w = words_of(batch, "text")
         anchor, _, _, row = anchors(w.hashes(), w.first)
         if not len(anchor):
             continue
+        anchor = anchor & ~np.uint64(1)
         k1 = batch.column("k1").to_numpy(False)[row]
         own = _first_of_each(k1, anchor)
-        row, anchor, k1 = row[own], anchor[own], k1[own]
+        anchor, k1 = anchor[own], k1[own]
         ends = np.append(anchor[1:] != anchor[:-1], True)
         starts = np.append(True, ends[:-1])
-        known = ~(starts & ends)
-        sent = starts | ends  # two rows of a known anchor, the only row of another
-        place = np.append(np.flatnonzero(known), np.flatnonzero(sent))
-        salt = np.append(1 + (k1[known] & 63), np.zeros(sent.sum(), np.int64))
-        where = pa.array(row[place])
+        known, sent = ~(starts & ends), starts | ends
         yield pa.RecordBatch.from_arrays(
             [
-                _longs(anchor[place]),
-                pa.array(salt.astype(np.int32)),
-                batch.column("k1").take(where),
-                batch.column("k2").take(where),
+                _longs(np.append(anchor[known] | np.uint64(1), anchor[sent])),
+                pa.array(np.append(k1[known], k1[sent])),
             ],
-            ["anchor", "salt", "k1", "k2"],
+            ["anchor", "k1"],
         )
 
 
-def _carried(batches, key):
-    """For sorted rows: each batch with its keys, and whether the first goes on with the last
-    key of the batch before; with it the value that key began with."""
-    last, began = None, None
+def _carried(batches, key, value):
+    """For sorted rows: each batch, where new keys begin, and for each row the value its key
+    began with, also if that was in an earlier batch."""
+    last, began = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy(False).astype(np.int64) for c in key])
-        new = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))
-        if last is not None and (keys[:, 0] == last).all():
-            new[0] = False
-        yield batch, new, began
-        first = batch.column(2).to_numpy(False)
-        if new.any():
-            began = first[np.flatnonzero(new)[-1]]
-        last = keys[:, -1]
+        keys, values = batch.column(key).to_numpy(False), batch.column(value).to_numpy(False)
+        new = np.append(keys[0] != last, keys[1:] != keys[:-1])
+        first = np.append([began], values[new])[np.cumsum(new)]
+        yield batch, new, keys, values, first
+        last, began = keys[-1], first[-1]
 
 
 def _of_two_texts(batches):
     """From rows sorted by anchor and text, those whose anchor belongs to several texts."""
-    held = None
-    for batch, new, began in _carried(batches, ["anchor", "salt"]):
-        k1 = batch.column("k1").to_numpy(False)
-        group = np.cumsum(new)
-        at = np.flatnonzero(new)
-        first = np.append([0 if began is None else began], k1[at])[group]
-        later = k1 != first
-        known = batch.column("salt").to_numpy(False) > 0
+    held = None  # the first row of the last key, while that key has one text
+    for batch, new, anchor, k1, first in _carried(batches, "anchor", "k1"):
+        group, at = np.cumsum(new), np.flatnonzero(new)
+        known, later = (anchor & 1) > 0, k1 != first
         several = np.zeros(group[-1] + 1, bool)
         several[group[later]] = True
-        take = known | later
-        take[at] |= several[group[at]]
-        if several[0] and held is not None:  # the first text was in an earlier batch
+        if held is not None and several[0]:
             yield held
-        if (~new).all() and later.any() or len(at):
+        if len(at) or several[0]:
             held = None
-        if len(at) and not several[group[-1]]:
-            held = batch.slice(int(at[-1]), 1).select(["anchor", "k1", "k2"])
+        if len(at) and not several[-1]:
+            held = _pairs(anchor[at[-1:]], k1[at[-1:]])
+        take = known | later
+        take[at] |= several[group[at]]
         if take.any():
-            yield batch.filter(pa.array(take)).select(["anchor", "k1", "k2"])
+            yield _pairs(anchor[take] & ~np.int64(1), k1[take])
+
+
+def _pairs(anchor: np.ndarray, k1: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(k1)], ["anchor", "k1"])
+
+
+def _place(k2: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A position together with 31 bits of the second text hash, in case the first collides."""
+    return ((k2 & np.int64(0x7FFFFFFF)) << np.int64(32)) | at
 
 
 def _window_rows(batches):
     """Windows under shared anchors. Of equal windows in a block only that with the least
-    document goes on to be compared; the others are known to repeat and carry a salt."""
+    document goes on to be compared; the others are known to repeat and carry the low bit."""
     for batch, w in _unpacked(batches):
         anchor, whole, at, row = anchors(w.hashes(), w.first)
         lists = batch.column("shared")
         shared = lists.flatten().to_numpy(False)
         shared_row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(False))
         both = lambda r, a: mix(a.view(np.uint64)) ^ mix(r.astype(np.uint64) + np.uint64(1))
-        hit = np.flatnonzero(np.isin(both(row, anchor), both(shared_row, shared)))
+        hit = np.flatnonzero(np.isin(both(row, anchor & ~np.uint64(1)), both(shared_row, shared)))
         if not len(hit):
             continue
         h, row, at = whole[hit], row[hit], at[hit]
@@ -243,31 +254,27 @@ def _window_rows(batches):
         order = np.lexsort((doc, h))
         h, row, at, doc = h[order], row[order], at[order], doc[order]
         new = np.append(True, h[1:] != h[:-1])
-        known = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        sent = known | np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
-        h, row, at, known = h[sent], row[sent], at[sent], known[sent]
-        where = pa.array(row)
+        known = doc > doc[new][np.cumsum(new) - 1]
+        k1, k2 = (batch.column(c).to_numpy(False)[row] for c in ("k1", "k2"))
+        spread = mix(k1.view(np.uint64) + at.astype(np.uint64))
+        h = np.where(known, spread | np.uint64(1), h & ~np.uint64(1))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.where(known, 0, h.view(np.int64))),
-                pa.array(np.where(known, 1 + (h & np.uint64(1023)).astype(np.int64), 0).astype(np.int32)),
-                pa.array(doc[sent]),
-                batch.column("k1").take(where),
-                batch.column("k2").take(where),
-                pa.array((at - w.first[row]).astype(np.int32)),
+                _longs(h),
+                pa.array(doc),
+                pa.array(k1),
+                pa.array(_place(k2, at - w.first[row])),
             ],
-            ["h", "salt", "doc_id", "k1", "k2", "at"],
+            ["h", "doc_id", "k1", "place"],
         )
 
 
 def _later_rows(batches):
     """From windows sorted by hash and document, those that start in an earlier document too."""
-    for batch, new, began in _carried(batches, ["h", "salt"]):
-        doc = batch.column("doc_id").to_numpy(False)
-        first = np.append([0 if began is None else began], doc[new])[np.cumsum(new)]
-        take = (batch.column("salt").to_numpy(False) > 0) | (doc > first)
+    for batch, _, h, doc, first in _carried(batches, "h", "doc_id"):
+        take = ((h & 1) > 0) | (doc > first)
         if take.any():
-            yield batch.filter(pa.array(take)).select(["k1", "k2", "at"])
+            yield batch.filter(pa.array(take)).select(["k1", "place"])
 
 
 def _kept_rows(batches):
@@ -275,12 +282,16 @@ def _kept_rows(batches):
         keep = np.ones(len(w.start) + WINDOW, bool)
         n_words = np.diff(w.first)
         doc = batch.column("doc_id").fill_null(NO_ID).to_numpy(False)
+        k2 = batch.column("k2").to_numpy(False)
         copy = (doc > batch.column("least").fill_null(NO_ID).to_numpy(False)) & (n_words >= WINDOW)
         keep[: len(w.start)] = ~np.repeat(copy, n_words)
         lists = batch.column("starts")
         if len(values := lists.flatten()):
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(False))
-            begin = values.to_numpy(False) + w.first[row]
+            place = values.to_numpy(False)
+            at = place & np.int64(0xFFFFFFFF)
+            own = _place(k2[row], at) == place
+            begin = (at + w.first[row])[own]
             for j in range(WINDOW):
                 keep[begin + j] = False
         keep = keep[: len(w.start)]
@@ -304,36 +315,31 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     A word goes if a window of ``WINDOW`` words over it also starts in a document with a smaller
     id. ``docs`` needs doc_id and text; other columns are ignored.
     """
-    key = ["k1", "k2"]
     docs = texts(docs).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
     shared = (
-        docs.select("text", *key)
-        .mapInArrow(_anchor_rows, "anchor long, salt int, k1 long, k2 long")
-        .repartition("anchor", "salt")
-        .sortWithinPartitions("anchor", "salt", "k1")
-        .select("anchor", "salt", *key)
-        .mapInArrow(_of_two_texts, "anchor long, k1 long, k2 long")
-        .groupBy(*key)
+        docs.select("text", "k1")
+        .mapInArrow(_anchor_rows, "anchor long, k1 long")
+        .repartition("anchor", F.when(F.col("anchor") % 2 != 0, F.col("k1")))
+        .sortWithinPartitions("anchor", "k1")
+        .mapInArrow(_of_two_texts, "anchor long, k1 long")
+        .groupBy("k1")
         .agg(F.collect_set("anchor").alias("shared"))
     )
-    least = docs.groupBy(*key).agg(F.min("doc_id").alias("least"))
+    least = docs.groupBy("k1").agg(
+        F.when(F.min("k2") == F.max("k2"), F.min("doc_id")).alias("least")
+    )
     packed = docs.mapInArrow(_pack, "doc_id long, k1 long, k2 long, packed binary")
-    first_copies = packed.join(shared, key).join(least, key).where("doc_id <=> least")
+    copies = packed.join(least, "k1")
+    firsts = copies.where("least is null or doc_id = least").join(shared, "k1")
     later = (
-        first_copies.mapInArrow(
-            _window_rows, "h long, salt int, doc_id long, k1 long, k2 long, at int"
-        )
-        .repartition("h", "salt")
-        .sortWithinPartitions("h", "salt", "doc_id")
-        .mapInArrow(_later_rows, "k1 long, k2 long, at int")
-        .groupBy(*key)
-        .agg(F.collect_set("at").alias("starts"))
+        firsts.mapInArrow(_window_rows, "h long, doc_id long, k1 long, place long")
+        .repartition("h")
+        .sortWithinPartitions("h", "doc_id")
+        .mapInArrow(_later_rows, "k1 long, place long")
+        .groupBy("k1")
+        .agg(F.collect_set("place").alias("starts"))
     )
-    kept = (
-        packed.join(least, key)
-        .join(later, key, "left")
-        .mapInArrow(
-            _kept_rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-        )
+    kept = copies.join(later, "k1", "left").mapInArrow(
+        _kept_rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     )
     return kept if with_text else kept.drop("kept")
