@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import decontaminate, secret_scan, substring
+from cloakframe.llm import decontaminate, secret_scan, substring, toxicity
 from cloakframe.llm.common import table
 
 
@@ -24,9 +24,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op10_secret_scan": op10_secret_scan,
 }
 
