@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import decontaminate, minhash, secret_scan, substring, toxicity
+from cloakframe.llm import bpe, decontaminate, minhash, secret_scan, substring, toxicity
 from cloakframe.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -33,6 +37,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
