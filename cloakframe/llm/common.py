@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.plans.runtime import new_scratch, shared_dir, ship_package
 
-__all__ = ["new_scratch", "row_key", "shared_dir", "ship_package", "stored", "table", "texts"]
+__all__ = ["new_scratch", "row_key", "shared_dir", "stored", "table", "texts", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +30,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import shared_dir, stored, texts
+from cloakframe.llm.common import shared_dir, stored, texts, unused
 from cloakframe.llm.words import (
     LOWER,
     NOT_SPACE,
@@ -228,9 +228,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and n_links of every document.
+    """doc_id, class_id, n_links, node and class of every document.
 
-    n_links counts the verified links of the document's text: a spanning set of links between
+    class_id is the least doc_id of the class (null if none has an id), class the least node, and
+    a node is a hash of a text. n_links counts the verified links of the document's text: a spanning set of links between
     different texts, not all pairs of a class.
     """
     docs = texts(docs).withColumn("node", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -296,7 +297,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
     )
     least = of_node.groupBy("class").agg(F.min("first").alias("class_id"))
-    named = of_node.join(least, "class").select("node", "class_id", "n_links")
-    return docs.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links")
+    named = of_node.join(least, "class").select("node", "class_id", "n_links", "class")
+    return (
+        docs.select("doc_id", "node")
+        .join(named, "node")
+        .select("doc_id", "class_id", "n_links", "node", "class")
+    )
+
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each class the row with the least id (then the least text hash), all columns kept.
 
+    Rows without an id come after all others of their class. Of rows that repeat both id and
+    text one stays.
+    """
+    columns = docs.columns
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "node")
+    best = near_duplicates(docs).groupBy("class").agg(F.min(order).alias("best"))
+    doc, node = unused(docs, "doc"), unused(docs, "node")
+    best = best.select(F.col("best.doc_id").alias(doc), F.col("best.node").alias(node))
+    keyed = docs.withColumn(node, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = keyed.withColumn(doc, F.col("doc_id").cast("long"))
+    same = keyed[doc].eqNullSafe(best[doc]) & (keyed[node] == best[node])
+    kept = keyed.join(best, same, "left_semi")
+    repeated = keyed.groupBy(doc, node).agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([doc, node])
+    return kept.select(columns)

@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import texts
 from cloakframe.llm.words import LOWER, blocks, buffer_of
 
-WINDOW, STRIDE = 96, 48
+WINDOW, STRIDE = 64, 32
 TRAIN_ROWS = 3000
 TRAIN_CHARS = 20_000
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
 FOLDS = 5
 _EDGES = b".,;:!?*%&$#|\"'()[]{}<>"
+CLEAN_COST = 6  # weight of the share of clean documents rejected against that of toxic ones passed
 _BETTER = 3  # a gain from which a window counts as evidence
 
 
@@ -181,8 +182,9 @@ def _calibrated(score: np.ndarray, y: np.ndarray) -> float:
     """A shift of the log-odds that puts 0.5 where the training labels err least."""
     order = np.argsort(-score)
     s, t = score[order], y[order]
-    errors = np.append(0, np.cumsum(1 - 2 * t)) + t.sum()
-    best = np.flatnonzero(errors == errors.min())
+    clean, bad = max((1 - t).sum(), 1), max(t.sum(), 1)
+    errors = np.append(0, np.cumsum(CLEAN_COST * (1 - t) / clean - t / bad))
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
     i = int(best[len(best) // 2])
     hi, lo = s[max(i - 1, 0)], s[min(i, len(s) - 1)]
     cut = np.clip((hi + lo) / 2, 0.02, 0.98)
