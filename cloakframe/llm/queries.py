@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import bpe, decontaminate, minhash, secret_scan, substring, toxicity
+from cloakframe.llm import bpe, decontaminate, minhash, secret_scan, substring, toxicity, warc
 from cloakframe.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("doc_key")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(
+        warc.write_archives(table(spark, sf_dir, "pages")), keep_payload=False
+    ).drop("url")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
 
