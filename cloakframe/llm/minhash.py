@@ -12,9 +12,11 @@ misses all bands with probability below 3e-6.
 
 Groups of copies never become all pairs. Equal texts are one node from the start. In a bucket all
 nodes are compared with its least node, exactly, on their whole texts, and links become
-components. Only buckets that still hold several components are compared further: in square
-blocks inside tasks, signatures against signatures, and just the pairs of different components
-whose signatures allow the similarity (five deviations) are compared exactly. Nothing is capped.
+components. Buckets that still hold several components take ``TURNS`` more turns with other nodes
+in the middle, now against the nodes of other components only. What even then holds several
+components is compared in square blocks inside tasks, signatures against signatures, and just
+the pairs of different components whose signatures allow the similarity (five deviations) are
+compared exactly. Nothing is capped: turns only leave less for the last step.
 
 Definite results: texts without words are linked to nothing but equal texts; null counts as
 empty; repeated rows are copies.
@@ -43,6 +45,7 @@ from cloakframe.llm.words import (
 SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS, BANDS, ROWS = 256, 42, 6
+TURNS = 3
 BLOCK = 256  # nodes on a side of a block of signatures
 
 
@@ -227,6 +230,31 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(_verify, "a long, b long"), "links")
 
 
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """band, n, node, class of the buckets that hold nodes of several classes, stored."""
+    named = members.join(classes, "node", "left").select(
+        "band", "n", "node", F.coalesce("class", "node").alias("class")
+    )
+    ends = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"))
+    return stored(named.join(ends.where("x != y").select("band"), "band", "left_semi"), "members")
+
+
+def _close_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and different classes that their signatures allow."""
+    across = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, other = F.col("own"), F.col("other")
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    blocks_of = (
+        members.join(signed.select("node", "code"), "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), across).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
+        .withColumn("i", F.least(own, other))
+        .withColumn("j", F.greatest(own, other))
+        .select("band", "i", "j", side.alias("side"), "node", "class", "code")
+    )
+    return blocks_of.groupBy("band", "i", "j").applyInArrow(_close_in_block, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links, node and class of every document.
 
@@ -251,38 +279,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _linked(pairs.distinct(), docs, nodes)
     classes = components(links)
 
-    members = (
-        buckets.join(leads.where("n > 2"), "band")
-        .join(classes, "node", "left")
-        .select("band", "n", "node", F.coalesce("class", "node").alias("class"))
-    )
-    members = stored(members, "members")
-    mixed = members.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y")
-    across = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks_of = (
-        members.join(mixed, "band", "left_semi")
-        .join(signed.select("node", "code"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), across).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
-        .select(
-            "band",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") == F.col("other"), 2)
-            .when(F.col("own") < F.col("other"), 0)
-            .otherwise(1)
-            .alias("side"),
-            "node",
-            "class",
-            "code",
-        )
-    )
-    more = (
-        blocks_of.groupBy("band", "i", "j").applyInArrow(_close_in_block, "a long, b long").distinct()
-    )
-    more_links = _linked(more, docs, nodes)
-    if not more_links.isEmpty():
-        links = links.union(more_links)
+    members = buckets.join(leads.where("n > 2"), "band").select("band", "n", "node")
+    members = _mixed(members, classes)
+    for turn in range(TURNS):
+        if members.isEmpty():
+            break
+        middle = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("a"), F.col("class").alias("of")))
+        middles = members.groupBy("band").agg(middle.alias("m")).select("band", "m.a", "m.of")
+        pairs = members.join(middles, "band").where("class != of")
+        found = _linked(pairs.select("a", F.col("node").alias("b")).distinct(), docs, nodes)
+        links = links.union(found)
+        classes = components(links)
+        members = _mixed(members.select("band", "n", "node"), classes)
+    if not members.isEmpty():
+        links = links.union(_linked(_close_pairs(members, signed), docs, nodes))
         classes = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
