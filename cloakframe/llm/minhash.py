@@ -218,16 +218,18 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the similarity, stored."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and packed text of the wanted nodes, stored."""
     packed = docs.mapInArrow(_pack, "doc_id long, node long, packed binary")
     found = packed.join(nodes.join(wanted, "node"), "node").where("doc_id <=> first")
-    found = stored(found.select("node", "packed"), "texts")  # of members of pairs only
+    return stored(found.select("node", "packed"), "texts")
+
+
+def _linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts reach the similarity, stored."""
     one, two = found.toDF("b", "text_b"), found.toDF("a", "text_a")
     both = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_verify, "a long, b long"), "links")
+    return stored(both.mapInArrow(_verify, "a long, b long").distinct(), "links")
 
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -276,7 +278,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     leads = stored(leads, "leads")
     pairs = buckets.join(leads, "band").where("node != a").select("a", F.col("node").alias("b"))
-    links = _linked(pairs.distinct(), docs, nodes)
+    pairs = stored(pairs.distinct(), "pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = _texts_of(met, docs, nodes)
+    links = _linked(pairs, found)
     classes = components(links)
 
     members = buckets.join(leads.where("n > 2"), "band").select("band", "n", "node")
@@ -287,12 +292,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         middle = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("a"), F.col("class").alias("of")))
         middles = members.groupBy("band").agg(middle.alias("m")).select("band", "m.a", "m.of")
         pairs = members.join(middles, "band").where("class != of")
-        found = _linked(pairs.select("a", F.col("node").alias("b")).distinct(), docs, nodes)
-        links = links.union(found)
+        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
+        links = links.union(_linked(pairs, found))
         classes = components(links)
         members = _mixed(members.select("band", "n", "node"), classes)
     if not members.isEmpty():
-        links = links.union(_linked(_close_pairs(members, signed), docs, nodes))
+        links = links.union(_linked(_close_pairs(members, signed), found))
         classes = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
