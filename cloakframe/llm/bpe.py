@@ -10,7 +10,7 @@ whole: every pair of adjacent tokens occurs in an encoding of a text around it,
 whose adjacent pairs all stand is what byte-pair merging yields.
 
 Words between blanks are encoded independently by this vocabulary, so tasks remember the tokens
-of short words (at most ``MEMORY`` of them) and ask the tokenizer only for new ones.
+of short words (a bounded number of them, see ``MEMORY``) and merge only new ones.
 
 Definite results: null and empty texts give no tokens and decode to an empty text; equal rows
 get equal results.
@@ -19,10 +19,12 @@ get equal results.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,51 +33,89 @@ from cloakframe.llm.common import row_key, texts
 from cloakframe.llm.words import text_arrays
 
 VOCABULARY = "word_bpe_49k.json"
-LEAF = 16_384
-MEMORY = 200_000
+LEAF = 65_536
+MEMORY = 300_000
 SHORT_WORD = 48
 FIRST_WINDOW = 64
 _BLANK = re.compile("[ \n]+")
+#: What this module leaves to the tokenizer: possible special tokens, and all but printable
+#: ASCII, blanks, and Latin letters whose lower case is one character.
+_OTHER = re.compile("<\\||[^ \n!-~\u00c0-\u012f\u0131-\u024f]")
+#: Fixed value: the vocabulary's pattern, for the characters above.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1
+    characters for themselves, the others for 256, 257 and so on in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class Coder:
-    """A tokenizer with a memory of words; one for each task."""
+    """A tokenizer with a memory of words; one for each Python worker.
+
+    Words of ASCII and accented Latin letters are cut by the vocabulary's pattern here and merged
+    by its model; all others, and those that may hold a special token, go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.token = [
             self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())
         ]
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (as bytes) and decoded text of each word."""
-        out = {}
-        for word, code in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids = code.ids
-            out[word] = np.array(ids, "<u4").tobytes(), self.decode(ids)
-        return out
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > MEMORY:
+                self.pieces.clear()
+            spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(piece) <= SHORT_WORD:
+                self.pieces[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if _OTHER.search(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._piece(p) for p in _PIECE.findall(word)])
 
     def decode(self, ids) -> str:
         """As the tokenizer decodes without a decoder: tokens, one space between."""
-        return " ".join([self.token[i] for i in ids])
+        return " ".join(map(self.token.__getitem__, ids))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the decoded text."""
-        words = _BLANK.split(text)
+        if _OTHER.search(text):
+            words = [w if _OTHER.search(w) else w.lower() for w in _BLANK.split(text)]
+        else:
+            words = _BLANK.split(text.lower())
         if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list(dict.fromkeys([w for w in words if w not in self.known]))
+            self.known, self.before = {}, self.known
         found = self.known
-        if new:
-            learned = self._learn(new)
-            self.known.update((w, c) for w, c in learned.items() if len(w) <= SHORT_WORD)
-            if len(learned) and any(len(w) > SHORT_WORD for w in new):
-                found = {**{w: self.known[w] for w in words if w in self.known}, **learned}
-        parts = [found[w] for w in words]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+        once = {}
+        for word in set(words).difference(found):
+            ids = self.before.get(word)
+            if ids is None:
+                ids = self._word(word)
+            if len(word) <= SHORT_WORD:
+                found[word] = ids
+            else:
+                once[word] = ids
+        if once:
+            ids = b"".join([found[w] if w in found else once[w] for w in words])
+        else:
+            ids = b"".join(map(found.__getitem__, words))
+        return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the character each token begins at."""
@@ -216,8 +256,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, leaf: int = LEAF) ->
         coder = coder_of(path)
         for batch in batches:
             codes = [coder.spans(t) for t in batch.column("text").to_pylist()]
-            ids = pa.array([c[0].astype("<i4").tobytes() for c in codes], pa.binary())
-            at = pa.array([c[1].astype("<i4").tobytes() for c in codes], pa.binary())
+            press = zstandard.ZstdCompressor(level=1).compress  # these are shuffled
+            ids = pa.array([press(c[0].astype("<i4").tobytes()) for c in codes], pa.binary())
+            at = pa.array([press(np.diff(c[1], prepend=0).astype("<i4").tobytes()) for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, at], [*batch.schema.names, "ids", "at"])
 
     def tree(table: pa.Table) -> pa.Table:
@@ -226,9 +267,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, leaf: int = LEAF) ->
         part = table.column("text").to_pylist()
         text = "".join(part)
         bounds = np.append(0, np.cumsum([len(p) for p in part])).tolist()
+        unpack = zstandard.ZstdDecompressor().decompress
         codes = [
-            tuple(np.frombuffer(x, "<i4").astype(np.int64) for x in pair)
-            for pair in zip(table.column("ids").to_pylist(), table.column("at").to_pylist())
+            (np.frombuffer(unpack(i), "<i4").astype(np.int64), np.cumsum(np.frombuffer(unpack(a), "<i4")))
+            for i, a in zip(table.column("ids").to_pylist(), table.column("at").to_pylist())
         ]
         ids, _ = concatenate(coder, text, bounds, codes)
         one = _result(

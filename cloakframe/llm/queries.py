@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import bpe, decontaminate, html_text, minhash, secret_scan, spotsigs, substring, toxicity, warc
+from cloakframe.llm import bpe, decontaminate, html_text, minhash, quality, secret_scan, spotsigs, substring, toxicity, warc
 from cloakframe.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_main_text": op3_main_text,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_spotsigs": op5_spotsigs,
