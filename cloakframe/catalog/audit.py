@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cloakframe.catalog.common import Entry
 from cloakframe.catalog.fixtures import demo_policy, kid_of, wide
 from cloakframe.operators import audit as A
-from cloakframe.plans.runtime import new_scratch
+from cloakframe.plans.runtime import cut_lineage, new_scratch
 from cloakframe.sources import audit_log as L
 
 SEGMENT = 25
@@ -25,7 +25,10 @@ def _events(spark, sf):
 
 
 def _chains(spark, sf):
-    return A.build_chain(_events(spark, sf), ["actor"], ["event_id"], "demo", segment=SEGMENT)
+    # stored by the caller, because the queries read the records several times
+    return cut_lineage(
+        A.build_chain(_events(spark, sf), ["actor"], ["event_id"], "demo", segment=SEGMENT)
+    )
 
 
 def _log(spark, sf):

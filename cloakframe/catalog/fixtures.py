@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.plans.keys import KeyRing, RunKey
 from cloakframe.plans.policy import Policy
-from cloakframe.plans.runtime import ship_package, spread
+from cloakframe.plans.runtime import ship_package
 
 SEED = b"development seed, not for production"
 STATUSES = {
@@ -175,5 +175,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table over all cores, for the jobs that encrypt or hash every row."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    """Columns of a table, as the scan splits it."""
+    return table(spark, sf_dir, name).select(*columns)

@@ -8,11 +8,13 @@ from cloakframe.catalog.common import Entry, account, account_sql, message, tag_
 from cloakframe.catalog.fixtures import demo_policy, kid_of, table, wide
 from cloakframe.operators import commitments, digest_frames, encryption, fpe, masking, sharing, tags
 from cloakframe.operators import tokens as tok
-from cloakframe.plans.jobs import first_failure
+from cloakframe.plans.jobs import JobError, first_failure
 from cloakframe.plans.protect import Step, protect_frame
 from cloakframe.plans.runtime import new_scratch
 from cloakframe.sources import tables as T
 
+MAIN = kid_of("main")
+
 
 def mask_accounts(spark, sf):
     """X-1: two columns masked in one projection, with the reasons rows were refused."""
@@ -257,21 +259,21 @@ from customer
 
 
 def _redeem(spark, sf):
-    """X-13, S-2: redeem the even customers' one-time tokens; only the odd ones stay."""
+    """X-13, S-2: redeem the even customers' one-time tokens, then the odd ones' in a second
+    batch; what the vault still holds in between decides about a second redemption."""
     c = wide(spark, sf, "customer", "c_custkey")
     c = c.select("c_custkey", account("c_custkey").alias("acct"))
     done, vault = _new_vault(spark, c, "acct", "once", "c_custkey")
     pol = demo_policy(spark)
-    even = done.filter("c_custkey % 2 = 0").select("c_custkey", "token")
-    decoded, _ = tok.redeem_once(even, "token", "once", pol, vault, "c_custkey")
-    again = tok.detokenize(
-        done.select("c_custkey", "token"), "token", "once", pol, vault, "null"
-    )
-    first = decoded.select("c_custkey", F.col("plaintext").alias("redeemed"))
-    return again.join(first, "c_custkey", "left").select(
-        "c_custkey", "redeemed", F.col("plaintext").alias("left_over"),
-        F.col("error.message").alias("message"),
-    )
+    shown = done.select("c_custkey", "token")
+    even, odd = shown.filter("c_custkey % 2 = 0"), shown.filter("c_custkey % 2 = 1")
+    first, version = tok.redeem_once(even, "token", "once", pol, vault, "c_custkey")
+    held = tok.stored_tokens(shown, "token", "once", pol, vault, version)
+    second, _ = tok.redeem_once(odd, "token", "once", pol, vault, "c_custkey")
+    out = held.join(first.select("c_custkey", F.col("plaintext").alias("redeemed")), "c_custkey", "left")
+    out = out.join(second.select("c_custkey", F.col("plaintext").alias("left_over")), "c_custkey", "left")
+    message = F.when(~F.col("stored"), F.lit(tok.NOT_FOUND)).alias("message")
+    return out.select("c_custkey", "redeemed", "left_over", message)
 
 
 _REDEEM_SQL = f"""
@@ -281,6 +283,51 @@ select c_custkey, case when c_custkey % 2 = 0 then {account_sql("c_custkey")} en
 """
 
 
+def _one_time(spark, sf):
+    """X-12: plain decoding of one-time tokens is refused and leaves the vault as it is."""
+    c = wide(spark, sf, "customer", "c_custkey")
+    c = c.select("c_custkey", account("c_custkey").alias("acct"))
+    done, vault = _new_vault(spark, c, "acct", "once", "c_custkey")
+    pol = demo_policy(spark)
+    shown = done.select("c_custkey", "token")
+    try:
+        tok.detokenize(shown, "token", "once", pol, vault, "null")
+        refused = None
+    except JobError as err:
+        refused = str(err)
+    held = tok.stored_tokens(shown, "token", "once", pol, vault)
+    return held.select("c_custkey", "stored", F.lit(refused).alias("refused"))
+
+
+_ONE_TIME_SQL = """
+select c_custkey, true as stored, 'tokens of a one-time profile can only be redeemed' as refused
+from customer
+"""
+
+
+def _nonces(spark, sf):
+    """R-1: one value in two columns, sealed at two times: no nonce serves two records."""
+    pol = demo_policy(spark)
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", account("o_custkey").alias("a"), account("o_custkey").alias("b")
+    )
+    sealed = None
+    for column in ("a", "b"):
+        for ts in ("1", "2"):
+            part = encryption.encrypt_column(
+                o, column, MAIN, pol, "o_orderkey", timestamp=ts, on_error="null"
+            ).select("sealed.kid", "sealed.nonce")
+            sealed = part if sealed is None else sealed.union(part)
+    return sealed.groupBy("kid").agg(
+        F.count("*").alias("rows"), F.countDistinct("nonce").alias("nonces")
+    )
+
+
+_NONCES_SQL = f"""
+select '{MAIN}' as kid, 4 * count(*) as rows, 4 * count(*) as nonces from orders
+"""
+
+
 def share_round_trip(spark, sf):
     """X-14, X-15: split customer secrets 3-of-5; two, three, four or five shares come back."""
     c = wide(spark, sf, "customer", "c_custkey", "c_name")
@@ -410,18 +457,53 @@ from orders join customer on o_custkey = c_custkey
 
 
 def _dedupe(spark, sf):
-    """A-8: the first order of every customer, keyed by digest."""
+    """A-8: the first order of every customer, keyed by digest; every seventh order has no key and
+    every eleventh a blank one, and these stay apart."""
     pol = demo_policy(spark)
+    key = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey").cast("string"))
     o = table(spark, sf, "orders").select(
-        "o_orderkey", "o_orderstatus", F.col("o_custkey").cast("string").alias("k")
+        "o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, F.lit(" ")).otherwise(key).alias("k")
     )
-    return tags.dedupe_by_digest(o, "k", "customer", pol, ["o_orderkey"])
+    kept, apart = tags.dedupe_by_digest(o, "k", "customer", pol, ["o_orderkey"])
+    apart = apart.select(
+        F.lit(None).cast("string").alias("digest"), "o_orderkey", "o_orderstatus", F.col("error.message").alias("message")
+    )
+    return kept.withColumn("message", F.lit(None).cast("string")).unionByName(apart)
 
 
 _DEDUPE_SQL = f"""
 select {tag_sql("customer", "cast(o_custkey as varchar)")} as digest,
-  min(o_orderkey) as o_orderkey, arg_min(o_orderstatus, o_orderkey) as o_orderstatus
-from orders group by o_custkey
+  min(o_orderkey) as o_orderkey, arg_min(o_orderstatus, o_orderkey) as o_orderstatus,
+  cast(null as varchar) as message
+from orders where o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 group by o_custkey
+union all select null, o_orderkey, o_orderstatus,
+  case when o_orderkey % 11 = 0 then 'plaintext must not be empty' end
+from orders where o_orderkey % 7 = 0 or o_orderkey % 11 = 0
+"""
+
+
+def _join_states(spark, sf):
+    """J-10: an inner join under an active key matches, under a retired one (new digests are not
+    allowed) nothing does, and an outer join still keeps the orders."""
+    pol = demo_policy(spark)
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("k"))
+    c = table(spark, sf, "customer").select("c_name", F.col("c_custkey").cast("string").alias("k"))
+    out = None
+    for profile in ("account", "retired"):
+        part = tags.protected_join(o, c, "k", "k", profile, pol, "left").groupBy().agg(
+            F.lit(profile).alias("profile"),
+            F.count("*").alias("orders"),
+            F.count("digest").alias("digests"),
+            F.count("c_name").alias("matched"),
+        )
+        out = part if out is None else out.union(part)
+    return out
+
+
+_JOIN_STATES_SQL = """
+select 'account' as profile, count(*) as orders, count(*) as digests, count(c_name) as matched
+from orders left join customer on o_custkey = c_custkey
+union all select 'retired', count(*), 0, 0 from orders
 """
 
 
@@ -482,6 +564,9 @@ ENTRIES = {
     "rotate_keys": Entry("X-10", _reencrypt, _REENCRYPT_SQL),
     "tokenize_customers": Entry("X-11 X-12 J-6 SNK-1", tokenize_round_trip, _TOKEN_SQL),
     "redeem_tokens": Entry("X-13 S-2 A-1", _redeem, _REDEEM_SQL),
+    "one_time_guard": Entry("X-12 X-13", _one_time, _ONE_TIME_SQL),
+    "nonce_uniqueness": Entry("R-1 X-8", _nonces, _NONCES_SQL),
+    "join_key_states": Entry("J-10 P-12", _join_states, _JOIN_STATES_SQL),
     "share_secrets": Entry("X-14 X-15 A-9", share_round_trip, _SHARE_SQL),
     "record_digests": Entry("X-16", _row_digest, _ROW_SQL),
     "table_digest": Entry("X-17", table_digests, _TABLE_SQL),

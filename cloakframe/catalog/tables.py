@@ -126,41 +126,52 @@ union select '{MAIN}', sha256(cast(c_custkey as varchar)) from customer
 
 
 def _consume(spark, sf):
-    """S-2: delete the index rows of all customers with orders; compact; what is left."""
+    """S-2: consume the index rows of the customers with even keys, all or nothing; compact and
+    vacuum; what is left, and what an attempt with one unknown key says."""
     c = table(spark, sf, "customer").select(
-        F.lit(MAIN).alias("kid"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("digest")
-    )
-    o = table(spark, sf, "orders").select(
-        F.lit(MAIN).alias("kid"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("digest")
+        "c_custkey",
+        F.lit(MAIN).alias("kid"),
+        F.sha2(F.col("c_custkey").cast("string"), 256).alias("hashid"),
+        F.concat(F.lit("AAAAAAAAAAAAAAAAAAAAAA==.AAAAAAAAAAAAAAAA."), _b64("c_name")).alias("data"),
     )
-    index = T.create_index(spark, new_scratch(spark, "index"))
-    version = T.upsert_index(c, index)
-    gone = index.matching(o.distinct(), version)
-    index.delete(gone.select("kid", "digest"), version)
-    index.compact()
-    return index.read().select("digest")
+    vault = T.create_vault(spark, new_scratch(spark, "vault"))
+    T.append_vault(c.drop("c_custkey"), vault)
+    try:
+        T.consume(vault, c.select("kid", F.sha2(F.concat("hashid", F.lit("?")), 256).alias("hashid")))
+        said = None
+    except T.TableError as err:
+        said = str(err)
+    T.consume(vault, c.filter("c_custkey % 2 = 0").select("kid", "hashid"))
+    vault.compact()
+    vault.vacuum()
+    return vault.read().select("hashid", F.lit(said).alias("said"))
 
 
 _CONSUME_SQL = """
-select sha256(cast(c_custkey as varchar)) as digest from customer
-where c_custkey not in (select o_custkey from orders)
+select sha256(cast(c_custkey as varchar)) as hashid, 'token not found' as said from customer
+where c_custkey % 2 = 1
 """
 
 
 def _missing(spark, sf):
-    """L-3: per segment, nothing to report unless a customer never ordered."""
-    asked = table(spark, sf, "customer").select(
-        F.sha2(F.col("c_custkey").cast("string"), 256).alias("hashid")
-    )
-    found = table(spark, sf, "orders").select(
-        F.sha2(F.col("o_custkey").cast("string"), 256).alias("hashid")
-    )
-    return T.first_missing(asked, found)
+    """L-3: in every market segment the first requested customer that is not among the even ones."""
+    c = table(spark, sf, "customer")
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    found = c.filter("c_custkey % 2 = 0").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("hashid"))
+    out = None
+    for segment in segments:
+        asked = c.filter(F.col("c_mktsegment") == segment).select(
+            F.sha2(F.col("c_custkey").cast("string"), 256).alias("hashid")
+        )
+        part = T.first_missing(asked, found).select(F.lit(segment).alias("segment"), "hashid")
+        out = part if out is None else out.union(part)
+    return out
 
 
 _MISSING_SQL = """
-select min(sha256(cast(c_custkey as varchar))) as hashid from customer
-where c_custkey not in (select o_custkey from orders)
+select s.segment, min(sha256(cast(c_custkey as varchar))) filter (c_custkey % 2 = 1) as hashid
+from (select unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) as segment) s
+left join customer on c_mktsegment = s.segment group by s.segment
 """
 
 

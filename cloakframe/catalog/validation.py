@@ -156,7 +156,7 @@ from customer
 
 def _envelope(spark, sf):
     d = table(spark, sf, "documents")
-    cipher = X.to_base64(X.utf8(F.left("text", F.lit(40))))
+    cipher = X.to_base64(X.utf8("text"))
     label = X.to_base64(X.utf8(F.concat(F.lit("source="), "source")))
     nonce = X.to_base64(F.unhex(F.left(F.sha2("text", 256), F.lit(24))))
     longer = X.to_base64(F.unhex(F.left(F.sha2("text", 256), F.lit(32))))
@@ -170,8 +170,7 @@ def _envelope(spark, sf):
         .when(kind == 4, F.concat_ws(".", cipher, F.concat(nonce, F.lit("!")), label))
         .otherwise(F.concat_ws(".", cipher, F.lit(""), label))
     )
-    made = d.select("doc_id", value.alias("v"), F.octet_length(F.left("text", F.lit(40))).alias("n"))
-    return made.filter("n >= 16").select(
+    return d.select("doc_id", value.alias("v")).select(
         "doc_id",
         P.envelope_ok("v").alias("ok"),
         P.envelope_error("data", "v")["message"].alias("message"),
@@ -179,12 +178,17 @@ def _envelope(spark, sf):
 
 
 _ENVELOPE_SQL = """
-select doc_id, doc_id % 6 = 0 as ok, case doc_id % 6
-  when 1 then 'data must have ciphertext.nonce.aad base64 sections'
-  when 2 then 'data.nonce must be 12 bytes' when 3 then 'data.aad must not be empty'
-  when 4 then 'data contains invalid base64'
-  when 5 then 'data must have ciphertext.nonce.aad base64 sections' end as message
-from documents where strlen(substr(text, 1, 40)) >= 16
+with d as (select doc_id, strlen(text) as n, doc_id % 6 as kind,
+    4 * ((strlen(text) + 2) // 3) as c, 4 * ((strlen('source=' || source) + 2) // 3) as l from documents),
+  m as (select doc_id, case
+  when case kind when 1 then c + 17 when 2 then c + 26 + l when 3 then c + 22 when 4 then c + 19 + l
+    when 5 then c + 2 + l else c + 18 + l end > 32768 then 'data exceeds maximum allowed length: 32768'
+  when kind in (1, 5) or n = 0 then 'data must have ciphertext.nonce.aad base64 sections'
+  when kind = 4 then 'data contains invalid base64'
+  when n < 16 then 'data.ciphertext must include at least a 16-byte authentication tag'
+  when kind = 2 then 'data.nonce must be 12 bytes'
+  when kind = 3 then 'data.aad must not be empty' end as message from d)
+select doc_id, message is null as ok, message from m
 """
 
 _DIGITS = "0123456789"

@@ -6,7 +6,7 @@ check; there is no broadcast hint that a larger table could slip past.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import predicates as P
@@ -23,7 +23,7 @@ from cloakframe.functions.text import (
 from cloakframe.operators.policy_checks import GLOBAL_ACTIONS, KID_HASH, PERMISSION_ACTIONS
 from cloakframe.plans.jobs import lifecycle_error
 from cloakframe.plans.keys import LIFECYCLE_STATUSES
-from cloakframe.plans.ordering import previous_value, use_blocks
+from cloakframe.plans.ordering import previous_value
 
 # Key profiles a key record may carry.
 KEY_PROFILES = [
@@ -336,9 +336,7 @@ def check_key_binding(keys: DataFrame, alg: str = KID_HASH) -> DataFrame:
 # --- lifecycle ------------------------------------------------------------------------
 
 
-def verify_transitions(
-    events: DataFrame, order: list[str], strategy: str = "auto"
-) -> DataFrame:
+def verify_transitions(events: DataFrame, order: list[str]) -> DataFrame:
     """W-3: ``current`` status before each event, whether it was ``accepted``, and the reason.
 
     Keys start active, and a refused event changes nothing, which makes this a fold. It needs
@@ -348,28 +346,17 @@ def verify_transitions(
     """
     status = F.col("status")
     toggle = F.when(status.isin("active", "disabled"), status)
-    blocks = use_blocks(events, ["kid"], strategy)
-    seen = previous_value(
-        events, ["kid"], order, toggle, "_toggle", "blocks" if blocks else "window"
-    )
+    seen = previous_value(events, ["kid"], order, toggle, "_toggle")
     seen = seen.withColumn("_toggle", F.coalesce("_toggle", F.lit("active")))
     ending = status.isin(*TERMINAL) & (F.col("_toggle") == "active")
-    if blocks:
-        at = F.struct(*[F.col(c) for c in order])
-        death = seen.groupBy(F.col("kid").alias("_kid")).agg(
-            F.min(F.when(ending, F.struct(*[F.col(c) for c in order], status))).alias("_end")
-        )
-        death = death.filter(F.col("_end").isNotNull())
-        joined = seen.join(death, F.col("kid") == F.col("_kid"), "left")
-        ended = F.struct(*[F.col(f"_end.{c}").alias(c) for c in order])
-        dead = F.when(F.col("_end").isNotNull() & (at > ended), F.col("_end.status"))
-    else:
-        # Same partitioning and order as above: no further shuffle or sort.
-        earlier = Window.partitionBy("kid").orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        joined = seen
-        dead = F.first(F.when(ending, status), ignorenulls=True).over(earlier)
+    at = F.struct(*[F.col(c) for c in order])
+    death = seen.groupBy(F.col("kid").alias("_kid")).agg(
+        F.min(F.when(ending, F.struct(*[F.col(c) for c in order], status))).alias("_end")
+    )
+    death = death.filter(F.col("_end").isNotNull())
+    joined = seen.join(death, F.col("kid") == F.col("_kid"), "left")
+    ended = F.struct(*[F.col(f"_end.{c}").alias(c) for c in order])
+    dead = F.when(F.col("_end").isNotNull() & (at > ended), F.col("_end.status"))
     made = joined.withColumn("current", F.coalesce(dead, F.col("_toggle")))
     accepted = F.lit(False)
     for before, after in TRANSITIONS.items():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions.digests import hmac_hex, python_hash
 from cloakframe.functions.text import object_json, sanitize, utf8
 from cloakframe.plans.ordering import carry_between, join_carried, row_numbers
-from cloakframe.plans.runtime import cut_lineage, ship_package
+from cloakframe.plans.runtime import ship_package
 from cloakframe.sources.audit_log import (
     BODY_FIELDS,
     CHECKPOINT_EVERY,
@@ -100,8 +100,6 @@ def build_chain(
     log_id: str = "",
     segment: int = CHECKPOINT_EVERY,
     alg: str = DEFAULT_HASH,
-    strategy: str = "auto",
-    materialize: bool = True,
 ) -> DataFrame:
     """Chain the events of each key in ``order`` (unique per key).
 
@@ -111,7 +109,7 @@ def build_chain(
     ``event`` and a ``timestamp`` column (decimal Unix seconds). Returns the record fields plus
     ``chain_key`` columns, ``place`` and ``line``.
     """
-    numbered = row_numbers(events, chain_key, order, "_rn", strategy)
+    numbered = row_numbers(events, chain_key, order, "_rn")
     cut = F.floor((F.col("_rn") - 1) / segment).cast("string")
     name = F.concat_ws("|", F.lit(log_id), *[F.col(k).cast("string") for k in chain_key], cut)
     keyed = numbered.withColumn("chain_id", F.left(F.sha2(name, 256), F.lit(32)))
@@ -138,10 +136,9 @@ def build_chain(
     schema = schema.add("prev_hash", "string").add("event_hash", "string")
     linked = ordered.mapInArrow(link_batches(alg), schema)
     linked = linked.withColumn("_r", F.struct(*[F.col(n).alias(n) for n in RECORD_FIELDS]))
-    built = linked.withColumns(
+    return linked.withColumns(
         {"place": F.col("sequence") * 2, "line": json_of("_r", RECORD_FIELDS)}
     ).drop("_r")
-    return cut_lineage(built) if materialize else built
 
 
 def checkpoint_seal(fields: dict[str, Column], pads: Column) -> Column:

@@ -16,7 +16,7 @@ from cloakframe.functions.text import (
     to_base64url,
     utf8,
 )
-from cloakframe.plans.jobs import finish, lifecycle_error
+from cloakframe.plans.jobs import finish, lifecycle_error, require_unique_refs
 from cloakframe.plans.policy import Policy
 
 
@@ -56,9 +56,10 @@ def commit(
     pos: str | None = None,
 ):
     """Adds ``opening`` and ``commitment``; equal values under different refs differ."""
+    require_unique_refs(df, ref)
     spec, secret = policy.profile("commit", profile), policy.column("commit", profile)
     run = policy.random_column()
-    raw = keyed_random(run, f"opening|{profile}", spec["opening_len"], ref, col)
+    raw = keyed_random(run, f"opening|{profile}|{col}", spec["opening_len"], ref, col)
     opening = to_base64url(raw)
     problem = first_error(P.ref_error(F.col(ref).cast("string")), commit_plain_error(col, secret, "new"))
     made = df.withColumn("opening", opening)

@@ -19,7 +19,7 @@ from cloakframe.functions.text import (
     to_hex,
     utf8,
 )
-from cloakframe.plans.jobs import compute_once, finish, lifecycle_error
+from cloakframe.plans.jobs import compute_once, finish, lifecycle_error, require_unique_refs
 from cloakframe.plans.policy import Policy
 
 AUTH_FAILED = "message authentication failed"
@@ -79,13 +79,17 @@ def encrypt_column(
 ):
     """AES-GCM into ``struct<ctx, nonce, aad, variant, kid, timestamp>``.
 
-    The nonce depends on the run key, the ref and the value, so recomputing a task repeats it
-    and two different values never share one, even under a repeated ref.
+    The nonce depends on the run key, the column, the ref, the value and the label, that is on
+    all that is sealed: recomputing a task repeats it, and no two inputs share one. A ref used
+    twice refuses the frame.
     """
+    require_unique_refs(df, ref)
     secret, run = policy.cipher_column(kid), policy.random_column()
     ts = F.lit(timestamp or _now())
     label = _record_aad(secret["kid"], ts, secret["cipher_alg"])
-    made = df.withColumn("_nonce", keyed_random(run, f"record|{kid}", NONCE_BYTES, ref, col))
+    made = df.withColumn(
+        "_nonce", keyed_random(run, f"record|{kid}|{col}", NONCE_BYTES, ref, col, label)
+    )
     problem = first_error(
         lifecycle_error(secret["key_status"], "new"), P.text_error("plaintext", col)
     )
@@ -191,6 +195,7 @@ def reencrypt_column(
 
     The new label records the source key and time. The plaintext never leaves the stage.
     """
+    require_unique_refs(df, ref)
     old, new, run = (
         policy.cipher_column(from_kid),
         policy.cipher_column(to_kid),
@@ -202,7 +207,7 @@ def reencrypt_column(
         old["kid"], F.col(col)["timestamp"], new["kid"], ts, new["cipher_alg"]
     )
     made = made.withColumn(
-        "_nonce", keyed_random(run, f"moved|{to_kid}", NONCE_BYTES, ref, "_plain")
+        "_nonce", keyed_random(run, f"moved|{to_kid}|{col}", NONCE_BYTES, ref, "_plain", label)
     )
     sealed = _seal(F.col("_plain"), new, F.col("_nonce"), label, ts)
     full = first_error(lifecycle_error(new["key_status"], "new"), problem)

@@ -61,7 +61,6 @@ def latency_summary(
     labels: Sequence[str],
     ts: str,
     exact: bool = True,
-    strategy: str = "auto",
 ) -> DataFrame:
     """A-7: avg, p95, p99 and throughput per label set.
 
@@ -89,7 +88,7 @@ def latency_summary(
             .groupBy(*labels, F.col(value).alias("_v"))
             .agg(F.count("*").alias("_c"))
         )
-        upto = running_total(counted, labels, ["_v"], "_c", "_upto", strategy)
+        upto = running_total(counted, labels, ["_v"], "_c", "_upto")
         sized = upto.join(summary.select(*labels, "_n"), labels)
         ends = []
         for m, q in marks.items():

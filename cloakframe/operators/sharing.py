@@ -24,7 +24,13 @@ from cloakframe.functions.text import (
     to_base64url,
     utf8,
 )
-from cloakframe.plans.jobs import compute_once, lifecycle_error
+from cloakframe.plans.jobs import (
+    JobError,
+    compute_once,
+    first_failure,
+    lifecycle_error,
+    require_unique_refs,
+)
 from cloakframe.plans.policy import Policy
 from cloakframe.plans.runtime import ship_package
 
@@ -139,11 +145,16 @@ def split_secret(
     policy: Policy,
     ref: str,
     on_error: str = "quarantine",
+    pos: str | None = None,
 ):
     """One row per share: the input columns without the secret, ``set_id, index, share``.
 
-    Rows that fail a check come back once, without a share and with their ``error``.
+    Rows that fail a check come back once, without a share and with their ``error``; with
+    ``on_error='fail'`` the first of them in ``pos`` order refuses the frame.
     """
+    if on_error not in ("null", "quarantine", "fail"):
+        raise ValueError(f"unknown on_error: {on_error}")
+    require_unique_refs(df, ref)
     spec, secret = policy.profile("share", profile), policy.column("share", profile)
     run, k, n = policy.random_column(), spec["threshold"], spec["shares"]
     size = F.octet_length(F.col(col))
@@ -184,6 +195,13 @@ def split_secret(
     out = spread.select(*keep, "set_id", "index", share.alias("share"), "error")
     if on_error == "null":
         return out
+    if on_error == "fail":
+        if pos is None:
+            raise ValueError("on_error='fail' needs the position column")
+        failed = first_failure(made, pos).first()
+        if failed["message"] is not None:
+            raise JobError(failed["message"])
+        return out.drop("error")
     good = out.filter(F.col("error").isNull()).drop("error")
     return good, out.filter(F.col("error").isNotNull())
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import predicates as P
 from cloakframe.functions.digests import hmac_hex
 from cloakframe.functions.text import ColumnLike, first_error, utf8
-from cloakframe.plans.jobs import finish, lifecycle_error
+from cloakframe.plans.jobs import compute_once, finish, lifecycle_error
 from cloakframe.plans.policy import Policy
 
 
@@ -58,8 +58,17 @@ def verify_digest(
 
 
 def _with_tag(df: DataFrame, col: str, profile: str, policy: Policy, name: str) -> DataFrame:
+    """Add the digest and its ``_refused`` reason, each computed once per row.
+
+    The digest is NULL where the value is NULL or blank or the key may not be used.
+    """
     spec, secret = policy.profile("mac", profile), policy.column("mac", profile)
-    return df.withColumn(name, tag_column(col, secret, spec["algorithm"]))
+    problem = first_error(
+        lifecycle_error(secret["key_status"], "new"), P.text_error("plaintext", col)
+    )
+    checked = compute_once(df, {"_refused": problem})
+    tag = tag_column(col, secret, spec["algorithm"])
+    return compute_once(checked, {name: F.when(F.col("_refused").isNull(), tag)})
 
 
 def index_membership(
@@ -85,7 +94,7 @@ def index_membership(
 def index_hits(
     df: DataFrame, col: str, profile: str, policy: Policy, index: DataFrame
 ) -> DataFrame:
-    """Only the rows whose digest is stored."""
+    """Only the rows whose digest is stored; refused values have no digest and no hit."""
     kid = policy.profile("mac", profile)["kid"]
     tagged = _with_tag(df, col, profile, policy, "digest")
     stored = index.filter(F.col("kid") == kid).select("digest")
@@ -101,26 +110,34 @@ def protected_join(
     policy: Policy,
     how: str = "inner",
 ) -> DataFrame:
-    """J-10: equality join on digests; both plaintext key columns are dropped first."""
-    lhs = _with_tag(left, left_col, profile, policy, "digest").drop(left_col)
-    rhs = _with_tag(right, right_col, profile, policy, "digest").drop(right_col)
+    """J-10: equality join on digests; both plaintext key columns are dropped first.
+
+    NULL and blank values, and all values under a key that may not be used, have no digest:
+    they match nothing, and outer joins keep their rows with a NULL digest.
+    """
+    lhs = _with_tag(left, left_col, profile, policy, "digest").drop(left_col, "_refused")
+    rhs = _with_tag(right, right_col, profile, policy, "digest").drop(right_col, "_refused")
     return lhs.join(rhs, "digest", how)
 
 
 def dedupe_by_digest(
     df: DataFrame, col: str, profile: str, policy: Policy, order: list[str]
-) -> DataFrame:
-    """A-8: one row per sensitive value, the first in ``order``, with the digest as its key.
+) -> tuple[DataFrame, DataFrame]:
+    """A-8: ``(kept, apart)``: one row per sensitive value, the first in ``order`` (unique per
+    value), with the digest as its key; and the rows that have no digest, with their ``error``.
 
-    ``min`` over a struct combines on the map side, so a value held by a third of all rows
-    leaves each task as one row; a window would send all of them to one task.
+    Only digests and order columns are aggregated, in each task first, so a value held by a
+    third of all rows leaves each task as one narrow row; whole rows are looked up afterwards.
     """
     tagged = _with_tag(df, col, profile, policy, "digest")
-    rest = [c for c in df.columns if c != col and c not in order]
-    packed = F.struct(*[F.col(c) for c in [*order, *rest]])
-    kept = tagged.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min(packed).alias("row")
-    )
-    return kept.select("digest", *[F.col(f"row.{c}").alias(c) for c in df.columns if c != col])
-
-
+    has = tagged.filter(F.col("digest").isNotNull()).drop("_refused")
+    if len(order) == 1:
+        first = F.min(order[0]).alias("_first")
+    else:
+        first = F.min(F.struct(*order)).alias("_first")
+    least = has.groupBy("digest").agg(first)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    rest = [c for c in df.columns if c != col]
+    kept = has.join(least, "digest").filter(at.eqNullSafe(F.col("_first"))).select("digest", *rest)
+    apart = tagged.filter(F.col("digest").isNull()).drop("digest")
+    return kept, apart.withColumnRenamed("_refused", "error")

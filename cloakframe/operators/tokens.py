@@ -31,12 +31,14 @@ from cloakframe.plans.jobs import (
     finish,
     first_failure,
     lifecycle_error,
+    require_unique_refs,
 )
 from cloakframe.plans.policy import Policy
 from cloakframe.sources.tables import SnapshotTable, consume
 
 PAYLOAD = "created_at string, metadata string, plaintext string, profile string"
 NOT_FOUND = "token not found"
+ONE_TIME = "tokens of a one-time profile can only be redeemed"
 
 
 def token_hash(token: Column, profile: Column) -> Column:
@@ -95,12 +97,15 @@ def tokenize(
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows with a token column, vault rows)``.
 
+    A ref used twice refuses the frame. Token and nonce are functions of the run key and of all
+    that is sealed (ref, value, metadata, time, label), so one nonce never seals two payloads.
     Both frames derive every random byte from the run key and the row, so they agree however
     often and wherever they are computed, and nothing has to be cached. Write the vault rows
     first: a crash then leaves vault rows without a token, never the other way round.
     """
     spec, secret = policy.profile("token", profile), policy.column("token", profile)
     run = policy.random_column()
+    require_unique_refs(df, ref)
     meta = canonical_json(metadata) if metadata else F.lit(None).cast("string")
     problem = first_error(
         lifecycle_error(secret["key_status"], "new"),
@@ -113,7 +118,8 @@ def tokenize(
         ),
         *([P.metadata_error(metadata)] if metadata else []),
     )
-    raw = keyed_random(run, f"token|{profile}", spec["token_len"], ref, col)
+    said = F.coalesce(meta, F.lit(""))
+    raw = keyed_random(run, f"token|{profile}|{col}", spec["token_len"], ref, col, said)
     token = F.concat(F.lit(spec["token_prefix"] + "_"), to_base64url(raw))
     done = compute_once(df, {"error": problem})
     done = done.withColumn("token", F.when(F.col("error").isNull(), token))
@@ -129,14 +135,12 @@ def tokenize(
     )
     stored = done.filter(F.col("error").isNull() & F.col(col).isNotNull())
     stored = compute_once(
-        stored,
-        {
-            "hashid": token_hash(F.col("token"), secret),
-            "_nonce": keyed_random(run, f"vault|{profile}", NONCE_BYTES, ref, col),
-        },
+        stored, {"hashid": token_hash(F.col("token"), secret), "_payload": payload}
     ).withColumn("_aad", _data_aad(secret, F.col("hashid")))
+    nonce = keyed_random(run, f"vault|{profile}|{col}", NONCE_BYTES, ref, "_payload", "_aad")
+    stored = compute_once(stored, {"_nonce": nonce})
     sealed = gcm_encrypt(
-        utf8(payload), secret["data_key"], F.col("_nonce"), utf8(F.col("_aad"))
+        utf8("_payload"), secret["data_key"], F.col("_nonce"), utf8(F.col("_aad"))
     )
     data = F.concat_ws(
         ".", to_base64(sealed), to_base64(F.col("_nonce")), to_base64(utf8(F.col("_aad")))
@@ -155,11 +159,14 @@ def _hashed(df: DataFrame, token_col: str, spec: dict, secret: Column) -> DataFr
 def vault_lookup(df: DataFrame, table: SnapshotTable, version: int | None = None) -> DataFrame:
     """J-6: left join of ``(kid, hashid)`` rows with the vault; ``data`` is NULL when missing.
 
-    The shard column is part of the join key, so only partitions a probe can hit are read.
+    One snapshot is used throughout. The shards of the probe are looked up first, a bounded
+    number, and only their folders are read.
     """
+    version = table.version() if version is None else version
     state = table.state(version)
     probe = df.withColumn("shard", table.shard(F.col("hashid"), state))
-    return probe.join(table.read(version), ["kid", "shard", "hashid"], "left").drop("shard")
+    stored = table.read(version, shards=table.shards_of(probe))
+    return probe.join(stored, ["kid", "shard", "hashid"], "left").drop("shard")
 
 
 def detokenize(
@@ -172,7 +179,17 @@ def detokenize(
     pos: str | None = None,
     version: int | None = None,
 ):
-    """Adds ``plaintext`` and ``metadata``. Rows with a malformed token skip the vault."""
+    """Adds ``plaintext`` and ``metadata``. Rows with a malformed token skip the vault.
+
+    Tokens of a one-time profile are only opened by ``redeem_once`` and ``redeem_stream``, which
+    delete them.
+    """
+    if policy.profile("token", profile)["one_time"]:
+        raise JobError(ONE_TIME)
+    return _decode(df, token_col, profile, policy, table, on_error, pos, version)
+
+
+def _decode(df, token_col, profile, policy, table, on_error, pos=None, version=None):
     spec, secret = policy.profile("token", profile), policy.column("token", profile)
     made = _hashed(df, token_col, spec, secret)
     found = vault_lookup(made, table, version)
@@ -216,6 +233,20 @@ def detokenize(
     return done.select(*keep, *[c for c in done.columns if c == "error"])
 
 
+def stored_tokens(
+    df: DataFrame,
+    token_col: str,
+    profile: str,
+    policy: Policy,
+    table: SnapshotTable,
+    version: int | None = None,
+) -> DataFrame:
+    """Adds ``stored``: whether the vault holds the token. Opens nothing and uses nothing up."""
+    spec, secret = policy.profile("token", profile), policy.column("token", profile)
+    found = vault_lookup(_hashed(df, token_col, spec, secret), table, version)
+    return found.select(*df.columns, F.col("data").isNotNull().alias("stored"))
+
+
 def redeem_once(
     df: DataFrame,
     token_col: str,
@@ -242,7 +273,7 @@ def redeem_once(
         raise JobError(
             f"batch item {repeat['_pos']} failed: token batch contains duplicated token"
         )
-    decoded = detokenize(df, token_col, profile, policy, table, "null", version=version)
+    decoded = _decode(df, token_col, profile, policy, table, "null", version=version)
     failed = first_failure(decoded, pos).first()
     if failed["message"] is not None:
         raise JobError(failed["message"])

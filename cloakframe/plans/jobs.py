@@ -76,6 +76,21 @@ def finish(
     raise ValueError(f"unknown on_error: {on_error}")
 
 
+DUPLICATE_REF = "batch contains duplicated ref"
+
+
+def require_unique_refs(df: DataFrame, ref: str) -> None:
+    """A-1: refuse a frame that uses a ref twice; only refs are shuffled, and none is returned.
+
+    This runs a job over the ref column. A stream is checked per micro-batch by its caller.
+    """
+    if df.isStreaming:
+        return
+    refs = df.select(F.col(ref).cast("string").alias("ref")).where("ref is not null")
+    if refs.groupBy("ref").count().where("count > 1").first() is not None:
+        raise JobError(DUPLICATE_REF)
+
+
 def first_failure(df: DataFrame, pos: str, keys: Sequence[str] = ()) -> DataFrame:
     """L-1: the first failing row in input order decides the error of the batch.
 
@@ -130,5 +145,6 @@ __all__ = [
     "first_error",
     "first_failure",
     "lifecycle_error",
+    "require_unique_refs",
     "validate_rows",
 ]

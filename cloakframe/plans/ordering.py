@@ -4,9 +4,8 @@ A window function sends a whole group to one task. When one group may hold a thi
 data, order is instead computed in two levels: rows are cut into blocks that are ranges of the
 order, each block is handled by itself, and what passes from block to block (a row count, the
 last value seen) is a small table with one row per block and group.
-
-``auto`` looks at the largest group first: at or below ``GROUP_LIMIT`` rows a window is
-cheaper, above it blocks are used. Both give the same rows.
+There is one path for all sizes: a group of three rows and a group of a third of the table are
+computed the same way.
 """
 
 from __future__ import annotations
@@ -16,25 +15,6 @@ from pyspark.sql import functions as F
 
 from cloakframe.plans.runtime import cut_lineage
 
-# Largest group handled by one task.
-GROUP_LIMIT = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Size of the biggest group; the counts combine inside each task."""
-    if not keys:
-        return df.count()
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def use_blocks(df: DataFrame, keys: list[str], strategy: str) -> bool:
-    if strategy == "auto":
-        return largest_group(df, keys) > GROUP_LIMIT
-    if strategy not in ("window", "blocks"):
-        raise ValueError(f"unknown strategy: {strategy}")
-    return strategy == "blocks"
-
 
 def range_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add ``_blk`` and ``_at``: rows of a group are ordered by ``(_blk, _at)``.
@@ -54,8 +34,8 @@ def range_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def carry_between(blocks: DataFrame, keys: list[str], per_block: dict[str, Column]) -> DataFrame:
     """For each block, aggregate ``per_block`` over all earlier blocks of the group.
 
-    ``blocks`` has one row per group and block, so this window is as small as the number of
-    blocks.
+    ``blocks`` has one row per group and block, so the window of the largest group is as small
+    as the number of blocks: about a million rows at 100 TB.
     """
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(
         Window.unboundedPreceding, -1
@@ -75,51 +55,31 @@ def join_carried(placed: DataFrame, carried: DataFrame, keys: list[str]) -> Data
 
 
 def running_total(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    weight: str,
-    name: str,
-    strategy: str = "auto",
+    df: DataFrame, keys: list[str], order: list[str], weight: str, name: str
 ) -> DataFrame:
     """Sum of ``weight`` up to and including each row; ``order`` is unique within a group."""
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if not use_blocks(df, keys, strategy):
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-        return df.withColumn(name, F.sum(weight).over(window))
     placed = range_blocks(df, keys, order)
     sums = placed.groupBy(*keys, "_blk").agg(F.sum(weight).alias("_n"))
     offsets = carry_between(sums, keys, {"_before": F.sum("_n")})
-    within = Window.partitionBy(*keys, "_blk").orderBy("_at").rowsBetween(*upto)
+    within = Window.partitionBy(*keys, "_blk").orderBy("_at").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     total = F.sum(weight).over(within) + F.coalesce("_before", F.lit(0))
     return join_carried(placed, offsets, keys).withColumn(name, total).select(*df.columns, name)
 
 
-def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], name: str, strategy: str = "auto"
-) -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """``row_number`` per group in ``order``, which is unique within a group."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_total(ones, keys, order, "_one", name, strategy).select(*df.columns, name)
+    return running_total(ones, keys, order, "_one", name).select(*df.columns, name)
 
 
 def previous_value(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: Column,
-    name: str,
-    strategy: str = "auto",
+    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str
 ) -> DataFrame:
     """The latest non-null ``value`` among strictly earlier rows of the group."""
     df = df.withColumn("_value", value)
     kept = [c for c in df.columns if c != "_value"]
-    if not use_blocks(df, keys, strategy):
-        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        made = df.withColumn(name, F.last("_value", ignorenulls=True).over(earlier))
-        return made.select(*kept, name)
     return carry_value(range_blocks(df, keys, order), keys, ["_at"], name).select(*kept, name)
 
 

@@ -14,7 +14,7 @@ from cloakframe.operators.commitments import commit_plain_error, commitment_colu
 from cloakframe.operators.fpe import fpe_column, fpe_error
 from cloakframe.operators.masking import mask_column, mask_error
 from cloakframe.operators.tags import tag_column
-from cloakframe.plans.jobs import finish, lifecycle_error
+from cloakframe.plans.jobs import finish, lifecycle_error, require_unique_refs
 from cloakframe.plans.policy import Policy
 
 
@@ -65,18 +65,23 @@ def protect_frame(
             spec, p = policy.profile("commit", s.profile), policy.column("commit", s.profile)
             problems.append(commit_plain_error(s.source, p, "new"))
             name = f"{s.output}_opening"
+            problems.append(P.ref_error(F.col(s.ref).cast("string")))
             raw = keyed_random(
                 policy.random_column(),
-                f"opening|{s.profile}",
+                f"opening|{s.profile}|{s.source}",
                 spec["opening_len"],
                 s.ref,
                 s.source,
             )
-            openings[name] = to_base64url(raw)
-            outputs[s.output] = commitment_column(value, F.col(name), p, spec["algorithm"])
+            openings[f"_{name}"] = to_base64url(raw)
+            outputs[name] = F.col(f"_{name}")
+            outputs[s.output] = commitment_column(value, F.col(f"_{name}"), p, spec["algorithm"])
         else:
             raise ValueError(f"unknown job: {s.job}")
+    for ref in {s.ref for s in steps if s.job == "commit"}:
+        require_unique_refs(df, ref)
     made = df.withColumns(openings) if openings else df
+    drop = [*drop, *openings]
     done = finish(made, outputs, first_error(*problems), on_error, pos)
     if isinstance(done, tuple):
         return tuple(f.drop(*drop) for f in done)

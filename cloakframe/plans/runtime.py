@@ -27,11 +27,15 @@ def ship_package() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints; a local one only where none is set."""
+    """The folder the cluster shares for checkpoints.
+
+    Executors and driver must all see it, so it has to be set. Only a session of one JVM
+    (``local`` or ``local[n]``, as in tests) gets a folder of its own where none is set.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
     if not context.getCheckpointDir():
@@ -44,16 +48,6 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core, for jobs that are bound by CPU.
-
-    A file is split at row groups, so a table of few large row groups would keep most cores
-    idle. Scans that have enough partitions are returned as they are, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that a lost executor cannot change the rows."""
     shared_dir(df.sparkSession)

@@ -83,12 +83,32 @@ class SnapshotTable:
         return state
 
     def _commit(self, state: dict, version: int) -> int:
+        """Write the snapshot under another name, then rename it into place.
+
+        A reader sees a whole snapshot or none. The rename refuses to replace a file, which
+        decides between two writers; every other failure is raised as it is.
+        """
+        jvm = self.spark._jvm
+        target = self._version_file(version)
+        staged = self._path_of(f"{self.path}/_versions/_{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(staged, False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if self._fs.exists(target):
+            self._fs.delete(staged, False)
+            raise ConcurrentWrite(f"snapshot {version} exists already")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs.getUri(), self.spark._jsc.hadoopConfiguration()
+        )
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 0)
         try:
-            stream = self._fs.create(self._version_file(version), False)
+            context.rename(staged, target, how)
         except Exception as err:
+            self._fs.delete(staged, False)
+            if "FileAlreadyExists" not in str(err):
+                raise
             raise ConcurrentWrite(f"snapshot {version} exists already") from err
-        stream.write(bytearray(json.dumps(state).encode()))
-        stream.close()
         return version
 
     # --- reading ----------------------------------------------------------------------
@@ -105,17 +125,26 @@ class SnapshotTable:
         paths = [f"{base}/segment={i}" for i in ids]
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """Live rows: ``kid, shard, <key>, <payload>``. Pinned to a snapshot for its lifetime."""
+    def read(self, version: int | None = None, shards: list[str] | None = None) -> DataFrame:
+        """Live rows: ``kid, shard, <key>, <payload>``. Pinned to a snapshot for its lifetime.
+
+        ``shards`` limits data and deletes to the folders of these shards.
+        """
         state = self.state(version)
         columns = ["kid", "shard", self.key]
+        here = F.lit(True) if shards is None else F.col("shard").isin(shards)
         rows = self._load("data", state["segments"], [self.key, *self.payload])
-        rows = rows.select(*columns, *self.payload)
+        rows = rows.filter(here).select(*columns, *self.payload)
         if state["deletes"]:
-            gone = self._load("gone", state["deletes"], [self.key]).select(*columns)
+            gone = self._load("gone", state["deletes"], [self.key]).filter(here).select(*columns)
             rows = rows.join(gone, columns, "left_anti")
         return rows
 
+    def shards_of(self, probe: DataFrame) -> list[str]:
+        """The distinct shards of a frame with a ``shard`` column; at most 16**shard_chars."""
+        found = probe.select("shard").distinct().where("shard is not null").collect()
+        return sorted(r.shard for r in found)
+
     # --- writing ----------------------------------------------------------------------
 
     def _write(self, df: DataFrame, kind: str, columns: list[str], state: dict) -> str:
@@ -146,10 +175,15 @@ class SnapshotTable:
         state["segments"].append(segment)
         return self._commit(state, version + 1)
 
-    def delete(self, keys: DataFrame, version: int) -> int:
-        """Remove ``(kid, key)`` rows from the snapshot ``version``."""
+    def delete(self, keys: DataFrame, version: int, mark: tuple[str, int] | None = None) -> int:
+        """Remove ``(kid, key)`` rows from the snapshot ``version``.
+
+        ``mark`` records in the same commit how far a named stream has come.
+        """
         state = self.state(version)
         state["deletes"].append(self._write(keys, "gone", [self.key], state))
+        if mark is not None:
+            state.setdefault("marks", {})[mark[0]] = mark[1]
         return self._commit(state, version + 1)
 
     def compact(self) -> int:
@@ -160,13 +194,38 @@ class SnapshotTable:
         segment = self._write(live, "data", [self.key, *self.payload], state)
         return self._commit({**state, "segments": [segment], "deletes": []}, version + 1)
 
+    def vacuum(self, keep_versions: int = 1) -> int:
+        """Delete segments and snapshots that none of the newest ``keep_versions`` uses.
+
+        Only then are redeemed rows gone from disk (after ``compact``). Run it when no writer is
+        staging and no reader uses an older snapshot. Returns the number of segments deleted.
+        """
+        if keep_versions < 1:
+            raise ValueError("keep_versions must be at least 1")
+        newest = self.version()
+        kept = range(max(newest - keep_versions + 1, 0), newest + 1)
+        states = [self.state(v) for v in kept if self._fs.exists(self._version_file(v))]
+        gone = 0
+        for kind, field in (("data", "segments"), ("gone", "deletes")):
+            used = {f"segment={i}" for s in states for i in s[field]}
+            folder = self._path_of(f"{self.path}/{kind}")
+            found = list(self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+            for status in found:
+                if status.getPath().getName() not in used:
+                    self._fs.delete(status.getPath(), True)
+                    gone += 1
+        for v in range(kept.start):
+            self._fs.delete(self._version_file(v), False)
+        return gone
+
     def matching(self, probe: DataFrame, version: int | None = None) -> DataFrame:
-        """Stored keys that occur in ``probe``; a small probe is broadcast by its size."""
+        """Stored keys that occur in ``probe``; only the probe's shards are read."""
+        version = self.version() if version is None else version
         state = self.state(version)
         wanted = probe.select(
             "kid", self.shard(F.col(self.key), state).alias("shard"), self.key
         )
-        stored = self.read(version).select("kid", "shard", self.key)
+        stored = self.read(version, self.shards_of(wanted)).select("kid", "shard", self.key)
         return stored.join(wanted, ["kid", "shard", self.key], "left_semi")
 
 
@@ -202,10 +261,25 @@ def scan_vault(
 
 
 def read_vault_export(
-    spark: SparkSession, url: str, table: str = "tokens", **options: str
+    spark: SparkSession,
+    url: str,
+    column: str,
+    lower: int,
+    upper: int,
+    partitions: int,
+    table: str = "tokens",
+    **options: str,
 ) -> DataFrame:
-    """Read a vault kept in a relational database (needs its JDBC driver on the class path)."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    """Read a vault kept in a relational database (needs its JDBC driver on the class path).
+
+    The read is cut by a numeric ``column`` with values from ``lower`` to ``upper``.
+    """
+    return (
+        spark.read.format("jdbc")
+        .options(url=url, dbtable=table, partitionColumn=column, **options)
+        .options(lowerBound=lower, upperBound=upper, numPartitions=partitions)
+        .load()
+    )
 
 
 def append_vault(tokens: DataFrame, table: SnapshotTable) -> int:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -16,10 +17,11 @@ from cloakframe.operators.audit import (
     _event_struct,
     checkpoint_seal,
 )
-from cloakframe.functions.text import object_json
+from cloakframe.functions.text import error, object_json
 from cloakframe.operators.metrics import op_counters
 from cloakframe.operators.tags import keyed_digest
 from cloakframe.operators.tokens import token_error, token_hash
+from cloakframe.plans.jobs import JobError
 from cloakframe.plans.policy import Policy
 from cloakframe.plans.protect import Step, protect_frame
 from cloakframe.plans.runtime import ship_package
@@ -46,13 +48,22 @@ def protect_stream(
 
 
 def index_stream(
-    stream: DataFrame, col: str, profile: str, policy: Policy, table: SnapshotTable
+    stream: DataFrame, col: str, profile: str, policy: Policy, table: SnapshotTable, rejects=None
 ):
-    """T-2: blind-index ingestion; replaying a micro-batch adds nothing. Returns the writer."""
+    """T-2: blind-index ingestion; replaying a micro-batch adds nothing. Returns the writer.
+
+    ``rejects(rows, batch_id)`` receives the rows that failed validation, with their ``error``;
+    without it such a row stops the stream.
+    """
     kid = policy.profile("mac", profile)["kid"]
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         done = keyed_digest(batch, col, profile, policy, "digest", on_error="null")
+        bad = done.filter(F.col("error").isNotNull())
+        if rejects is not None:
+            rejects(bad.drop("digest"), batch_id)
+        elif (first := bad.select("error.message").first()) is not None:
+            raise JobError(first["message"])
         rows = done.filter(F.col("digest").isNotNull()).select(F.lit(kid).alias("kid"), "digest")
         upsert_index(rows, table)
 
@@ -66,47 +77,61 @@ def redeem_stream(
     policy: Policy,
     table: SnapshotTable,
     sink,
+    rejects=None,
+    name: str = "redeem",
+    retries: int = 100,
 ):
     """T-3: of all redemptions of a one-time token exactly one wins. Returns the writer.
 
-    Streaming state removes repeats within and across micro-batches; the vault decides what is
-    still redeemable: deleting is one commit with one winner, and ``sink(winners, batch_id)``
-    receives the decoded rows (read from the snapshot before the deletion) only after it. A
-    crash in between loses that output, as it would lose a response; it never redeems twice.
-    The state keeps one entry per redeemed token; bound it with the retention of the
-    checkpoint.
+    The vault decides: decoded winners of a micro-batch are stored beside the table, then one
+    commit deletes just their rows and records the batch under ``name``, then
+    ``sink(winners, batch_id)`` receives the stored rows. A replayed batch that is recorded
+    already goes straight to the sink, which has to accept a batch twice. Rows that are
+    malformed, unknown or damaged, and repeats within a batch, go to ``rejects(rows, batch_id)``
+    with their ``error``; their vault rows stay. Other writers of the table make a commit wait
+    and try again, up to ``retries`` times.
     """
-    from cloakframe.operators.tokens import detokenize
+    from cloakframe.operators.tokens import NOT_FOUND, _decode
 
     spec, secret = policy.profile("token", profile), policy.column("token", profile)
-    ok = token_error(token_col, spec, secret).isNull()
-    hashed = stream.withColumns(
-        {
-            "kid": F.lit(spec["kid"]),
-            "hashid": F.when(ok, token_hash(F.col(token_col), secret)),
-        }
-    )
-    first = hashed.filter(F.col("hashid").isNotNull()).dropDuplicates(["kid", "hashid"])
+    if not spec["one_time"]:
+        raise JobError("tokenization profile is not one-time")
+
+    def judged(batch: DataFrame, version: int) -> DataFrame:
+        shape = token_error(token_col, spec, secret)
+        made = batch.withColumn("_kid", F.lit(spec["kid"]))
+        made = made.withColumn("_hashid", F.when(shape.isNull(), token_hash(F.col(token_col), secret)))
+        turn = Window.partitionBy("_hashid").orderBy(F.lit(1))
+        again = F.col("_hashid").isNotNull() & (F.row_number().over(turn) > 1)
+        decoded = _decode(made.withColumn("_again", again), token_col, profile, policy, table, "null", version=version)
+        late = F.when(F.col("_again"), error("not_found", F.lit(NOT_FOUND)))
+        return decoded.withColumn("error", F.coalesce("error", late))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        for _ in range(10):
-            version = table.version()
-            rows = batch.drop("kid", "hashid")
-            decoded = detokenize(
-                rows, token_col, profile, policy, table, "null", version=version
-            )
-            winners = decoded.filter(F.col("error").isNull()).drop("error")
-            live = table.matching(batch.select("kid", "hashid"), version)
-            try:
-                if live.first() is not None:
-                    table.delete(live.select("kid", "hashid"), version)
-            except ConcurrentWrite:
-                continue
-            sink(winners, batch_id)
-            return
-        raise TableError("too many concurrent writers")
-
-    return first.writeStream.foreachBatch(write)
+        staged = f"{table.path}/_redeemed/{name}/batch={batch_id}"
+        version = table.version()
+        if table.state(version).get("marks", {}).get(name, -1) < batch_id:
+            for attempt in range(retries + 1):
+                rows = judged(batch, version)
+                rows.write.mode("overwrite").parquet(staged)
+                rows = table.spark.read.parquet(staged)
+                gone = rows.filter("error is null").select(
+                    F.col("_kid").alias("kid"), F.col("_hashid").alias("hashid")
+                )
+                try:
+                    table.delete(gone, version, mark=(name, batch_id))
+                    break
+                except ConcurrentWrite:
+                    if attempt == retries:
+                        raise TableError("too many concurrent writers") from None
+                    time.sleep(min(0.05 * 2**attempt, 5.0))
+                    version = table.version()
+        rows = table.spark.read.parquet(staged).drop("_kid", "_hashid", "_again")
+        sink(rows.filter("error is null").drop("error"), batch_id)
+        if rejects is not None:
+            rejects(rows.filter("error is not null").drop("plaintext", "metadata"), batch_id)
+
+    return stream.writeStream.foreachBatch(write)
 
 
 def counters_stream(events: DataFrame, labels: list[str]) -> DataFrame:

@@ -139,5 +139,5 @@ def test_same_events_give_same_chain(spark, records):
         F.concat(F.lit('he said "x",\u0007 '), F.col("id")).alias("reason"),
         (F.col("id") + 100).cast("string").alias("timestamp"),
     )
-    built = A.build_chain(again.repartition(5), ["actor"], ["at"], "t", segment=25, strategy="blocks")
+    built = A.build_chain(again.repartition(5), ["actor"], ["at"], "t", segment=25)
     assert {r["line"] for r in built.collect()} == {r["line"] for r in records.collect()}

@@ -1,8 +1,9 @@
-"""Window and block strategies give the same rows, also with one hot key and NULL keys."""
+"""Ordered jobs give the rows of a window, with most rows in one group and with NULL keys."""
 
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cloakframe.operators.access import current_lifecycle, verify_transitions
@@ -24,35 +25,42 @@ def rows(df):
     return sorted(df.collect(), key=str)
 
 
+def over(*bounds):
+    return Window.partitionBy("k").orderBy("o").rowsBetween(*bounds)
+
+
+UPTO = (Window.unboundedPreceding, Window.currentRow)
+BEFORE = (Window.unboundedPreceding, -1)
+
+
 def test_row_numbers(skewed):
-    a = row_numbers(skewed, ["k"], ["o"], "n", "window")
-    b = row_numbers(skewed, ["k"], ["o"], "n", "blocks")
-    assert rows(a) == rows(b)
-    assert b.count() == 4000
+    want = skewed.withColumn("n", F.count("*").over(over(*UPTO)))
+    got = row_numbers(skewed, ["k"], ["o"], "n")
+    assert rows(got) == rows(want)
+    assert got.count() == 4000
 
 
 def test_running_total(skewed):
-    a = running_total(skewed, ["k"], ["o"], "w", "t", "window")
-    assert rows(a) == rows(running_total(skewed, ["k"], ["o"], "w", "t", "blocks"))
+    want = skewed.withColumn("t", F.sum("w").over(over(*UPTO)))
+    assert rows(running_total(skewed, ["k"], ["o"], "w", "t")) == rows(want)
 
 
 def test_previous_value(skewed):
-    a = previous_value(skewed, ["k"], ["o"], F.col("v"), "p", "window")
-    assert rows(a) == rows(previous_value(skewed, ["k"], ["o"], F.col("v"), "p", "blocks"))
+    want = skewed.withColumn("p", F.last("v", ignorenulls=True).over(over(*BEFORE)))
+    assert rows(previous_value(skewed, ["k"], ["o"], F.col("v"), "p")) == rows(want)
 
 
 ALLOWED = {"active": {"disabled", "retired", "compromised", "destroyed"}, "disabled": {"active"}}
 
 
-@pytest.mark.parametrize("strategy", ["window", "blocks"])
-def test_lifecycle_equals_a_fold(spark, strategy):
+def test_lifecycle_equals_a_fold(spark):
     statuses = ["active", "disabled", "active", "disabled", "retired", "compromised", "destroyed"]
     events = spark.range(600).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("kid"),
         F.col("id").alias("at"),
         F.get(F.array(*[F.lit(s) for s in statuses]), F.abs(F.hash("id")) % 7).alias("status"),
     )
-    checked = verify_transitions(events, ["at"], strategy)
+    checked = verify_transitions(events, ["at"])
     got = {(r["kid"], r["at"]): (r["current"], r["accepted"]) for r in checked.collect()}
     state: dict = {}
     want = {}
@@ -72,8 +80,7 @@ def test_percentiles(spark):
         F.timestamp_seconds("id").alias("ts"),
     )
     want = df.groupBy("g").agg(F.percentile("v", 0.95), F.percentile("v", 0.99)).collect()
-    for strategy in ("window", "blocks"):
-        got = latency_summary(df, "v", ["g"], "ts", strategy=strategy).select("g", "p95", "p99").collect()
-        for a, b in zip(sorted(got), sorted(want)):
-            assert tuple(a) == pytest.approx(tuple(b))
+    got = latency_summary(df, "v", ["g"], "ts").select("g", "p95", "p99").collect()
+    for a, b in zip(sorted(got), sorted(want)):
+        assert tuple(a) == pytest.approx(tuple(b))
     assert latency_summary(df, "v", ["g"], "ts", exact=False).count() == 2
