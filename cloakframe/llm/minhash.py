@@ -11,9 +11,9 @@ to their similarity. Places are hashed in ``BANDS`` bands of ``ROWS``; a pair at
 misses all bands with probability below 3e-6.
 
 Groups of copies never become all pairs. Equal texts are one node from the start. In a bucket all
-nodes are compared with its least node, exactly, on their whole texts, and links become
-components. Buckets that still hold several components take ``TURNS`` more turns with other nodes
-in the middle, now against the nodes of other components only. What even then holds several
+nodes are compared with one node in the middle, another in every band, exactly, on their whole
+texts, and links become components. Buckets that still hold several components take ``TURNS`` more
+turns with other middles, now against nodes of other components only. What even then holds several
 components is compared in square blocks inside tasks, signatures against signatures, and just
 the pairs of different components whose signatures allow the similarity (five deviations) are
 compared exactly. Nothing is capped: turns only leave less for the last step.
@@ -45,7 +45,7 @@ from cloakframe.llm.words import (
 SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS, BANDS, ROWS = 256, 42, 6
-TURNS = 3
+TURNS = 1
 BLOCK = 256  # nodes on a side of a block of signatures
 
 
@@ -273,11 +273,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "signatures",
     )
     buckets = signed.select("node", F.explode("bands").alias("band"))
+    # the least node after flipping bits by band: another middle in each band, found by a
+    # plain minimum of numbers
+    flip = F.xxhash64("band")
     leads = (
-        buckets.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+        buckets.groupBy("band")
+        .agg(F.min(F.col("node").bitwiseXOR(flip)).alias("least"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("band", "n", F.col("least").bitwiseXOR(flip).alias("lead"))
     )
     leads = stored(leads, "leads")
-    pairs = buckets.join(leads, "band").where("node != a").select("a", F.col("node").alias("b"))
+    pairs = (
+        buckets.join(leads, "band")
+        .where("node != lead")
+        .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+    )
     pairs = stored(pairs.distinct(), "pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     found = _texts_of(met, docs, nodes)
@@ -289,11 +299,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for turn in range(TURNS):
         if members.isEmpty():
             break
-        middle = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("a"), F.col("class").alias("of")))
+        middle = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "node"), F.col("node").alias("a"), F.col("class").alias("of")))
         middles = members.groupBy("band").agg(middle.alias("m")).select("band", "m.a", "m.of")
         pairs = members.join(middles, "band").where("class != of")
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        links = links.union(_linked(pairs, found))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        links = links.union(_linked(pairs.distinct(), found))
         classes = components(links)
         members = _mixed(members.select("band", "n", "node"), classes)
     if not members.isEmpty():
