@@ -52,6 +52,7 @@ HASH_BYTES = {
 # Key prefix reserved by the JSON layer; no user object may use it.
 RESERVED_JSON_KEY_PREFIX = "$serde_json::private::"
 
+# The error texts in this module are part of its interface.
 _BLANK = "(?U)^\\s*\\z"
 _CONTROL = "\\p{Cc}"
 _LABEL_KEY = "^[A-Za-z0-9_.-]+\\z"
