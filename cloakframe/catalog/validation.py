@@ -17,7 +17,7 @@ from cloakframe.functions import text as X
 from cloakframe.functions.gf256 import gf_div, gf_inverse, gf_mul
 from cloakframe.operators import policy_checks as C
 from cloakframe.operators.access import usable_keys
-from cloakframe.plans.jobs import validate_rows
+from cloakframe.plans.jobs import compute_once, validate_rows
 
 
 def _text(spark, sf):
@@ -224,6 +224,8 @@ _META = """case event_id % 6
   when 0 then props
   when 1 then concat('[', props, ']')
   when 2 then left(props, length(props) - 1)
+  when 4 then if(event_id % 4 = 0, concat('{"$serde_json::private::Number": ', props, '}'),
+    concat('{"b": ', props, ', "a": [1, {"z": 1, "y": 2}]}'))
   when 3 then concat('{"pad": "', repeat('x', 120), '", "p": ', props, '}')
   else concat('{"b": ', props, ', "a": [1, {"z": 1, "y": 2}]}') end"""
 
@@ -231,26 +233,35 @@ _META = """case event_id % 6
 def _metadata(spark, sf):
     e = wide(spark, sf, "events", "event_id", "props")
     e = e.select("event_id", F.expr(_META).alias("m"))
+    v = F.col("v")
+    e = compute_once(e, {"v": F.try_parse_json("m")})
+    e = compute_once(
+        e,
+        {"why": P.metadata_error("m", parsed=v)["message"], "canonical": F.to_json(v)},
+    )
     return e.select(
         "event_id",
-        P.metadata_ok("m").alias("ok"),
-        P.metadata_error("m")["message"].alias("message"),
-        P.json_shape_ok("m").alias("shape_ok"),
-        X.canonical_json("m").alias("canonical"),
+        F.col("why").isNull().alias("ok"),
+        F.col("why").alias("message"),
+        P.json_shape_ok("m", v).alias("shape_ok"),
+        "canonical",
     )
 
 
 _METADATA_SQL = """
-select event_id, event_id % 6 in (0, 4) as ok, case event_id % 6
+select event_id, event_id % 6 in (0, 4) and event_id % 12 <> 4 as ok, case event_id % 6
+    when 4 then case when event_id % 12 = 4 then 'metadata contains a reserved JSON object key' end
     when 1 then 'metadata must be a JSON object when present'
     when 2 then 'metadata contains invalid JSON'
     when 3 then 'metadata exceeds tokenization maximum length'
     when 5 then 'metadata is nested too deeply' end as message,
-  event_id % 6 not in (2, 5) as shape_ok,
+  event_id % 6 not in (2, 5) and event_id % 12 <> 4 as shape_ok,
   case event_id % 6 when 0 then replace(props, ' ', '')
     when 1 then '[' || replace(props, ' ', '') || ']' when 2 then null
     when 3 then '{"p":' || replace(props, ' ', '') || ',"pad":"' || repeat('x', 120) || '"}'
-    when 4 then '{"a":[1,{"y":2,"z":1}],"b":' || replace(props, ' ', '') || '}'
+    when 4 then case when event_id % 12 = 4
+      then '{"$serde_json::private::Number":' || replace(props, ' ', '') || '}'
+      else '{"a":[1,{"y":2,"z":1}],"b":' || replace(props, ' ', '') || '}' end
     else repeat('[', 130) || '"[' || event_id || '"' || repeat(']', 130) end as canonical
 from events
 """
@@ -414,19 +425,45 @@ select doc_id,
 """
 
 
+_FAMILY = {"BLAKE2b(160)": 40, "BLAKE2b(256)": 64, "BLAKE2b(512)": 128, "SHA-3(256)": 64, "SHA-3(512)": 128}
+
+
 def _digest_family(spark, sf):
-    """F-6 / U-1: digests without a Spark expression, all of them over every document."""
-    docs = table(spark, sf, "documents").select("doc_id", X.utf8("text").alias("b"))
-    algs = ["BLAKE2b(160)", "BLAKE2b(256)", "BLAKE2b(512)", "SHA-3(256)", "SHA-3(512)"]
-    return docs.select(
-        "doc_id",
-        *[
-            D.digest_hex("b", a).alias(a.lower().replace("(", "_").replace(")", "").replace("-", ""))
-            for a in algs
-        ],
+    """F-6: digests without a Spark expression, of every document: as many distinct ones as there
+    are distinct texts, all of the right length."""
+    docs = table(spark, sf, "documents").select(X.utf8("text").alias("b"))
+    each = [F.struct(F.lit(a).alias("alg"), D.digest_hex("b", a).alias("d")) for a in _FAMILY]
+    return (
+        compute_once(docs, {"all": F.array(*each)})
+        .select(F.inline("all"))
+        .groupBy("alg", "d")
+        .agg(F.count("*").alias("n"))
+        .groupBy("alg")
+        .agg(
+            F.sum("n").alias("documents"),
+            F.count("*").alias("digests"),
+            F.min(F.length("d")).alias("least"),
+            F.max(F.length("d")).alias("most"),
+        )
     )
 
 
+_FAMILY_SQL = " union all ".join(
+    f"select '{a}' as alg, count(*) as documents, count(distinct text) as digests, {n} as least, "
+    f"{n} as most from documents"
+    for a, n in _FAMILY.items()
+)
+
+
+def _digest_udf(spark, sf):
+    """U-1: the function that hashes batches in Python, for a digest that SQL has too."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.lower(F.hex(D.digest_udf("SHA-256")(X.utf8("text")))).alias("digest"))
+
+
+_DIGEST_UDF_SQL = "select doc_id, sha256(text) as digest from documents"
+
+
 _KINDS = [
     "invalid_input",
     "not_found",
@@ -469,12 +506,21 @@ def _gf(spark, sf):
     made = pairs.withColumn("p", gf_mul(F.col("a"), F.col("b")))
     made = made.withColumn("back", gf_div(F.col("p"), F.col("b")))
     one = gf_mul(F.col("b"), gf_inverse(F.col("b")))
-    return made.select("a", "b", "back", one.alias("one"))
+    return made.select("a", "b", F.col("p").cast("int").alias("product"), "back", one.alias("one"))
+
+
+def _double(c: str) -> str:
+    return f"xor(({c} << 1) & 255, case when {c} >= 128 then 27 else 0 end)"
 
 
-_GF_SQL = """
-select distinct cast(l_partkey % 256 as integer) as a, cast(l_orderkey % 255 + 1 as integer) as b,
-  cast(l_partkey % 256 as integer) as back, 1 as one from lineitem
+_GF_SQL = f"""
+with v0 as (select distinct cast(l_partkey % 256 as integer) as a,
+    cast(l_orderkey % 255 + 1 as integer) as b from lineitem),
+  {", ".join(
+    f"v{i + 1} as (select *, {_double('a' if i == 0 else f'd{i}')} as d{i + 1} from v{i})" for i in range(7)
+  )}
+select a, b, cast({"xor(" * 7}(a * (b & 1)){"".join(f", d{i} * ((b >> {i}) & 1))" for i in range(1, 8))}
+    as integer) as product, a as back, 1 as one from v7
 """
 
 
@@ -492,7 +538,8 @@ ENTRIES = {
     "clock_samples": Entry("P-14", _clock, _CLOCK_SQL),
     "text_codecs": Entry("F-1 F-2 F-3 F-4 F-7", _scalars, _SCALARS_SQL),
     "sanitize_and_digest": Entry("F-5 F-6", _sanitize, _SANITIZE_SQL),
-    "digest_family": Entry("F-6 U-1", _digest_family),
+    "digest_family": Entry("F-6", _digest_family, _FAMILY_SQL),
+    "digest_udf": Entry("U-1", _digest_udf, _DIGEST_UDF_SQL),
     "error_status": Entry("F-8 F-10", _status, _STATUS_SQL),
     "field_arithmetic": Entry("F-9", _gf, _GF_SQL),
 }

@@ -350,10 +350,12 @@ def reserved_json_key(c: ColumnLike) -> Column:
     return as_col(c).rlike('"\\$serde_json::private::(?:[^"\\\\]|\\\\.)*"\\s*:')
 
 
-def json_shape_error(field: str, c: ColumnLike) -> Column:
+def json_shape_error(field: str, c: ColumnLike, parsed: Column | None = None) -> Column:
+    """``parsed`` is the variant of ``c``, if the caller has it already."""
     c = as_col(c)
+    parsed = F.try_parse_json(c) if parsed is None else parsed
     return first_error(
-        _bad(c.isNull() | F.try_parse_json(c).isNotNull(), f"{field} contains invalid JSON"),
+        _bad(c.isNull() | parsed.isNotNull(), f"{field} contains invalid JSON"),
         error_when(too_deep(c), "invalid_input", f"{field} is nested too deeply"),
         error_when(
             reserved_json_key(c),
@@ -363,15 +365,17 @@ def json_shape_error(field: str, c: ColumnLike) -> Column:
     )
 
 
-def json_shape_ok(c: ColumnLike) -> Column:
-    return F.when(as_col(c).isNotNull(), json_shape_error("value", c).isNull())
+def json_shape_ok(c: ColumnLike, parsed: Column | None = None) -> Column:
+    return F.when(as_col(c).isNotNull(), json_shape_error("value", c, parsed).isNull())
 
 
-def metadata_error(c: ColumnLike, field: str = "metadata") -> Column:
+def metadata_error(
+    c: ColumnLike, field: str = "metadata", parsed: Column | None = None
+) -> Column:
     c = as_col(c)
-    parsed = F.try_parse_json(c)
+    parsed = F.try_parse_json(c) if parsed is None else parsed
     return first_error(
-        json_shape_error(field, c),
+        json_shape_error(field, c, parsed),
         _bad(
             F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")),
             f"{field} must be a JSON object when present",

@@ -14,7 +14,6 @@ from cloakframe.functions.text import (
     aad,
     base64url_ok,
     base64url_size,
-    canonical_json,
     error_when,
     first_error,
     from_base64,
@@ -37,6 +36,7 @@ from cloakframe.plans.policy import Policy
 from cloakframe.sources.tables import SnapshotTable, consume
 
 PAYLOAD = "created_at string, metadata string, plaintext string, profile string"
+# The error texts in this module are part of its interface.
 NOT_FOUND = "token not found"
 ONE_TIME = "tokens of a one-time profile can only be redeemed"
 
@@ -106,7 +106,10 @@ def tokenize(
     spec, secret = policy.profile("token", profile), policy.column("token", profile)
     run = policy.random_column()
     require_unique_refs(df, ref)
-    meta = canonical_json(metadata) if metadata else F.lit(None).cast("string")
+    meta = F.lit(None).cast("string")
+    if metadata:  # parsed once; checks and canonical form both read the variant
+        df = compute_once(df, {"_variant": F.try_parse_json(metadata)})
+        meta = F.to_json("_variant")
     problem = first_error(
         lifecycle_error(secret["key_status"], "new"),
         P.ref_error(F.col(ref).cast("string")),
@@ -116,7 +119,7 @@ def tokenize(
             "invalid_input",
             "plaintext exceeds tokenization profile maximum length",
         ),
-        *([P.metadata_error(metadata)] if metadata else []),
+        *([P.metadata_error(metadata, parsed=F.col("_variant"))] if metadata else []),
     )
     said = F.coalesce(meta, F.lit(""))
     raw = keyed_random(run, f"token|{profile}|{col}", spec["token_len"], ref, col, said)
@@ -146,7 +149,7 @@ def tokenize(
         ".", to_base64(sealed), to_base64(F.col("_nonce")), to_base64(utf8(F.col("_aad")))
     )
     vault = stored.select(secret["kid"].alias("kid"), "hashid", data.alias("data"))
-    return done, vault
+    return done.drop("_variant"), vault
 
 
 def _hashed(df: DataFrame, token_col: str, spec: dict, secret: Column) -> DataFrame:
