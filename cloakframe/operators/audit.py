@@ -197,8 +197,9 @@ def link_lines(parsed: DataFrame, seal: Column | None = None) -> DataFrame:
     hash of a record or the head hash of a checkpoint).
     Two levels: a window inside each file split, and one summary row per split that carries the
     last record and the line count over to the next one. Nothing is ordered across a whole log.
+    Both levels read one shuffle of the few fields they need, so a line is parsed and hashed once.
     """
-    lines = _slim(parsed, seal)
+    lines = _slim(parsed, seal).repartition("log", "_blk")
     is_record, is_checkpoint = F.col("kind") == "record", F.col("kind") == "checkpoint"
     lines = lines.withColumn("_head", F.when(is_record, F.struct("chain_id", "sequence", "hash")))
     newest = F.max(
