@@ -14,6 +14,7 @@ from cloakframe.operators import access as A
 from cloakframe.operators import policy_checks as C
 from cloakframe.plans.keys import one_row
 from cloakframe.sources.policy import parse_policy, split_policy
+from cloakframe.plans.runtime import cut_lineage
 
 MAIN, OLD = kid_of("main"), kid_of("old")
 
@@ -264,7 +265,7 @@ select c_custkey, 'p-' || (c_custkey % 100) as name,
 
 
 def _duplicates(spark, sf):
-    return C.duplicate_names(split_policy(_policies(spark, sf))).drop("scope")
+    return C.duplicate_names(split_policy(_parsed_once(spark, sf))).drop("scope")
 
 
 _DUPLICATES_SQL = """
@@ -273,8 +274,13 @@ select 'mac_profiles' as section, 'name' as field, 'p-' || (c_custkey % 100) as
 """
 
 
+def _parsed_once(spark, sf):
+    """All documents parsed and stored, because every section reads them."""
+    return cut_lineage(_policies(spark, sf))
+
+
 def _dangling(spark, sf):
-    return C.dangling_kids(split_policy(_policies(spark, sf)), demo_policy(spark).key_frame())
+    return C.dangling_kids(split_policy(_parsed_once(spark, sf)), demo_policy(spark).key_frame())
 
 
 _DANGLING_SQL = """
@@ -284,7 +290,7 @@ from customer where c_custkey % 5 = 0
 
 
 def _gauges(spark, sf):
-    return C.policy_gauges(split_policy(_policies(spark, sf)))
+    return C.policy_gauges(split_policy(_parsed_once(spark, sf)))
 
 
 _GAUGES_SQL = """
