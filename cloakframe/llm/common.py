@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.plans.runtime import new_scratch, shared_dir, ship_package
 
-__all__ = ["new_scratch", "row_key", "shared_dir", "stored", "table", "texts", "unused"]
+__all__ = ["hashed_sample", "new_scratch", "row_key", "shared_dir", "stored", "table", "texts", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(rows: DataFrame, key: Column, n: int, total: int) -> DataFrame:
+    """At most ``n`` of ``total`` rows, those with the least ``key`` (a hash of the row).
+
+    Rows that cannot be among them are filtered out first, so that tasks together send about
+    twice ``n`` rows to the driver, however many tasks there are.
+    """
+    if total > 2 * n:
+        rows = rows.where(F.pmod(key, F.lit(1 << 31)) < int((1 << 31) * 2 * n / total))
+    return rows.orderBy(F.pmod(key, F.lit(1 << 31)), key).limit(n)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

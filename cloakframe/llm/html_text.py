@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.llm.common import hashed_sample
 from cloakframe.llm.labelled_pages import pages as labelled_pages
 from cloakframe.llm.words import blocks
 
@@ -328,14 +329,10 @@ def main_texts(model: Model, sources: list[str]) -> list[str]:
 
 def train(pages: DataFrame, sample: int = TRAIN_PAGES, most_chars: int = 100_000) -> Model:
     """Fit on at most ``sample`` pages, chosen by a hash; pages over ``most_chars`` aren't chosen."""
-    rows = (
-        pages.where((F.length("html") <= most_chars) & F.col("html").contains("<article"))
-        .select("html")
-        .orderBy(F.xxhash64(F.lit("labelled sample"), "html"))
-        .limit(sample)
-        .collect()
-    )
-    return fit([r.html for r in rows])
+    fit_for = pages.where((F.length("html") <= most_chars) & F.col("html").contains("<article"))
+    key = F.xxhash64(F.lit("labelled sample"), "page_id", "html")
+    chosen = hashed_sample(fit_for.select("page_id", "html"), key, sample, pages.count())
+    return fit([r.html for r in chosen.select("html").collect()])
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:

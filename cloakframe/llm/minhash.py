@@ -11,8 +11,8 @@ to their similarity. Places are hashed in ``BANDS`` bands of ``ROWS``; a pair at
 misses all bands with probability below 3e-6.
 
 Groups of copies never become all pairs. Equal texts are one node from the start. In a bucket all
-nodes are compared with one node in the middle, another in every band, exactly, on their whole
-texts, and links become components. Buckets that still hold several components take ``TURNS`` more
+nodes are compared with one node in the middle, one of ``MIDDLES`` orders deciding which, exactly, on
+their whole texts, and links become components. Buckets that still hold several components take ``TURNS`` more
 turns with other middles, now against nodes of other components only. What even then holds several
 components is compared in square blocks inside tasks, signatures against signatures, and just
 the pairs of different components whose signatures allow the similarity (five deviations) are
@@ -45,6 +45,7 @@ from cloakframe.llm.words import (
 SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS, BANDS, ROWS = 256, 42, 6
+MIDDLES = 8
 TURNS = 1
 BLOCK = 256  # nodes on a side of a block of signatures
 
@@ -273,9 +274,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "signatures",
     )
     buckets = signed.select("node", F.explode("bands").alias("band"))
-    # the least node after flipping bits by band: another middle in each band, found by a
-    # plain minimum of numbers
-    flip = F.xxhash64("band")
+    # the least node after flipping bits is the middle, found by a plain minimum of numbers;
+    # few ways of flipping, so that one group has few middles over all its bands
+    flip = F.xxhash64(F.pmod("band", F.lit(MIDDLES)))
     leads = (
         buckets.groupBy("band")
         .agg(F.min(F.col("node").bitwiseXOR(flip)).alias("least"), F.count("*").alias("n"))

@@ -27,15 +27,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import texts
+from cloakframe.llm.common import hashed_sample, texts
 from cloakframe.llm.words import LOWER, blocks, buffer_of
 
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 96, 24
 TRAIN_ROWS = 3000
 TRAIN_CHARS = 20_000
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
 FOLDS = 5
 _EDGES = b".,;:!?*%&$#|\"'()[]{}<>"
+SLACK = 0.02
 CLEAN_COST = 6  # weight of the share of clean documents rejected against that of toxic ones passed
 _BETTER = 3  # a gain from which a window counts as evidence
 
@@ -184,8 +185,8 @@ def _calibrated(score: np.ndarray, y: np.ndarray) -> float:
     s, t = score[order], y[order]
     clean, bad = max((1 - t).sum(), 1), max(t.sum(), 1)
     errors = np.append(0, np.cumsum(CLEAN_COST * (1 - t) / clean - t / bad))
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    i = int(best[len(best) // 2])
+    # the strictest cut that is about as good as the best
+    i = int(np.flatnonzero(errors <= errors.min() + SLACK)[0])
     hi, lo = s[max(i - 1, 0)], s[min(i, len(s) - 1)]
     cut = np.clip((hi + lo) / 2, 0.02, 0.98)
     return float(-np.log(cut / (1 - cut)))
@@ -195,9 +196,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on training folds of ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text)."""
     rated = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isin(0, 1))
     by_hash = F.xxhash64(F.lit("toxicity sample"), "doc_id")
+    total = {r.toxic: r["count"] for r in rated.groupBy("toxic").count().collect()}
     chosen = None
     for label in (1, 0):
-        part = rated.where(F.col("toxic") == label).orderBy(by_hash, "doc_id").limit(TRAIN_ROWS)
+        of_label = rated.where(F.col("toxic") == label)
+        part = hashed_sample(of_label, by_hash, TRAIN_ROWS, total.get(label, 0))
         chosen = part if chosen is None else chosen.union(part)
     # twice TRAIN_ROWS ids at most: the size of this broadcast is bounded by a parameter
     found = texts(docs).join(F.broadcast(chosen), "doc_id")
