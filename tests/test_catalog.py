@@ -29,4 +29,4 @@ def test_query_agrees_with_sql(spark, con, name):
 def test_entry_points_are_consistent():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) == set(ENTRIES)
+    assert set(e.oracle_sql()) <= set(e.queries()) >= set(ENTRIES)
