@@ -34,7 +34,7 @@ from cloakframe.llm.words import text_arrays
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 65_536
-MEMORY = 300_000
+MEMORY = 100_000
 SHORT_WORD = 48
 FIRST_WINDOW = 64
 _BLANK = re.compile("[ \n]+")
@@ -89,6 +89,10 @@ class Coder:
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join([self._piece(p) for p in _PIECE.findall(word)])
 
+    def forget(self) -> None:
+        """Workers outlive tasks; what a task has learned need not."""
+        self.known, self.before, self.pieces = {}, {}, {}
+
     def decode(self, ids) -> str:
         """As the tokenizer decodes without a decoder: tokens, one space between."""
         return " ".join(map(self.token.__getitem__, ids))
@@ -234,6 +238,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, leaf: int = LEAF) ->
         for batch in batches:
             codes = [coder.encode(t or "") for t in batch.column("text").to_pylist()]
             yield _result(batch.column("doc_id"), codes)
+        coder.forget()
 
     def cut(batches):
         for batch in batches:

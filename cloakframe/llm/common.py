@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 
 from cloakframe.plans.runtime import new_scratch, shared_dir, ship_package
 
-__all__ = ["hashed_sample", "new_scratch", "row_key", "shared_dir", "stored", "table", "texts", "unused"]
+__all__ = ["hashed_sample", "new_scratch", "prepare", "row_key", "shared_dir", "stored", "table", "texts", "unused"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare() -> None:
+    """Ship the package, and pass texts to Python in batches of 1000 rows where the session has
+    Spark's default of 10 000: texts can be long."""
     ship_package()
+    conf = SparkSession.active().conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare()
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text; other columns, whatever their names, stay outside."""
+    prepare()
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 

@@ -185,9 +185,11 @@ def _calibrated(score: np.ndarray, y: np.ndarray) -> float:
     s, t = score[order], y[order]
     clean, bad = max((1 - t).sum(), 1), max(t.sum(), 1)
     errors = np.append(0, np.cumsum(CLEAN_COST * (1 - t) / clean - t / bad))
-    # the strictest cut that is about as good as the best
+    # the strictest cut that is about as good as the best; none goes through equal scores
+    between = np.append(True, np.append(s[:-1] - s[1:] > 1e-9, True))
+    errors = np.where(between, errors, np.inf)
     i = int(np.flatnonzero(errors <= errors.min() + SLACK)[0])
-    hi, lo = s[max(i - 1, 0)], s[min(i, len(s) - 1)]
+    hi, lo = s[i - 1] if i else 1.0, s[i] if i < len(s) else 0.0
     cut = np.clip((hi + lo) / 2, 0.02, 0.98)
     return float(-np.log(cut / (1 - cut)))
 

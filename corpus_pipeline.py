@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import bpe, decontaminate, minhash, secret_scan, toxicity
-from cloakframe.llm.common import new_scratch, row_key, table, unused
+from cloakframe.llm.common import new_scratch, prepare, row_key, table, unused
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced."""
+    prepare()
     return secret_scan.redact(docs)
 
 

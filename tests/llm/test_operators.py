@@ -254,6 +254,8 @@ def test_toxicity_rows(spark, docs, rows, none):
     assert toxicity.rate(none, labels).count() == 0
     assert {r.predicted for r in toxicity.rate(docs, labels.limit(0)).collect()} == {0}
     assert toxicity.reject(docs, None).count() == len(rows)
+    few = toxicity.fit(["some text of no kind"] * 5, ["other text of no kind", "more of it"])
+    assert toxicity.reject(docs, few).count() == len(rows)
 
 
 # --- 8 near duplicates ------------------------------------------------------------------

@@ -37,7 +37,7 @@ def test_pipeline(spark):
         after = stage(spark, before, SF).checkpoint()
         assert after.columns == docs.columns
         ids, old = ({r.doc_id for r in d.select("doc_id").collect()} for d in (after, before))
-        assert ids <= old and after.count() == len(ids)
+        assert ids <= old and 0.8 * len(old) < after.count() == len(ids)
         before = after
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
