@@ -34,7 +34,7 @@ from cloakframe.llm.words import text_arrays
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 65_536
-MEMORY = 100_000
+MEMORY = 50_000
 SHORT_WORD = 48
 FIRST_WINDOW = 64
 _BLANK = re.compile("[ \n]+")
@@ -92,6 +92,7 @@ class Coder:
     def forget(self) -> None:
         """Workers outlive tasks; what a task has learned need not."""
         self.known, self.before, self.pieces = {}, {}, {}
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids) -> str:
         """As the tokenizer decodes without a decoder: tokens, one space between."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a single longer text is a block of its own.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 
 _SPACES = [0x20, *range(0x09, 0x0E)]
 NOT_SPACE = np.ones(256, bool)
@@ -44,7 +44,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     known = _POWERS.get(base)
     if known is None or len(known[0]) < n:
-        n = 1 << max(20, (n - 1).bit_length())
+        n = 1 << max(19, (n - 1).bit_length())
         up = np.full(n, base, np.uint64)
         down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
