@@ -1,12 +1,14 @@
 """Toxic text by compression distance.
 
-Two Zstandard dictionaries are trained on labelled texts: one on ordinary text, one on the parts
-of toxic texts that ordinary text lacks (words whose share of toxic documents exceeds their share
-of ordinary ones beyond doubt, as they stand in the toxic documents). A text is cut into
-overlapping windows; each is compressed with the ordinary dictionary and with the ordinary
-dictionary followed by the toxic one. A window with toxic words gets shorter in the second
-case; the largest such gains and the share of windows that gain are the evidence of the document,
-turned into a score by a logistic model whose threshold is calibrated on training labels.
+Two Zstandard dictionaries come from labelled texts. The ordinary one is trained on ordinary text
+and followed by ordinary words that look like toxic ones. The toxic one holds every word whose
+share of toxic documents exceeds its share of ordinary ones beyond chance; how rare such a word may
+be follows from the size of the sample alone, and the dictionary is as long as those words are. A
+text is cut into overlapping windows; each is compressed with the ordinary dictionary and with the
+ordinary dictionary followed by the toxic one. A window with toxic words gets shorter in the second
+case; the largest such gain and the number and share of windows with gains of several sizes are the
+evidence of the document, turned into a score by a logistic model in which no evidence lowers the
+score. Its threshold is calibrated on training labels.
 
 The fit uses a sample of at most ``TRAIN_ROWS`` labelled documents of each class, chosen by a hash,
 with at most ``TRAIN_CHARS`` characters of each (a stretch at a hashed place); scores use whole
@@ -18,6 +20,7 @@ texts have equal scores; without any labels of one class every score is 0.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,15 +33,17 @@ from pyspark.sql import functions as F
 from cloakframe.llm.common import hashed_sample, texts
 from cloakframe.llm.words import LOWER, blocks, buffer_of
 
-WINDOW, STRIDE = 96, 24
+WINDOW, STRIDE = 64, 16
 TRAIN_ROWS = 3000
 TRAIN_CHARS = 20_000
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
+ORDINARY_BYTES = 32_768
 FOLDS = 5
+PARTS = 8  # of the training sample; each is judged by dictionaries of the others
 _EDGES = b".,;:!?*%&$#|\"'()[]{}<>"
 SLACK = 0.02
+CHANCE = 1e-3  # words that would be found by chance in a whole vocabulary without telling words
 CLEAN_COST = 6  # weight of the share of clean documents rejected against that of toxic ones passed
-_BETTER = 3  # a gain from which a window counts as evidence
+_STEPS = (1, 2, 3, 4, 5, 6, 8, 10)  # gains from which windows are counted
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -50,20 +55,49 @@ def _words(text: bytes) -> list[bytes]:
     return [w for w in text.split() if w.strip(_EDGES)]
 
 
-def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Words of clearly more toxic than ordinary documents (six deviations, five points)."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for group, count in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for text in group:
-            count.update({w.strip(_EDGES) for w in _words(text)})
-    n, m = len(toxic), len(ordinary)
-    found = set()
+def spread(group: list[bytes]) -> Counter:
+    """In how many of the texts each word stands."""
+    count = Counter()
+    for text in group:
+        count.update({w.strip(_EDGES) for w in _words(text)})
+    return count
+
+
+def telling_words(in_toxic: Counter, in_ordinary: Counter, n: int, m: int) -> list[bytes]:
+    """Words that stand in more of ``n`` toxic than of ``m`` ordinary texts, the most telling last.
+
+    Where labels have nothing to do with words, a word of t texts is in k or more toxic ones with a
+    probability of at most exp(-t * D), D the divergence of k / t from the toxic share of all texts.
+    """
+    share, most = n / (n + m), math.log(CHANCE / max(len(in_toxic), 1))
+    found = []
     for word, k in in_toxic.items():
-        p = (k + in_ordinary[word]) / (n + m)
-        excess = k / n - in_ordinary[word] / m
-        if k >= 5 and excess > max(0.05, 6 * np.sqrt(p * (1 - p) * (1 / n + 1 / m))):
-            found.add(word)
-    return found
+        t = k + in_ordinary[word]
+        if share < 1 and k > share * t:
+            clean = (t - k) * math.log((t - k) / t / (1 - share)) if k < t else 0
+            chance = -k * math.log(k / t / share) - clean
+            if chance < most:
+                found.append((-chance, word))
+    return [word for _, word in sorted(found)]
+
+
+def _fragments(word: bytes) -> set[bytes]:
+    padded = b" " + word + b" "
+    return {padded[i : i + n] for n in range(4, 9) for i in range(len(padded) - n + 1)}
+
+
+def lookalikes(words: list[bytes], in_toxic: Counter, in_ordinary: Counter, n: int, m: int) -> list[bytes]:
+    """For each fragment of ``words``, the commonest ordinary word that has it.
+
+    They go to the ordinary dictionary, so that only what ordinary words lack makes a gain.
+    """
+    wanted, known = set().union(*map(_fragments, words)), set(words)
+    best: dict[bytes, tuple[int, bytes]] = {}
+    for word, k in in_ordinary.items():
+        if k >= 3 and word not in known and 3 * k * n >= 2 * in_toxic[word] * m:
+            for f in _fragments(word) & wanted:
+                best[f] = max(best.get(f, (0, b"")), (k, word))
+    return [word for _, word in sorted(set(best.values()))]
 
 
 def _dictionary(size: int, samples: list[bytes], k: int) -> bytes:
@@ -84,9 +118,13 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=known, compression_params=how)
 
 
+def _compressors(ordinary: bytes, toxic: bytes):
+    return _compressor(ordinary), _compressor(ordinary + toxic)
+
+
 @dataclass
 class Model:
-    """What tasks are given: two dictionaries of a few KB and a handful of weights."""
+    """What tasks are given: two dictionaries, together about 32 KB and the words, and some weights."""
 
     ordinary: bytes
     toxic: bytes
@@ -96,7 +134,7 @@ class Model:
     bias: float
 
     def compressors(self):
-        return _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
+        return _compressors(self.ordinary, self.toxic)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         z = (evidence - self.center) / self.scale @ self.weight + self.bias
@@ -116,16 +154,15 @@ def gains(pair, lowered: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def evidence(gain: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Per document: largest gain, third largest, log count and share of gaining windows."""
-    order = np.lexsort((-gain, row))
-    first = np.searchsorted(row[order], np.arange(n))
+    """Per document: largest gain; log count and root of the share of windows with each of _STEPS."""
     size = np.bincount(row, minlength=n)
-    ranked = np.maximum(gain[order], 0)
-    third = ranked[np.minimum(first + np.minimum(size - 1, 2), len(ranked) - 1)]
-    third = np.where(size > 2, third, 0)
-    many = np.bincount(row, weights=gain >= _BETTER, minlength=n)
-    total = np.bincount(row, weights=np.maximum(gain - _BETTER, 0), minlength=n)
-    return np.stack([ranked[first], third, np.log1p(many), np.log1p(total), many / size], 1)
+    most = np.zeros(n)
+    np.maximum.at(most, row, np.clip(gain, 0, 16))
+    columns = [most]
+    for step in _STEPS:
+        many = np.bincount(row, weights=gain >= step, minlength=n)
+        columns += [np.log1p(many), np.sqrt(many / size)]
+    return np.stack(columns, 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -143,40 +180,60 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def _rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """A logistic regression without negative weights."""
+    on = np.ones(x.shape[1], bool)
+    while True:
+        weight = np.zeros(len(on))
+        weight[on], bias = _logistic(x[:, on], y)
+        if (weight >= 0).all():
+            return weight, bias
+        on[weight.argmin()] = False
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     """A model from a bounded sample of texts of both classes."""
     toxic, ordinary = ([t.encode().lower() for t in dict.fromkeys(g)] for g in (toxic, ordinary))
     if not toxic or not ordinary:
         return None
-    # half of each class trains the dictionaries and half calibrates, then the other way round
+    counts = [(spread(toxic[i::PARTS]), spread(ordinary[i::PARTS])) for i in range(PARTS)]
     evidence_of, label = [], []
-    for part in (0, 1):
-        dictionaries = _train(toxic[part::2], ordinary[part::2])
-        pair = Model(*dictionaries, *[np.zeros(5)] * 3, 0.0).compressors()
-        other = [*toxic[1 - part :: 2], *ordinary[1 - part :: 2]]
+    for part in range(PARTS):
+        rest = [[t for i, t in enumerate(g) if i % PARTS != part] for g in (toxic, ordinary)]
+        pair = _compressors(*_train(*rest, counts[:part] + counts[part + 1 :]))
+        other = [*toxic[part::PARTS], *ordinary[part::PARTS]]
         evidence_of.append(_evidence_of(pair, other))
-        label.append(np.arange(len(other)) < len(toxic[1 - part :: 2]))
+        label.append(np.arange(len(other)) < len(toxic[part::PARTS]))
     x, y = np.concatenate(evidence_of), np.concatenate(label).astype(float)
     center, scale = x.mean(0), x.std(0) + 1e-9
-    weight, bias = _logistic((x - center) / scale, y)
-    model = Model(*_train(toxic, ordinary), center, scale, weight, bias)
+    weight, bias = _rising((x - center) / scale, y)
+    model = Model(*_train(toxic, ordinary, counts), center, scale, weight, bias)
     model.bias += _calibrated(model.score(x), y)
     return model
 
 
-def _train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    words = telling_words(toxic, ordinary) if toxic and ordinary else set()
+def _train(toxic: list[bytes], ordinary: list[bytes], counts: list[tuple[Counter, Counter]]) -> tuple[bytes, bytes]:
+    """Both dictionaries; ``counts`` are the word counts of parts that together are the texts."""
+    in_toxic, in_ordinary = Counter(), Counter()
+    for of_toxic, of_ordinary in counts:
+        in_toxic.update(of_toxic)
+        in_ordinary.update(of_ordinary)
+    known = in_toxic, in_ordinary, len(toxic), len(ordinary)
+    words = telling_words(*known) if toxic and ordinary else []
     pieces = [t[i : i + 64] for t in ordinary for i in range(0, len(t), 64)]
-    keep = np.random.default_rng(0).permutation(len(pieces))[:30_000]
-    plain = _dictionary(ORDINARY_BYTES, [pieces[i] for i in keep], 32)
-    runs = [b" ".join(w for w in _words(t) if w.strip(_EDGES) in words) for t in toxic]
-    return plain[-ORDINARY_BYTES + 256 :], _dictionary(TOXIC_BYTES, runs, 16) if words else b""
+    keep = np.random.default_rng(0).permutation(len(pieces))[:60_000]
+    plain = _dictionary(ORDINARY_BYTES, [pieces[i] for i in keep], 32)[-ORDINARY_BYTES + 256 :]
+    return plain + _joined(lookalikes(words, *known)), _joined(words)
+
+
+def _joined(words: list[bytes]) -> bytes:
+    return b"".join(b" " + w + b" " for w in words)
 
 
 def _evidence_of(pair, group: list[bytes]) -> np.ndarray:
     bounds = np.append(0, np.cumsum([len(t) for t in group]))
     gain, row = gains(pair, b"".join(group), bounds)
-    return evidence(gain, row, len(group)) if len(group) else np.zeros((0, 5))
+    return evidence(gain, row, len(group)) if len(group) else np.zeros((0, 1 + 2 * len(_STEPS)))
 
 
 def _calibrated(score: np.ndarray, y: np.ndarray) -> float:

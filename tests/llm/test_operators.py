@@ -258,6 +258,35 @@ def test_toxicity_rows(spark, docs, rows, none):
     assert toxicity.reject(docs, few).count() == len(rows)
 
 
+def rated_texts(n, per_text, insults, seed, share=1.0):
+    """``n`` toxic and ``n`` ordinary texts; a ``share`` of the toxic ones hold ``per_text`` insults."""
+    rng = random.Random(seed)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    common = ["".join(random.Random(i).choices(syllables, k=1 + i % 4)) for i in range(3000)]
+    toxic, ordinary = ([rng.choices(common, k=rng.randrange(30, 90)) for _ in range(n)] for _ in range(2))
+    for words in toxic[: int(n * share)]:
+        for _ in range(per_text):
+            words.insert(rng.randrange(len(words)), rng.choice(insults))
+    return [" ".join(w) for w in toxic], [" ".join(w) for w in ordinary]
+
+
+def caught(model, group):
+    score = model.score(toxicity._evidence_of(model.compressors(), [t.encode() for t in group]))
+    return float((score >= 0.5).mean())
+
+
+def test_toxicity_finds_a_long_tail_of_rare_insults():
+    """Each of 80 insults stands in less than 5 % of the toxic texts."""
+    rng = random.Random(1)
+    insults = ["".join(rng.choices("aeioubcdfghjklmnpqrstvwxyz", k=rng.randrange(6, 11))) for _ in range(80)]
+    toxic, ordinary = rated_texts(900, 3, insults, 2)
+    assert max(sum(w in t.split() for t in toxic) for w in insults) < 0.06 * len(toxic)
+    model = toxicity.fit(toxic, ordinary)
+    toxic, ordinary = rated_texts(300, 3, insults, 3)
+    assert caught(model, toxic) > 0.9
+    assert caught(model, ordinary) < 0.02
+
+
 # --- 8 near duplicates ------------------------------------------------------------------
 
 
