@@ -40,10 +40,10 @@ ORDINARY_BYTES = 32_768
 FOLDS = 5
 PARTS = 8  # of the training sample; each is judged by dictionaries of the others
 _EDGES = b".,;:!?*%&$#|\"'()[]{}<>"
-SLACK = 0.02
 CHANCE = 1e-3  # words that would be found by chance in a whole vocabulary without telling words
-CLEAN_COST = 6  # weight of the share of clean documents rejected against that of toxic ones passed
+CLEAN_COST = 3  # weight of the share of clean documents rejected against that of toxic ones passed
 _STEPS = (1, 2, 3, 4, 5, 6, 8, 10)  # gains from which windows are counted
+_BETTER = 3  # a gain that is evidence
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -136,9 +136,11 @@ class Model:
     def compressors(self):
         return _compressors(self.ordinary, self.toxic)
 
+    def log_odds(self, evidence: np.ndarray) -> np.ndarray:
+        return (evidence - self.center) / self.scale @ self.weight + self.bias
+
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        z = (evidence - self.center) / self.scale @ self.weight + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(evidence), -30, 30)))
 
 
 def gains(pair, lowered: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +210,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     center, scale = x.mean(0), x.std(0) + 1e-9
     weight, bias = _rising((x - center) / scale, y)
     model = Model(*_train(toxic, ordinary, counts), center, scale, weight, bias)
-    model.bias += _calibrated(model.score(x), y)
+    model.bias -= _cut(model.log_odds(x), y, x[:, 0] >= _BETTER)
     return model
 
 
@@ -236,19 +238,20 @@ def _evidence_of(pair, group: list[bytes]) -> np.ndarray:
     return evidence(gain, row, len(group)) if len(group) else np.zeros((0, 1 + 2 * len(_STEPS)))
 
 
-def _calibrated(score: np.ndarray, y: np.ndarray) -> float:
-    """A shift of the log-odds that puts 0.5 where the training labels err least."""
-    order = np.argsort(-score)
+def _cut(score: np.ndarray, y: np.ndarray, seen: np.ndarray) -> float:
+    """The score where training labels err least, amid the gap there.
+
+    Toxic documents count by their share of those in which there is evidence (``seen``).
+    """
+    order = np.argsort(-score, kind="stable")
     s, t = score[order], y[order]
-    clean, bad = max((1 - t).sum(), 1), max(t.sum(), 1)
+    clean, bad = max((1 - t).sum(), 1), max((y * seen).sum(), 1)
     errors = np.append(0, np.cumsum(CLEAN_COST * (1 - t) / clean - t / bad))
-    # the strictest cut that is about as good as the best; none goes through equal scores
+    # no cut goes through equal scores
     between = np.append(True, np.append(s[:-1] - s[1:] > 1e-9, True))
-    errors = np.where(between, errors, np.inf)
-    i = int(np.flatnonzero(errors <= errors.min() + SLACK)[0])
-    hi, lo = s[i - 1] if i else 1.0, s[i] if i < len(s) else 0.0
-    cut = np.clip((hi + lo) / 2, 0.02, 0.98)
-    return float(-np.log(cut / (1 - cut)))
+    i = int(np.where(between, errors, np.inf).argmin())
+    hi, lo = s[i - 1] if i else s[0] + 2, s[i] if i < len(s) else s[-1] - 2
+    return float(hi + lo) / 2
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

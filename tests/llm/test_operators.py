@@ -287,6 +287,15 @@ def test_toxicity_finds_a_long_tail_of_rare_insults():
     assert caught(model, ordinary) < 0.02
 
 
+def test_toxicity_cut_gives_up_no_texts_with_evidence():
+    """Four of ten toxic labels are of texts without any evidence."""
+    insults = "trash worthless pathetic idiot disgusting stupid clown scum loser moron".split()
+    model = toxicity.fit(*rated_texts(600, 2, insults, 4, share=0.6))
+    toxic, ordinary = rated_texts(600, 2, insults, 5)
+    assert caught(model, toxic) > 0.93
+    assert caught(model, ordinary) < 0.05
+
+
 # --- 8 near duplicates ------------------------------------------------------------------
 
 
