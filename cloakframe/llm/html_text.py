@@ -10,7 +10,8 @@ messages go up and then down the tree, level by level for a whole batch of pages
 marginal favours content are the text.
 
 Scripts, styles, form controls and other text that a browser doesn't show as page text are no
-leaves. Definite results: null or empty html gives an empty text; repeated rows get equal results;
+leaves. Hidden elements end with their end tag, with that of a block around them or with what can't
+stand in them (anything that a head can't hold ends the head). Definite results: null or empty html gives an empty text; repeated rows get equal results;
 nesting may be of any depth.
 """
 
@@ -42,6 +43,11 @@ RAW_TAGS = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "
 HIDDEN_TAGS = frozenset(
     "head noscript template svg math select button datalist object audio video canvas map".split()
 )
+#: What may stand in <head>; any other start tag or text ends a head that is still open.
+HEAD_TAGS = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
+#: Start tags that end an open <svg> or <math>, outside of the parts of these that hold HTML.
+NOT_FOREIGN = BLOCK_TAGS - {"body", "html"} | frozenset("body b big br code em embed i img s small span strong sub sup u".split())
+HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: What a start tag ends if it is the innermost open block.
 ENDS = {
     "li": {"li"},
@@ -93,9 +99,9 @@ def parse(source: str, marks: bool = False) -> Tree:
     tree = Tree()
     stack = [(0, "root")]
     pieces: list[str] = []
-    linked = at = hidden = 0
+    linked = at = 0
     in_link = False
-    hidden_tag = ""
+    hidden: list[str] = []  # the open hidden element, and what is open inside it
 
     def close_leaf():
         nonlocal linked
@@ -108,12 +114,31 @@ def parse(source: str, marks: bool = False) -> Tree:
 
     def take(raw: str):
         nonlocal linked
+        if hidden == ["head"] and raw.strip():
+            hidden.clear()
         if not hidden and raw:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if in_link:
                 linked += len(text)
 
+    def end_hidden(name: str):
+        """What is open inside a hidden element and ends before the start tag ``name``."""
+        if hidden == ["head"]:
+            if name not in HEAD_TAGS:
+                hidden.clear()
+        elif name == "body" and hidden[0] == "head":
+            hidden.clear()
+        elif name in ("select", "button") and name in hidden:
+            del hidden[hidden.index(name) :]
+        elif name in ("input", "textarea") and hidden[-1] == "select":
+            hidden.pop()
+        elif name in NOT_FOREIGN:
+            for k in range(len(hidden) - 1, -1, -1):
+                if hidden[k] not in ("svg", "math"):
+                    break
+                del hidden[k]
+
     n = len(source)
     while at < n:
         m = _TOKEN.search(source, at)
@@ -130,23 +155,33 @@ def parse(source: str, marks: bool = False) -> Tree:
         if m[1]:
             if name == "a":
                 in_link = False
-            elif hidden:
-                hidden -= name == hidden_tag
-            elif name in BLOCK_TAGS:
+                continue
+            if hidden:
+                if name in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
+                    continue
+                if name != "body" and not any(name == tag for _, tag in stack):
+                    continue
+                hidden.clear()
+            if name in BLOCK_TAGS:
                 close_leaf()
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][1] == name:
                         del stack[k:]
                         break
             continue
+        if hidden:
+            end_hidden(name)
         if name in RAW_TAGS:
             end = _END_OF[name].search(source, at)
             at = end.end() if end else n
         elif hidden:
-            hidden += name == hidden_tag and not m[3].endswith("/")
+            inside = name in HIDDEN_TAGS or name in BLOCK_TAGS or name in HTML_IN_FOREIGN
+            if inside and name not in ("head", "html", "body", "hr") and not m[3].endswith("/"):
+                hidden.append(name)
         elif name in HIDDEN_TAGS:
             if not m[3].endswith("/"):
-                hidden, hidden_tag = 1, name
+                hidden.append(name)
         elif name == "body":
             close_leaf()
         elif name in BLOCK_TAGS:

@@ -498,6 +498,29 @@ def test_main_text(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
+def leaves(source):
+    return [" ".join(t.split()) for t in html_text.parse(source).text if t is not None]
+
+
+@pytest.mark.parametrize("then", ["<body><p>Text", "<p>Text", "<article>Text", "Text", "<b>Text</b>", "</head>Text"])
+def test_a_head_without_its_end_tag(then):
+    head = "<html><head><meta charset=utf-8><title>No</title><noscript><p>no</p><img src=a></noscript><style>no</style>"
+    assert leaves(head + then) == ["Text"]
+    assert leaves(head.replace("</noscript>", "") + "<body><p>Text") == ["Text"]
+
+
+@pytest.mark.parametrize("tag", ["select", "button", "object", "svg", "noscript", "canvas", "video", "math", "template"])
+def test_hidden_elements_without_their_end_tags(tag):
+    assert leaves(f"<article><div>one <{tag}>no</div><p>two</p></article>") == ["one", "two"]
+    inside = "<g>no</g>" if tag in ("svg", "math") else "<div>no</div><p>no</p>"
+    assert leaves(f"<div>one <{tag}>{inside}no<{tag}>no</{tag}></{tag}>two</div>") == ["one two"]
+
+
+def test_html_inside_svg_stays_hidden():
+    assert leaves("<svg><text>no</text><foreignObject><p>no</p></foreignObject>no</svg><p>yes</p>") == ["yes"]
+    assert leaves("<div><svg><path d=a>no<p>yes</p></div>") == ["yes"]
+
+
 def test_messages_equal_enumeration():
     """Marginals of the tree against the sum over all assignments."""
     import itertools
