@@ -14,9 +14,10 @@ Groups of copies never become all pairs. Equal texts are one node from the start
 nodes are compared with one node in the middle, one of ``MIDDLES`` orders deciding which, exactly, on
 their whole texts, and links become components. Buckets that still hold several components take ``TURNS`` more
 turns with other middles, now against nodes of other components only. What even then holds several
-components is compared in square blocks inside tasks, signatures against signatures, and just
-the pairs of different components whose signatures allow the similarity (five deviations) are
-compared exactly. Nothing is capped: turns only leave less for the last step.
+components is compared in blocks inside tasks: nodes outside the largest component of the bucket
+against all its nodes, signatures first (five deviations are allowed), then whole texts, and only as
+long as the two are still in different components. A block emits the links that join components,
+never its pairs. Nothing is capped: turns only leave less for the last step.
 
 Definite results: texts without words are linked to nothing but equal texts; null counts as
 empty; repeated rows are copies.
@@ -46,7 +47,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS, BANDS, ROWS = 256, 42, 6
 MIDDLES = 8
-TURNS = 1
+TURNS = 2
 BLOCK = 256  # nodes on a side of a block of signatures
 
 
@@ -155,20 +156,25 @@ def _pack(batches):
         )
 
 
-def _verify(batches):
-    """Pairs whose texts reach the similarity; the last texts looked at are kept parsed."""
-    unpack = zstandard.ZstdDecompressor()
-    known: dict[int, tuple] = {}
-
-    def parsed(node, packed):
-        if node not in known:
-            if len(known) > 64:
-                known.clear()
-            data = LOWER[np.frombuffer(unpack.decompress(packed), np.uint8)]
+class _Parsed:
+    """Shingles of packed texts; the last texts looked at are kept."""
+
+    def __init__(self, most: int = 64):
+        self.unpack, self.most, self.known = zstandard.ZstdDecompressor(), most, {}
+
+    def __call__(self, node: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if node not in self.known:
+            if len(self.known) > self.most:
+                self.known.clear()
+            data = LOWER[np.frombuffer(self.unpack.decompress(packed), np.uint8)]
             _, value, count = shingles(find_words(data, np.array([0, len(data)]), NOT_SPACE))
-            known[node] = value, count
-        return known[node]
+            self.known[node] = value, count
+        return self.known[node]
+
 
+def _verify(batches):
+    """Pairs whose texts reach the similarity."""
+    parsed = _Parsed()
     for batch in batches:
         a, b, text_a, text_b = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
         good = [
@@ -178,52 +184,99 @@ def _verify(batches):
         yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
 
-def _close_in_block(table: pa.Table) -> pa.Table:
-    """Pairs of different components in one block of a bucket that their signatures allow."""
-    side = table.column("side").to_numpy()
-    node, group = table.column("node").to_numpy(), table.column("class").to_numpy()
+def _join_in_block(table: pa.Table) -> pa.Table:
+    """Verified links that join two classes, among the nodes of one block of a bucket.
+
+    Nodes of side 0 are held against those of side 1. Classes that a link has joined are not
+    compared again, so a block emits fewer links than it has nodes.
+    """
+    side, minor = table.column("side").to_numpy(), table.column("minor").to_numpy(False)
+    node, group = table.column("node").to_numpy(), table.column("class").to_numpy().copy()
     code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(node), -1)
+    packed = table.column("packed")
+    parsed = _Parsed()
     least = SIMILARITY - 5 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / COMPONENTS)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     a, b = [], []
     for i in left.tolist():
-        near = (code[right] == code[i]).mean(1) >= least
-        near &= group[right] != group[i]
-        a += [min(node[i], x) for x in node[right[near]]]
-        b += [max(node[i], x) for x in node[right[near]]]
+        # two nodes outside the largest class stand on both sides: once is enough
+        open_ = (group[right] != group[i]) & (~minor[right] | (node[right] > node[i]))
+        agree = (code[right[open_]] == code[i]).mean(1)
+        near = np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]
+        for c in right[open_][near].tolist():
+            if group[c] == group[i]:
+                continue
+            pair = [parsed(int(node[x]), packed[x].as_py()) for x in (i, c)]
+            if probability_jaccard(*pair[0], *pair[1]) >= SIMILARITY:
+                a.append(min(node[i], node[c]))
+                b.append(max(node[i], node[c]))
+                group[group == group[c]] = group[i]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _flat(up: DataFrame) -> DataFrame:
+    """Pointers (node, to) followed to their ends; the number of rounds is logarithmic in the depth."""
+    while True:
+        beyond = up.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        longer = up.join(beyond, "to").select("node", "to", "end").checkpoint()
+        up = longer.select("node", F.col("end").alias("to"))
+        if longer.where("to != end").isEmpty():
+            return up
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, class: the least node of the connected component, for all nodes of ``links``.
 
-    Every round takes the least label among the neighbours and then the label of that label, so
-    the number of rounds grows with the logarithm of the longest path.
+    Every round points each node to its least neighbour, follows the pointers, and goes on with the
+    links between different ends. A star collapses at once, so links soon become few.
     """
     shared_dir(links.sparkSession)
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").checkpoint()
-    label = both.groupBy("node").agg(F.least("node", F.min("other")).alias("class")).checkpoint()
+    links = links.select("a", "b").checkpoint()
+    names = None
     while True:
-        heard = (
-            both.join(label.toDF("other", "heard"), "other").groupBy("node").agg(F.min("heard").alias("heard"))
-        )
-        nearer = label.join(heard, "node").select("node", "class", F.least("class", "heard").alias("to"))
-        jump = label.toDF("to", "beyond")
-        following = (
-            nearer.join(jump, "to")
-            .select("node", F.col("class").alias("was"), F.least("to", "beyond").alias("class"))
+        both = links.union(links.select("b", "a")).toDF("node", "other")
+        up = _flat(both.groupBy("node").agg(F.least("node", F.min("other")).alias("to")))
+        if names is None:
+            names = up.toDF("node", "class")
+        else:
+            names = names.join(up.toDF("class", "to"), "class", "left").select(
+                "node", F.coalesce("to", "class").alias("class")
+            )
+        one, two = up.toDF("a", "of_a"), up.toDF("b", "of_b")
+        links = (
+            links.join(one, "a")
+            .join(two, "b")
+            .where("of_a != of_b")
+            .select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+            .distinct()
             .checkpoint()
         )
-        label = following.select("node", "class")
-        if following.where("was != class").isEmpty():
-            return label
+        if links.isEmpty():
+            return names.checkpoint()
+
+
+def _joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` after links between some of them."""
+    one, two = classes.toDF("a", "of_a"), classes.toDF("b", "of_b")
+    between = (
+        links.join(one, "a", "left")
+        .join(two, "b", "left")
+        .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        .where("a != b")
+        .distinct()
+    )
+    up = components(between).toDF("class", "to")
+    old = classes.join(up, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+    # nodes that had no link so far
+    new = up.toDF("node", "class").join(classes.select("node"), "node", "left_anti")
+    return old.union(new).checkpoint()
 
 
 def _texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and packed text of the wanted nodes, stored."""
     packed = docs.mapInArrow(_pack, "doc_id long, node long, packed binary")
     found = packed.join(nodes.join(wanted, "node"), "node").where("doc_id <=> first")
-    return stored(found.select("node", "packed"), "texts")
+    return stored(found.select("node", "packed").dropDuplicates(["node"]), "texts")
 
 
 def _linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -234,28 +287,43 @@ def _linked(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """band, n, node, class of the buckets that hold nodes of several classes, stored."""
+    """band, node, class of the buckets that hold nodes of several classes, stored."""
     named = members.join(classes, "node", "left").select(
-        "band", "n", "node", F.coalesce("class", "node").alias("class")
+        "band", "node", F.coalesce("class", "node").alias("class")
     )
     ends = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"))
     return stored(named.join(ends.where("x != y").select("band"), "band", "left_semi"), "members")
 
 
-def _close_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different classes that their signatures allow."""
+def _block_links(members: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the classes of each bucket, stored.
+
+    Every node outside the largest class of its bucket is held against all nodes, in blocks of
+    ``BLOCK`` on a side; nodes of the largest class are not held against each other.
+    """
+    of_class = members.groupBy("band", "class").agg(F.count("*").alias("k"))
+    size = of_class.groupBy("band").agg(
+        F.sum("k").alias("n"), F.max("k").alias("k"), F.max(F.struct("k", "class"))["class"].alias("most")
+    )
+    down = F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")
     across = F.ceil(F.col("n") / BLOCK).cast("int")
-    own, other = F.col("own"), F.col("other")
-    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    placed = (
+        members.select("band", "node", "class")
+        .join(size, "band")
+        .select("band", "node", "class", (F.col("class") != F.col("most")).alias("minor"), down.alias("down"), across.alias("across"))
+    )
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = ("band", "i", "j", "side", "node", "class", "minor")
+    above = placed.where("minor").withColumn("i", at("down")).withColumn("j", every("across"))
+    beside = placed.withColumn("j", at("across")).withColumn("i", every("down"))
     blocks_of = (
-        members.join(signed.select("node", "code"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), across).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), across - 1)))
-        .withColumn("i", F.least(own, other))
-        .withColumn("j", F.greatest(own, other))
-        .select("band", "i", "j", side.alias("side"), "node", "class", "code")
+        above.withColumn("side", F.lit(0)).select(*rows).union(beside.withColumn("side", F.lit(1)).select(*rows))
+        .join(signed.select("node", "code"), "node")
+        .join(found, "node")
     )
-    return blocks_of.groupBy("band", "i", "j").applyInArrow(_close_in_block, "a long, b long").distinct()
+    linked = blocks_of.groupBy("band", "i", "j").applyInArrow(_join_in_block, "a long, b long")
+    return stored(linked.distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -295,7 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _linked(pairs, found)
     classes = components(links)
 
-    members = buckets.join(leads.where("n > 2"), "band").select("band", "n", "node")
+    members = buckets.join(leads.where("n > 2"), "band").select("band", "node")
     members = _mixed(members, classes)
     for turn in range(TURNS):
         if members.isEmpty():
@@ -304,12 +372,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         middles = members.groupBy("band").agg(middle.alias("m")).select("band", "m.a", "m.of")
         pairs = members.join(middles, "band").where("class != of")
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        links = links.union(_linked(pairs.distinct(), found))
-        classes = components(links)
-        members = _mixed(members.select("band", "n", "node"), classes)
+        more = _linked(pairs.distinct(), found)
+        links, classes = links.union(more), _joined_classes(classes, more)
+        members = _mixed(members.select("band", "node"), classes)
     if not members.isEmpty():
-        links = links.union(_linked(_close_pairs(members, signed), found))
-        classes = components(links)
+        more = _block_links(members, signed, found)
+        links, classes = links.union(more), _joined_classes(classes, more)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = (
