@@ -296,6 +296,23 @@ def test_toxicity_cut_gives_up_no_texts_with_evidence():
     assert caught(model, ordinary) < 0.05
 
 
+def test_toxicity_without_evidence_rejects_nothing():
+    """A cut that rejects all texts is never the cheapest, however few toxic labels show evidence."""
+    y, plain = np.repeat([1.0, 0.0], 100), np.zeros(200)
+    cut = toxicity._cut(plain, y, plain > 0)
+    assert not (plain > cut).any()
+    some = np.where(np.arange(200) < 20, 5.0, 0.0)  # 20 of 100 toxic labels
+    cut = toxicity._cut(some, y, some > 0)
+    assert ((some > cut) == (some > 0)).all()
+    for share in (0.0, 0.2):
+        insults = "trash worthless pathetic idiot disgusting stupid clown scum loser moron".split()
+        toxic, ordinary = rated_texts(150, 2, insults, 6, share=share)
+        model = toxicity.fit(toxic, ordinary)
+        assert caught(model, rated_texts(300, 2, insults, 7)[1]) < 0.05
+    few = toxicity.fit(toxic[:2], ordinary)
+    assert caught(few, ordinary) < 0.05
+
+
 # --- 8 near duplicates ------------------------------------------------------------------
 
 
@@ -360,15 +377,33 @@ def test_components_of_long_paths(spark):
     assert {r.node: r["class"] for r in got.collect()} == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_blocks_of_a_bucket():
+def block_rows(texts, group, sides):
+    """Rows of a block: every text on the sides given, the class 0 being the largest."""
     import pyarrow as pa
+    import zstandard
+
+    batch = pa.record_batch({"node": list(range(len(texts))), "text": texts})
+    code = {n: c for b in minhash._signature_rows([batch]) for n, c in zip(b["node"].to_pylist(), b["code"].to_pylist())}
+    pack = zstandard.ZstdCompressor().compress
+    rows = [(s, n, group[n], group[n] != 0, code[n], pack(texts[n].encode())) for n in code for s in sides(n)]
+    names = ("side", "node", "class", "minor", "code", "packed")
+    return pa.table({k: list(v) for k, v in zip(names, zip(*rows))})
 
-    code = np.tile(np.arange(256, dtype=np.uint8), (4, 1))
-    code[3] = 255 - code[3]
-    made = minhash._close_in_block(
-        pa.table({"side": [2, 2, 2, 2], "node": [5, 1, 2, 3], "class": [5, 5, 2, 3], "code": [c.tobytes() for c in code]})
-    )
-    assert set(zip(*made.to_pydict().values())) == {(2, 5), (1, 2)}
+
+def test_blocks_join_classes_without_all_pairs():
+    rng = random.Random(8)
+    base, other = passage(rng, 300), passage(rng, 300)
+    near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(10, 290, 7)]
+    group = [0] * 20 + list(range(20, len(near)))
+    texts = [*near, " ".join(other)]
+    group.append(len(near))
+    made = minhash._join_in_block(block_rows(texts, group, lambda n: (0, 1) if group[n] else (1,)))
+    links = list(zip(*made.to_pydict().values()))
+    assert len(links) == len(near) - 20  # one for each class that joins, none for the other text
+    label = list(group)
+    for a, b in links:
+        label = [label[b] if x == label[a] else x for x in label]
+    assert len(set(label[:-1])) == 1 and label[-1] == len(near)
 
 
 # --- 9 archives -------------------------------------------------------------------------
