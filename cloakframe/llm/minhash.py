@@ -47,7 +47,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COMPONENTS, BANDS, ROWS = 256, 42, 6
 MIDDLES = 8
-TURNS = 2
+TURNS = 1
+MEMORY = 2_000_000  # shingles that a task keeps parsed
 BLOCK = 256  # nodes on a side of a block of signatures
 
 
@@ -157,18 +158,20 @@ def _pack(batches):
 
 
 class _Parsed:
-    """Shingles of packed texts; the last texts looked at are kept."""
+    """Shingles of packed texts; the last texts looked at are kept, up to ``MEMORY`` shingles."""
 
-    def __init__(self, most: int = 64):
-        self.unpack, self.most, self.known = zstandard.ZstdDecompressor(), most, {}
+    def __init__(self):
+        self.unpack, self.known, self.held = zstandard.ZstdDecompressor(), {}, 0
 
     def __call__(self, node: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
         if node not in self.known:
-            if len(self.known) > self.most:
+            if self.held > MEMORY:
                 self.known.clear()
+                self.held = 0
             data = LOWER[np.frombuffer(self.unpack.decompress(packed), np.uint8)]
             _, value, count = shingles(find_words(data, np.array([0, len(data)]), NOT_SPACE))
             self.known[node] = value, count
+            self.held += len(value)
         return self.known[node]
 
 
@@ -193,34 +196,72 @@ def _join_in_block(table: pa.Table) -> pa.Table:
     side, minor = table.column("side").to_numpy(), table.column("minor").to_numpy(False)
     node, group = table.column("node").to_numpy(), table.column("class").to_numpy().copy()
     code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(node), -1)
-    packed = table.column("packed")
-    parsed = _Parsed()
     least = SIMILARITY - 5 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / COMPONENTS)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def candidates(i):
+        # two nodes outside the largest class stand on both sides: once is enough
+        open_ = right[(group[right] != group[i]) & (~minor[right] | (node[right] > node[i]))]
+        return open_[(code[open_] == code[i]).mean(1) >= least]
+
+    compare = _Compare(table.column("packed"), node)
     a, b = [], []
     for i in left.tolist():
-        # two nodes outside the largest class stand on both sides: once is enough
-        open_ = (group[right] != group[i]) & (~minor[right] | (node[right] > node[i]))
-        agree = (code[right[open_]] == code[i]).mean(1)
-        near = np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]
-        for c in right[open_][near].tolist():
-            if group[c] == group[i]:
-                continue
-            pair = [parsed(int(node[x]), packed[x].as_py()) for x in (i, c)]
-            if probability_jaccard(*pair[0], *pair[1]) >= SIMILARITY:
-                a.append(min(node[i], node[c]))
-                b.append(max(node[i], node[c]))
-                group[group == group[c]] = group[i]
+        near = candidates(i)
+        while len(near):
+            close = near[compare(i, near)]
+            if not len(close):
+                break
+            c = int(close[0])
+            a.append(min(node[i], node[c]))
+            b.append(max(node[i], node[c]))
+            group[group == group[c]] = group[i]
+            near = close[group[close] != group[i]]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+class _Compare:
+    """Which of some texts of a block reach the similarity to one of them; all at once.
+
+    Where no shingle of two texts repeats, common shingles are counted for all pairs in one pass
+    over their shingles; other pairs go one by one.
+    """
+
+    def __init__(self, packed, node):
+        self.packed, self.node, self.parsed = packed, node, _Parsed()
+
+    def _of(self, i: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        value, count = self.parsed(int(self.node[i]), self.packed[i].as_py())
+        return value, count, len(count) == count.sum()
+
+    def __call__(self, i: int, near: np.ndarray) -> np.ndarray:
+        value, count, plain = self._of(i)
+        good = np.zeros(len(near), bool)
+        many, at = [], []
+        for k, c in enumerate(near.tolist()):
+            other, weight, other_plain = self._of(c)
+            if plain and other_plain:
+                many.append(other)
+                at.append(k)
+            else:
+                good[k] = probability_jaccard(value, count, other, weight) >= SIMILARITY
+        if many:
+            size = np.array([len(x) for x in many])
+            known = np.concatenate(many)
+            place = np.searchsorted(value, known)
+            hit = value[np.minimum(place, len(value) - 1)] == known
+            both = np.add.reduceat(hit, np.append(0, np.cumsum(size)[:-1]), dtype=np.int64)
+            good[at] = both / (len(value) + size - both) >= SIMILARITY
+        return good
+
+
 def _flat(up: DataFrame) -> DataFrame:
     """Pointers (node, to) followed to their ends; the number of rounds is logarithmic in the depth."""
     while True:
-        beyond = up.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        longer = up.join(beyond, "to").select("node", "to", "end").checkpoint()
+        one, two = up.toDF("to", "next"), up.toDF("next", "end")
+        longer = up.join(one, "to").join(two, "next").select("node", "next", "end").checkpoint()
         up = longer.select("node", F.col("end").alias("to"))
-        if longer.where("to != end").isEmpty():
+        if longer.where("next != end").isEmpty():
             return up
 
 
