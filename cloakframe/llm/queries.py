@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import bpe, decontaminate, html_text, minhash, quality, secret_scan, spotsigs, substring, toxicity, warc
+from cloakframe.llm import (
+    bpe,
+    decontaminate,
+    hard_negatives,
+    html_text,
+    merkle,
+    merkle_sql,
+    minhash,
+    packing,
+    quality,
+    secret_scan,
+    spotsigs,
+    substring,
+    toxicity,
+    warc,
+)
 from cloakframe.llm.common import table
 
 
@@ -54,6 +69,18 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -65,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_packing": op13_packing,
 }
 
 SQL: dict[str, str] = {
@@ -130,4 +160,6 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> least THEN least END AS refers_to
 FROM p JOIN f USING (s)
 """,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_merkle_manifest": merkle_sql.manifest_sql(),
 }
