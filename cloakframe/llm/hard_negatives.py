@@ -148,6 +148,19 @@ def _best(score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(score, order, -1), np.take_along_axis(who, order, -1)
 
 
+def _take(score, who, rows, found, ids, least) -> None:
+    """Let what was found for ``rows`` into their k best, if it is not below ``least``; in place."""
+    least = np.maximum(np.maximum(least, score[rows, -1]), _LEAST + 1)
+    better = np.flatnonzero(found.max(1) >= least)
+    if not len(better):
+        return
+    rows, found = rows[better], found[better]
+    found = np.where(found >= least[better, None], found, _LEAST)
+    near = np.where(found == _LEAST, _NO_ID, ids)
+    both = np.concatenate([score[rows], found], 1), np.concatenate([who[rows], near], 1)
+    score[rows], who[rows] = _best(*both, score.shape[1])
+
+
 class Page:
     """A page of the tree as a task holds it."""
 
@@ -195,10 +208,7 @@ class Page:
         for mine, part, found in self.turns(a, going):
             other = (self.labels[part] != labels[mine, None]) | (self.ids[part] == ids[mine, None])
             found = np.where(other, _LEAST, found)
-            near = np.where(other, _NO_ID, np.broadcast_to(self.ids[part], found.shape))
-            score[mine], who[mine] = _best(
-                np.concatenate([score[mine], found], 1), np.concatenate([who[mine], near], 1), k
-            )
+            _take(score, who, mine, found, self.ids[part], kth[mine])
         return score, who
 
     def negatives(self, labels, a, low, high, k=NEGATIVES):
@@ -215,14 +225,8 @@ class Page:
         for mine, part, found in self.turns(a, going):
             same = self.labels[part] == labels[mine, None]
             for w in range(low.shape[1]):
-                off = same | (found < low[mine, w, None]) | (found > high[mine, w, None])
-                if off.all():
-                    continue
-                hit = np.where(off, _LEAST, found)
-                near = np.where(off, _NO_ID, np.broadcast_to(self.ids[part], hit.shape))
-                score[mine, w], who[mine, w] = _best(
-                    np.concatenate([score[mine, w], hit], 1), np.concatenate([who[mine, w], near], 1), k
-                )
+                hit = np.where(same | (found > high[mine, w, None]), _LEAST, found)
+                _take(score[:, w], who[:, w], mine, hit, self.ids[part], low[mine, w])
         return score, who
 
 
