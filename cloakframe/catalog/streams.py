@@ -33,9 +33,9 @@ def stream_frame(spark: SparkSession, df: DataFrame, parts: int = 3) -> DataFram
     return reader.parquet(path)
 
 
-def run_to_files(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def run_to_files(spark: SparkSession, stream: DataFrame, state: str | None = None, out: str | None = None) -> DataFrame:
     """Run an append stream over what is there now and read its output."""
-    out, state = new_scratch(spark, "out"), new_scratch(spark, "state")
+    out, state = out or new_scratch(spark, "out"), state or new_scratch(spark, "state")
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", state)
@@ -124,41 +124,24 @@ def _events(df: DataFrame) -> DataFrame:
 
 
 def _verify(spark, sf):
-    """T-4: chains of all users checked incrementally; the last state of each."""
+    """T-4: chains of all users, delivered in four shuffled micro-batches; the last state of each."""
     records = A.build_chain(
         _events(table(spark, sf, "events")), ["actor"], ["event_id"], "stream", segment=40
     )
-    names = [*L.RECORD_FIELDS]
-    path = new_scratch(spark, "chain")
-    early = F.when(F.col("sequence") < 20, "0").otherwise("1")
-    records.select(*names, early.alias("half")).write.partitionBy("half").parquet(path)
-    schema = records.select(*names).schema
+    stream = stream_frame(spark, records.select(*L.RECORD_FIELDS), parts=4)
     out = new_scratch(spark, "verified")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    state = new_scratch(spark, "state")
-    for half in ("0", "1"):
-        # The second run resumes from the state the first one left.
-        _arrive(spark, f"{path}/half={half}", f"{path}-in")
-        stream = spark.readStream.schema(schema).parquet(f"{path}-in")
-        checked = S.verify_chain_stream(stream)
-        writer = checked.writeStream.outputMode("update").foreachBatch(keep)
-        query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
-        query.awaitTermination()
-    last = F.max(F.struct("records", "valid", "last_sequence"))
-    final = spark.read.parquet(out).groupBy("chain_id").agg(last.alias("s"))
+    run_batches(spark, S.verify_chain_stream(stream).writeStream.outputMode("update").foreachBatch(keep))
+    newest = F.max_by(F.struct("records", "valid", "last_sequence"), "batch")
+    final = spark.read.parquet(out).groupBy("chain_id").agg(newest.alias("s"))
     return final.select("s.*").groupBy("records", "valid", "last_sequence").agg(
         F.count("*").alias("chains")
     )
 
 
-def _arrive(spark, source, target):
-    """Append the files of a folder to the input folder of a stream."""
-    spark.read.parquet(source).write.mode("append").parquet(target)
-
-
 _VERIFY_SQL = """
 with u as (select user_id, count(*) as n from events group by 1),
   g as (select n, unnest(range((n + 39) // 40)) as i from u),
@@ -168,13 +151,16 @@ select m + 1 as records, true as valid, m as last_sequence, count(*) as chains f
 
 
 def _append(spark, sf):
-    """T-5: chains continued from their heads over micro-batches, sealed every ten events; the
-    result verifies as a log."""
+    """T-5: chains continued from their heads over four micro-batches, at most 25 events each, sealed
+    every ten events, at their ends and where the stream stops; the result verifies as a log."""
     pol = demo_policy(spark)
     seal = pol.seal_column(MAIN, "audit")
-    events = stream_of(spark, sf, "events")
-    lines = S.append_chain_stream(_events(events), ["actor"], ["event_id"], seal, every=10)
-    done = run_to_files(spark, lines)
+    events = stream_frame(spark, _events(table(spark, sf, "events")), parts=4)
+    lines = S.append_chain_stream(
+        events, ["actor"], ["event_id"], seal, every=10, most=25
+    )
+    state = new_scratch(spark, "state")
+    done = run_to_files(spark, lines, state).union(S.seal_open_chains(spark, state, seal))
     linked = A.link_lines(L.parse_lines(A.as_log(done, 64)), seal)
     summary = A.chain_summary(linked).select(
         F.col("log"), "records", "checkpoints_verified"
@@ -186,9 +172,12 @@ def _append(spark, sf):
 
 
 _APPEND_SQL = """
-with u as (select user_id, count(*) as n from events group by 1)
-select n + 1 as records, n // 10 as checkpoints_verified, n + 1 + n // 10 as lines, true as valid,
-  count(*) as chains from u group by n
+with u as (select user_id, count(*) as n from events group by 1),
+  c as (select unnest(list_concat(list_transform(range(n // 25), lambda i: 25),
+    case when n % 25 > 0 then [n % 25] else [] end)) as m from u),
+  s as (select m, m // 10 + cast(m % 10 > 0 as bigint) as seals from c)
+select m + 1 as records, seals as checkpoints_verified, m + 1 + seals as lines, true as valid,
+  count(*) as chains from s group by m, seals
 """
 
 

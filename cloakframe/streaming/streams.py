@@ -1,52 +1,65 @@
-"""T-1 .. T-6: the same work on streams."""
+"""T-1 .. T-6: the same work on streams; chains are in ``chains``."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from cloakframe.functions.digests import python_hash
-from cloakframe.operators.audit import (
-    _AFTER,
-    _BEFORE,
-    _event_struct,
-    checkpoint_seal,
-)
-from cloakframe.functions.text import error, object_json
+from cloakframe.functions.text import error
 from cloakframe.operators.metrics import op_counters
 from cloakframe.operators.tags import keyed_digest
-from cloakframe.operators.tokens import token_error, token_hash
-from cloakframe.plans.jobs import JobError
+from cloakframe.operators.tokens import NOT_FOUND, looked_up, opened
+from cloakframe.plans.jobs import DUPLICATE_REF, JobError
 from cloakframe.plans.policy import Policy
 from cloakframe.plans.protect import Step, protect_frame
-from cloakframe.plans.runtime import ship_package
-from cloakframe.sources.audit_log import (
-    CHECKPOINT_EVERY,
-    CHECKPOINT_VERSION,
-    DEFAULT_HASH,
-    GENESIS_ACTION,
-    GENESIS_EVENT,
-    RECORD_DOMAIN,
-    RECORD_FIELDS,
-    ZERO_HASH,
-    record_hash,
-)
 from cloakframe.sources.tables import ConcurrentWrite, SnapshotTable, TableError, upsert_index
+from cloakframe.streaming.chains import append_chain_stream, seal_open_chains, verify_chain_stream
 
 
 def protect_stream(
     stream: DataFrame, steps: list[Step], policy: Policy, drop: list[str] = ()
 ) -> DataFrame:
     """T-1: per-arrival protection. The jobs are stateless columns, so this is the batch job;
-    failed rows carry their ``error``."""
+    failed rows carry their ``error``.
+
+    Steps that need a ``ref`` are refused here, because no row of a stream can know of another;
+    ``protect_batches`` takes them.
+    """
     return protect_frame(stream, steps, policy, drop, on_error="null")
 
 
+def protect_batches(
+    stream: DataFrame, steps: list[Step], policy: Policy, sink, rejects=None, drop: list[str] = ()
+):
+    """T-1 with refs: each micro-batch is one batch, in which a ref stands once. Returns the writer.
+
+    All rows of a ref that a micro-batch repeats, and rows that fail a check, go to
+    ``rejects(rows, batch_id)`` with their ``error``; without ``rejects`` such a row stops the stream.
+    """
+    refs = sorted({s.ref for s in steps if s.ref})
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ok = F.lit(True)
+        for ref in refs:
+            ref_of, many = F.col(ref).cast("string"), f"_times_{ref}"
+            times = batch.select(ref_of.alias(f"_ref_{ref}")).groupBy(f"_ref_{ref}").agg(F.count("*").alias(many))
+            repeated = times.where(F.col(many) > 1)
+            batch = batch.join(repeated, ref_of == F.col(f"_ref_{ref}"), "left").drop(f"_ref_{ref}")
+            ok = ok & F.col(many).isNull()
+        marks = [f"_times_{ref}" for ref in refs]
+        twice = batch.where(~ok).drop(*marks).withColumn("error", error("invalid_input", F.lit(DUPLICATE_REF)))
+        good, bad = protect_frame(batch.where(ok).drop(*marks), steps, policy, on_error="quarantine")
+        bad = bad.select(*stream.columns, "error").unionByName(twice)
+        if rejects is not None:
+            rejects(bad, batch_id)
+        elif (first := bad.select("error.message").first()) is not None:
+            raise JobError(first["message"])
+        sink(good.drop(*drop), batch_id)
+
+    return stream.writeStream.foreachBatch(write)
+
+
 def index_stream(
     stream: DataFrame, col: str, profile: str, policy: Policy, table: SnapshotTable, rejects=None
 ):
@@ -83,53 +96,51 @@ def redeem_stream(
 ):
     """T-3: of all redemptions of a one-time token exactly one wins. Returns the writer.
 
-    The vault decides: decoded winners of a micro-batch are stored beside the table, then one
-    commit deletes just their rows and records the batch under ``name``, then
-    ``sink(winners, batch_id)`` receives the stored rows. A replayed batch that is recorded
-    already goes straight to the sink, which has to accept a batch twice. Rows that are
+    The vault decides. The vault rows of a micro-batch are staged as they are, sealed; one commit
+    deletes those that open and records the batch under ``name``; then ``sink(winners, batch_id)``
+    receives them, opened on the way, and has to have stored them when it returns. After that the
+    staged rows are erased, so that plaintext never lies below the table path and nothing stays
+    there. A replayed batch that is recorded goes straight to the sink (which has to accept a batch
+    twice) while its rows are still staged, and nowhere once they are erased. Rows that are
     malformed, unknown or damaged, and repeats within a batch, go to ``rejects(rows, batch_id)``
     with their ``error``; their vault rows stay. Other writers of the table make a commit wait
     and try again, up to ``retries`` times.
     """
-    from cloakframe.operators.tokens import NOT_FOUND, _decode
-
-    spec, secret = policy.profile("token", profile), policy.column("token", profile)
+    spec = policy.profile("token", profile)
     if not spec["one_time"]:
         raise JobError("tokenization profile is not one-time")
 
-    def judged(batch: DataFrame, version: int) -> DataFrame:
-        shape = token_error(token_col, spec, secret)
-        made = batch.withColumn("_kid", F.lit(spec["kid"]))
-        made = made.withColumn("_hashid", F.when(shape.isNull(), token_hash(F.col(token_col), secret)))
-        turn = Window.partitionBy("_hashid").orderBy(F.lit(1))
-        again = F.col("_hashid").isNotNull() & (F.row_number().over(turn) > 1)
-        decoded = _decode(made.withColumn("_again", again), token_col, profile, policy, table, "null", version=version)
-        late = F.when(F.col("_again"), error("not_found", F.lit(NOT_FOUND)))
-        return decoded.withColumn("error", F.coalesce("error", late))
+    def judged(rows: DataFrame) -> DataFrame:
+        """Staged rows with ``error`` or ``plaintext``; of equal tokens the first row counts."""
+        first = rows.where("hashid is not null").groupBy("hashid").agg(F.min("_row").alias("_first"))
+        told = rows.join(first, "hashid", "left")
+        done = opened(told, rows.columns + ["_first"], profile, policy, "null")
+        late = F.when(F.col("_row") != F.col("_first"), error("not_found", F.lit(NOT_FOUND)))
+        return done.withColumn("error", F.coalesce("error", late))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         staged = f"{table.path}/_redeemed/{name}/batch={batch_id}"
         version = table.version()
         if table.state(version).get("marks", {}).get(name, -1) < batch_id:
             for attempt in range(retries + 1):
-                rows = judged(batch, version)
-                rows.write.mode("overwrite").parquet(staged)
-                rows = table.spark.read.parquet(staged)
-                gone = rows.filter("error is null").select(
-                    F.col("_kid").alias("kid"), F.col("_hashid").alias("hashid")
-                )
+                found = looked_up(batch, token_col, profile, policy, table, version)
+                found.withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged)
+                rows = judged(table.spark.read.parquet(staged))
                 try:
-                    table.delete(gone, version, mark=(name, batch_id))
+                    table.delete(rows.where("error is null").select("kid", "hashid"), version, mark=(name, batch_id))
                     break
                 except ConcurrentWrite:
                     if attempt == retries:
                         raise TableError("too many concurrent writers") from None
                     time.sleep(min(0.05 * 2**attempt, 5.0))
                     version = table.version()
-        rows = table.spark.read.parquet(staged).drop("_kid", "_hashid", "_again")
-        sink(rows.filter("error is null").drop("error"), batch_id)
+        if not table.has(staged):
+            return  # the sink had it before
+        rows = judged(table.spark.read.parquet(staged)).select(*batch.columns, "plaintext", "metadata", "error")
+        sink(rows.where("error is null").drop("error"), batch_id)
         if rejects is not None:
-            rejects(rows.filter("error is not null").drop("plaintext", "metadata"), batch_id)
+            rejects(rows.where("error is not null").drop("plaintext", "metadata"), batch_id)
+        table.erase(staged)
 
     return stream.writeStream.foreachBatch(write)
 
@@ -139,203 +150,13 @@ def counters_stream(events: DataFrame, labels: list[str]) -> DataFrame:
     return op_counters(events, labels)
 
 
-# --- T-4: verifying a chain as it grows -----------------------------------------------
-
-_VERIFY_OUT = (
-    "chain_id string, records bigint, last_sequence bigint, head_hash string, "
-    "valid boolean, reason string"
-)
-_VERIFY_STATE = "records bigint, last_sequence bigint, head_hash string, reason string"
-
-
-def _check_chain(key, frames: Iterator[pd.DataFrame], state):
-    records, last, head, reason = state.get if state.exists else (0, -1, ZERO_HASH, "")
-    rows = pd.concat(list(frames)).sort_values("sequence")
-    for row in rows.itertuples():
-        if reason:
-            break
-        if not row.hash_ok:
-            reason = "event hash does not match record content"
-        elif row.genesis != (row.sequence == 0):
-            reason = "chain genesis is invalid"
-        elif row.sequence != last + 1:
-            reason = "sequence is not consecutive"
-        elif row.prev_hash != head:
-            reason = "prev_hash does not match prior event hash"
-        else:
-            records, last, head = records + 1, int(row.sequence), row.event_hash
-    state.update((records, last, head, reason))
-    yield pd.DataFrame(
-        [(key[0], records, last, head, not reason, reason or None)],
-        columns=["chain_id", "records", "last_sequence", "head_hash", "valid", "reason"],
-    )
-
-
-def verify_chain_stream(records: DataFrame, alg: str = DEFAULT_HASH) -> DataFrame:
-    """T-4: incremental check; state is the head of each chain, and a failed chain stays failed.
-
-    Hashes are recomputed before the shuffle. Chains have bounded length (see ``build_chain``),
-    so one micro-batch of one chain is bounded too. Emits a row per chain touched.
-    """
-    ship_package()
-    packed = records.withColumn("_r", F.struct(*[F.col(n) for n in RECORD_FIELDS]))
-    slim = packed.select(
-        "chain_id",
-        "sequence",
-        "prev_hash",
-        "event_hash",
-        (F.col("event") == GENESIS_EVENT).alias("genesis"),
-        (record_hash("_r", alg) == F.col("event_hash")).alias("hash_ok"),
-    )
-    return slim.groupBy("chain_id").applyInPandasWithState(
-        _check_chain, _VERIFY_OUT, _VERIFY_STATE, "update", GroupStateTimeout.NoTimeout
-    )
-
-
-# --- T-5: appending to a chain --------------------------------------------------------
-
-_APPEND_OUT = (
-    "chain_id string, place bigint, before string, after string, sequence bigint, "
-    "prev_hash string, event_hash string, checkpoint boolean, timestamp string"
-)
-_APPEND_STATE = "next_sequence bigint, head_hash string, since bigint"
-
-
-def _chain_appender(every: int, alg: str, order: list[str]):
-    make = python_hash(alg)
-
-    def run(key, frames: Iterator[pd.DataFrame], state):
-        following, head, since = state.get if state.exists else (0, ZERO_HASH, 0)
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-
-        def put(sequence, before, after, stamp):
-            nonlocal head
-            body = f'{before},"sequence":{sequence},{after}'
-            prev = head
-            body = body.replace('"prev_hash":""', f'"prev_hash":"{prev}"', 1)
-            head = make(RECORD_DOMAIN + body.encode()).hexdigest()
-            out.append(
-                (key[0], 2 * sequence, before, after, sequence, prev, head, False, stamp)
-            )
-
-        for row in rows.itertuples(index=False):
-            if following == 0:
-                put(0, row.genesis_before, row.genesis_after, row.timestamp)
-                following = 1
-            put(following, row.before, row.after, row.timestamp)
-            following, since = following + 1, since + 1
-            if since >= every:
-                last = following - 1
-                out.append(
-                    (key[0], 2 * last + 1, "", "", last, "", head, True, row.timestamp)
-                )
-                since = 0
-        state.update((following, head, since))
-        names = [c.split()[0] for c in _APPEND_OUT.split(", ")]
-        yield pd.DataFrame(out, columns=names)
-
-    return run
-
-
-def append_chain_stream(
-    events: DataFrame,
-    chain_key: list[str],
-    order: list[str],
-    pads: Column,
-    every: int = CHECKPOINT_EVERY,
-    lanes: int = 1,
-    log_id: str = "",
-    alg: str = DEFAULT_HASH,
-) -> DataFrame:
-    """T-5: continue each chain from its head and seal it every ``every`` events.
-
-    Returns log lines ``(chain_id, place, line)``. A chain is sequential, so a hot key is
-    spread over ``lanes`` parallel chains, the way several writers would each keep their own.
-    """
-    ship_package()
-    lane = F.pmod(F.xxhash64(*order), F.lit(lanes)).cast("string")
-    name = F.concat_ws("|", F.lit(log_id), *[F.col(k).cast("string") for k in chain_key], lane)
-    keyed = events.withColumn("chain_id", F.left(F.sha2(name, 256), F.lit(32)))
-    fields = _event_struct(keyed, alg)
-    fields["prev_hash"] = F.lit("")
-    start = {
-        **fields,
-        **{n: F.lit("") for n in ["actor", "actor_fp", "kid", "remote_kid", "reason"]},
-        "request_id": F.lit(""),
-        "event": F.lit(GENESIS_EVENT),
-        "outcome": F.lit("success"),
-        "action": F.lit(GENESIS_ACTION),
-        "root": F.lit(False),
-        "admin": F.lit(False),
-    }
-
-    # ``sequence`` is known only inside the stateful step: the body is cut around it.
-    head_names = [n for n in [*_BEFORE, "prev_hash", *_AFTER] if n < "sequence"]
-    tail_names = [n for n in [*_BEFORE, "prev_hash", *_AFTER] if n > "sequence"]
-
-    def part(values: dict[str, Column], names: list[str]) -> Column:
-        return object_json({n: values[n] for n in names})
-
-    def head_of(values: dict[str, Column]) -> Column:
-        text = part(values, head_names)
-        return F.substr(text, F.lit(1), F.char_length(text) - 1)
-
-    def tail_of(values: dict[str, Column]) -> Column:
-        return F.substr(part(values, tail_names), F.lit(2))
-
-    slim = keyed.select(
-        "chain_id",
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-        head_of(fields).alias("before"),
-        tail_of(fields).alias("after"),
-        head_of(start).alias("genesis_before"),
-        tail_of(start).alias("genesis_after"),
-        fields["timestamp"].alias("timestamp"),
-    )
-    made = slim.groupBy("chain_id").applyInPandasWithState(
-        _chain_appender(every, alg, [f"_o{i}" for i in range(len(order))]),
-        _APPEND_OUT,
-        _APPEND_STATE,
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    sealed = {
-        "chain_id": F.col("chain_id"),
-        "created_at": F.col("timestamp"),
-        "head_hash": F.col("event_hash"),
-        "last_sequence": F.col("sequence"),
-    }
-    made = made.withColumn("_seal", checkpoint_seal(sealed, pads))
-    body = F.concat(
-        F.col("before"),
-        F.lit(',"sequence":'),
-        F.col("sequence").cast("string"),
-        F.lit(","),
-        F.col("after"),
-    )
-    body = F.replace(
-        body,
-        F.lit('"prev_hash":""'),
-        F.concat(F.lit('"prev_hash":"'), F.col("prev_hash"), F.lit('"')),
-    )
-    record = F.replace(
-        body,
-        F.lit(',"hash_alg":'),
-        F.concat(F.lit(',"event_hash":"'), F.col("event_hash"), F.lit('","hash_alg":')),
-    )
-    checkpoint = object_json(
-        {**sealed, "seal": F.col("_seal"), "version": F.lit(CHECKPOINT_VERSION)}
-    )
-    line = F.when(F.col("checkpoint"), checkpoint).otherwise(record)
-    return made.select("chain_id", "place", line.alias("line"))
-
-
 __all__ = [
     "append_chain_stream",
     "counters_stream",
     "index_stream",
+    "protect_batches",
     "protect_stream",
     "redeem_stream",
+    "seal_open_chains",
     "verify_chain_stream",
 ]
