@@ -314,12 +314,16 @@ def verify_checkpoints(linked: DataFrame) -> DataFrame:
 
 
 def chain_summary(linked: DataFrame) -> DataFrame:
-    """A-3: one row per chain: size, head, and what its checkpoints covered."""
+    """A-3: one row per chain: size, head, and what its checkpoints covered.
+
+    Verification stops at the first bad line of a log: neither that line nor any behind it counts.
+    """
+    bad = linked.where(F.col("reason").isNotNull()).groupBy("log").agg(F.min("line_no").alias("_bad"))
+    linked = linked.join(bad, "log", "left").where(F.col("_bad").isNull() | (F.col("line_no") < F.col("_bad")))
     is_record, is_checkpoint = F.col("kind") == "record", F.col("kind") == "checkpoint"
     end = F.struct(F.col("sequence").alias("s"), F.col("hash").alias("h"))
     grouped = (
-        linked.filter(F.col("reason").isNull())
-        .groupBy("log", "chain_id")
+        linked.groupBy("log", "chain_id")
         .agg(
             F.count_if(is_record).alias("records"),
             F.max(F.when(is_record, end)).alias("_h"),

@@ -193,9 +193,19 @@ def detokenize(
 
 
 def _decode(df, token_col, profile, policy, table, on_error, pos=None, version=None):
+    found = looked_up(df, token_col, profile, policy, table, version)
+    return opened(found, df.columns, profile, policy, on_error, pos)
+
+
+def looked_up(df, token_col, profile, policy, table, version=None) -> DataFrame:
+    """``df`` with what the vault holds for its tokens, still sealed: _shape, kid, hashid, data."""
     spec, secret = policy.profile("token", profile), policy.column("token", profile)
-    made = _hashed(df, token_col, spec, secret)
-    found = vault_lookup(made, table, version)
+    return vault_lookup(_hashed(df, token_col, spec, secret), table, version)
+
+
+def opened(found: DataFrame, columns: list[str], profile, policy, on_error, pos=None):
+    """``columns`` of ``found`` (see ``looked_up``) with plaintext and metadata."""
+    secret = policy.column("token", profile)
     parts = F.split("data", "\\.")
     raw = [from_base64(F.get(parts, F.lit(i))) for i in range(3)]
     plain = from_utf8(gcm_decrypt(raw[0], secret["data_key"], raw[1], raw[2]))
@@ -229,7 +239,7 @@ def _decode(df, token_col, profile, policy, table, on_error, pos=None, version=N
         "plaintext": F.col("_payload.plaintext"),
         "metadata": F.col("_payload.metadata"),
     }
-    keep = [*df.columns, *[c for c in outputs if c not in df.columns]]
+    keep = [*columns, *[c for c in outputs if c not in columns]]
     done = finish(found, outputs, problem, on_error, pos)
     if isinstance(done, tuple):
         return done[0].select(*keep), done[1].select(*keep, "error")

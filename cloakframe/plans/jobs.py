@@ -77,15 +77,17 @@ def finish(
 
 
 DUPLICATE_REF = "batch contains duplicated ref"
+STREAM_REFS = "a job with refs runs on micro-batches, not on a stream"
 
 
 def require_unique_refs(df: DataFrame, ref: str) -> None:
     """A-1: refuse a frame that uses a ref twice; only refs are shuffled, and none is returned.
 
-    This runs a job over the ref column. A stream is checked per micro-batch by its caller.
+    This runs a job over the ref column. On a stream nobody could do that, so a job with refs is
+    refused there; ``protect_batches`` and ``foreachBatch`` run it on micro-batches.
     """
     if df.isStreaming:
-        return
+        raise JobError(STREAM_REFS)
     refs = df.select(F.col(ref).cast("string").alias("ref")).where("ref is not null")
     if refs.groupBy("ref").count().where("count > 1").first() is not None:
         raise JobError(DUPLICATE_REF)

@@ -6,6 +6,7 @@ key tables read through a scalar subquery, so a plan shows ``scalar-subquery`` a
 
 from __future__ import annotations
 
+import json
 import secrets
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakframe.functions.digests import hmac_pads, python_hmac
+from cloakframe.plans.runtime import write_once
 
 # Key lifecycle statuses.
 LIFECYCLE_STATUSES = ("active", "disabled", "retired", "compromised", "destroyed")
@@ -87,3 +89,18 @@ class RunKey:
 
     def column(self, spark: SparkSession) -> Column:
         return one_row(spark, self._pads, self._SCHEMA)
+
+    @classmethod
+    def kept(cls, spark: SparkSession, folder: str, key: Key) -> RunKey:
+        """A run key that survives restarts: the same for all who name this folder and this key.
+
+        The folder, best the checkpoint folder of a stream, gets a file with a random salt and the id
+        of the key, neither of them secret. The run key is derived from both the salt and the secret,
+        so a replayed micro-batch mints the same nonces, openings and shares, and whoever
+        has only the folder learns nothing. Of two that start at once one writes the file.
+        """
+        text = write_once(spark, f"{folder.rstrip('/')}/run-key.json", json.dumps({"kid": key.kid, "salt": secrets.token_hex(32)}))
+        kept = json.loads(text)
+        if kept["kid"] != key.kid:
+            raise ValueError("the run key of this folder belongs to another key")
+        return cls(hkdf(key.secret, bytes.fromhex(kept["salt"]), b"cloakframe/run-key", 32))

@@ -48,6 +48,34 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def write_once(spark: SparkSession, path: str, text: str) -> str:
+    """Write a small file unless it exists; returns what the file says afterwards.
+
+    The file appears whole, by a rename that replaces nothing, so of two writers one wins.
+    """
+    jvm = spark._jvm
+    path_of, conf = jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    target, staged = path_of(path), path_of(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        stream = fs.create(staged, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(staged, target, how)
+        except Exception as err:
+            fs.delete(staged, False)
+            if "FileAlreadyExists" not in str(err):
+                raise
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that a lost executor cannot change the rows."""
     shared_dir(df.sparkSession)

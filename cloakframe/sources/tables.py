@@ -218,6 +218,15 @@ class SnapshotTable:
             self._fs.delete(self._version_file(v), False)
         return gone
 
+    def has(self, path: str) -> bool:
+        return self._fs.exists(self._path_of(path))
+
+    def erase(self, path: str) -> None:
+        """Remove a folder below the table that no snapshot lists."""
+        if not path.startswith(f"{self.path}/_"):
+            raise TableError("only folders beside the segments can be erased")
+        self._fs.delete(self._path_of(path), True)
+
     def matching(self, probe: DataFrame, version: int | None = None) -> DataFrame:
         """Stored keys that occur in ``probe``; only the probe's shards are read."""
         version = self.version() if version is None else version
