@@ -9,7 +9,7 @@ from cloakframe.catalog.fixtures import demo_policy, kid_of, table, wide
 from cloakframe.operators import commitments, digest_frames, encryption, fpe, masking, sharing, tags
 from cloakframe.operators import tokens as tok
 from cloakframe.plans.jobs import JobError, first_failure
-from cloakframe.plans.protect import Step, protect_frame
+from cloakframe.plans.protect import Step, protect_and_store, protect_frame
 from cloakframe.plans.runtime import new_scratch
 from cloakframe.sources import tables as T
 
@@ -442,6 +442,44 @@ select o_orderkey, {account_sql("o_custkey")} as stored,
 """
 
 
+def _protect_and_store(spark, sf):
+    """X-18: all seven jobs on the accounts of customers in one pass over the table; rows, vault
+    rows and shares come from one stored stage and lead back to the value."""
+    pol = demo_policy(spark)
+    c = wide(spark, sf, "customer", "c_custkey").select(
+        F.col("c_custkey").cast("string").alias("ref"), "c_custkey", account("c_custkey").alias("acct")
+    )
+    steps = [
+        *[Step(s.job, s.source, s.profile, s.output, ref="ref" if s.ref else None) for s in _STEPS],
+        Step("encrypt", "acct", kid_of("main"), "sealed", ref="ref"),
+        Step("tokenize", "acct", "account", "token", ref="ref"),
+        Step("split", "acct", "secret", "set_id", ref="ref"),
+    ]
+    made = protect_and_store(c, steps, pol, drop=["acct"])
+    vault = T.create_vault(spark, new_scratch(spark, "vault"))
+    T.append_vault(made.vault, vault)
+    rows = tok.detokenize(made.rows, "token", "account", pol, vault, "null").drop("error", "metadata")
+    rows = encryption.decrypt_column(rows, "sealed", kid_of("main"), pol, "opened", "null").drop("error")
+    rows = fpe.fpe_decrypt(rows, "stored", "account", pol, "null").drop("error")
+    # any three of five shares
+    some = made.shares["set_id"].where(F.col("index") != 1 + F.pmod(F.xxhash64("set_id"), F.lit(5)))
+    joined = sharing.combine_shares(some, "share", "secret", pol)
+    back = joined.where("error is null").select("set_id", F.col("plaintext").alias("rejoined"))
+    return rows.join(back, "set_id").select(
+        "c_custkey", "stored", "search", "display", "plaintext", "opened", "rejoined",
+        F.length("pledge").alias("pledge_chars"),
+    )
+
+
+_STORE_SQL = f"""
+select c_custkey, {account_sql("c_custkey")} as stored,
+  {tag_sql("account", account_sql("c_custkey"))} as search,
+  '********' || right({account_sql("c_custkey")}, 4) as display,
+  {account_sql("c_custkey")} as plaintext, {account_sql("c_custkey")} as opened,
+  {account_sql("c_custkey")} as rejoined, 64 as pledge_chars from customer
+"""
+
+
 def _join(spark, sf):
     """J-10: orders joined to customers on digests only."""
     pol = demo_policy(spark)
@@ -572,6 +610,7 @@ ENTRIES = {
     "table_digest": Entry("X-17", table_digests, _TABLE_SQL),
     "sealed_tables": Entry("X-17", _seal, _SEAL_SQL),
     "protect_orders": Entry("X-18", protect_orders, _PROTECT_SQL),
+    "protect_and_store": Entry("X-18", _protect_and_store, _STORE_SQL),
     "protected_join": Entry("J-10", _join, _JOIN_SQL),
     "dedupe_by_digest": Entry("A-8", _dedupe, _DEDUPE_SQL),
     "index_membership": Entry("J-9 SNK-2", _membership, _MEMBERSHIP_SQL),

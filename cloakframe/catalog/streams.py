@@ -19,10 +19,8 @@ MAIN = kid_of("main")
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a file stream."""
-    schema = table(spark, sf, name).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(sf)
+    """A table as a stream of three micro-batches."""
+    return stream_frame(spark, table(spark, sf, name))
 
 
 def stream_frame(spark: SparkSession, df: DataFrame, parts: int = 3) -> DataFrame:

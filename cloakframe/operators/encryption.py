@@ -66,6 +66,23 @@ def _seal(plain: Column, secret: Column, nonce: Column, label: Column, ts: Colum
     )
 
 
+def record_label(kid: str, policy: Policy, ts: Column) -> Column:
+    secret = policy.cipher_column(kid)
+    return _record_aad(secret["kid"], ts, secret["cipher_alg"])
+
+
+def record_nonce(col: str, kid: str, policy: Policy, ref: str, label: Column) -> Column:
+    return keyed_random(policy.random_column(), f"record|{kid}|{col}", NONCE_BYTES, ref, col, label)
+
+
+def sealed_record(col: str, kid: str, policy: Policy, nonce: Column, label: Column, ts: Column) -> Column:
+    return _seal(F.col(col), policy.cipher_column(kid), nonce, label, ts)
+
+
+def record_errors(col: str, kid: str, policy: Policy) -> list[Column]:
+    return [lifecycle_error(policy.cipher_column(kid)["key_status"], "new"), P.text_error("plaintext", col)]
+
+
 def encrypt_column(
     df: DataFrame,
     col: str,

@@ -63,57 +63,67 @@ def _cut(flat: np.ndarray, lengths: np.ndarray, empty: np.ndarray) -> pa.Array:
     return pa.array(rows, type=pa.binary())
 
 
-def share_bytes_udf(threshold: int):
-    """``(secret, coefficients, index) -> share``: one polynomial per secret byte.
+def share_bytes_udf(threshold: int, shares: int):
+    """``(secret, coefficients) -> all shares, by index``: one polynomial per secret byte.
 
     ``coefficients`` holds the k-1 random bytes of each position, one degree after the other.
     """
     ship_package()
 
-    @F.arrow_udf("binary")
-    def run(secrets: pa.Array, coefficients: pa.Array, indexes: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<binary>")
+    def run(secrets: pa.Array, coefficients: pa.Array) -> pa.Array:
         mul = product_table()
         secret, lengths = _flat(secrets)
         noise, _ = _flat(coefficients)
-        x = np.repeat(np.array(indexes.to_pylist(), np.uint8), lengths)
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
         within = np.arange(len(secret)) - starts
         size = np.repeat(lengths, lengths)
-        value = np.zeros(len(secret), np.uint8)
-        for degree in range(threshold - 2, -1, -1):
-            at = starts * (threshold - 1) + degree * size + within
-            value = mul[value, x] ^ noise[at]
-        value = mul[value, x] ^ secret
-        return _cut(value, lengths, np.asarray(secrets.is_null()))
+        degrees = [noise[starts * (threshold - 1) + d * size + within] for d in range(threshold - 1)]
+        empty = np.asarray(secrets.is_null())
+        columns = []
+        for x in range(1, shares + 1):
+            value = np.zeros(len(secret), np.uint8)
+            for degree in reversed(degrees):
+                value = mul[x][value] ^ degree
+            columns.append(_cut(mul[x][value] ^ secret, lengths, empty).to_pylist())
+        rows = [None if skip else list(row) for skip, *row in zip(empty.tolist(), *columns)]
+        return pa.array(rows, pa.list_(pa.binary()))
 
     return run
 
 
 def combine_bytes_udf(threshold: int):
-    """``(indexes, values) -> struct<secret, consistent>`` for the shares of one set per row."""
+    """``(indexes, values) -> struct<secret, consistent>`` for the shares of one set per row.
+
+    Sets of one index pattern and length are interpolated together, with one weight per share.
+    """
     ship_package()
 
     @F.arrow_udf("struct<secret:binary,consistent:boolean>")
     def run(indexes: pa.Array, values: pa.Array) -> pa.Array:
         mul = product_table()
-        secrets, agree = [], []
-        for points, shares in zip(indexes.to_pylist(), values.to_pylist()):
-            if points is None:
-                secrets.append(None)
-                agree.append(None)
-                continue
-            rows = [np.frombuffer(s, np.uint8) for s in shares]
-            basis, ys = points[:threshold], rows[:threshold]
-
-            def at(target: int) -> np.ndarray:
-                total = np.zeros(len(ys[0]), np.uint8)
-                for weight, y in zip(lagrange_at(basis, target), ys):
-                    total = total ^ mul[weight][y]
+        points, shares = indexes.to_pylist(), values.to_pylist()
+        alike: dict[tuple, list[int]] = {}
+        for i, (at, held) in enumerate(zip(points, shares)):
+            if at is not None:
+                alike.setdefault((tuple(at), len(held[0])), []).append(i)
+        secrets: list[bytes | None] = [None] * len(points)
+        agree: list[bool | None] = [None] * len(points)
+        for (pattern, size), rows in alike.items():
+            y = np.frombuffer(b"".join(s for i in rows for s in shares[i]), np.uint8)
+            y = y.reshape(len(rows), len(pattern), size)
+
+            def value_at(target: int) -> np.ndarray:
+                total = np.zeros((len(rows), size), np.uint8)
+                for j, weight in enumerate(lagrange_at(list(pattern[:threshold]), target)):
+                    total ^= mul[weight][y[:, j]]
                 return total
 
-            extra = zip(points[threshold:], rows[threshold:])
-            agree.append(all(np.array_equal(at(x), y) for x, y in extra))
-            secrets.append(at(0).tobytes())
+            same = np.ones(len(rows), bool)
+            for j in range(threshold, len(pattern)):
+                same &= (value_at(pattern[j]) == y[:, j]).all(1)
+            for i, secret, ok in zip(rows, value_at(0), same.tolist()):
+                secrets[i], agree[i] = secret.tobytes(), ok
         return pa.StructArray.from_arrays(
             [pa.array(secrets, pa.binary()), pa.array(agree, pa.bool_())],
             names=["secret", "consistent"],
@@ -139,27 +149,10 @@ def _tag(fields: dict, profile: Column, alg: str) -> Column:
     return hmac_hex(utf8(object_json(fields)), profile["ipad"], profile["opad"], alg)
 
 
-def split_secret(
-    df: DataFrame,
-    col: str,
-    profile: str,
-    policy: Policy,
-    ref: str,
-    on_error: str = "quarantine",
-    pos: str | None = None,
-):
-    """One row per share: the input columns without the secret, ``set_id, index, share``.
-
-    Rows that fail a check come back once, without a share and with their ``error``; with
-    ``on_error='fail'`` the first of them in ``pos`` order refuses the frame.
-    """
-    if on_error not in ("null", "quarantine", "fail"):
-        raise ValueError(f"unknown on_error: {on_error}")
-    require_unique_refs(df, ref)
+def secret_errors(col: str, profile: str, policy: Policy, ref: str) -> list[Column]:
     spec, secret = policy.profile("share", profile), policy.column("share", profile)
-    run, k, n = policy.random_column(), spec["threshold"], spec["shares"]
     size = F.octet_length(F.col(col))
-    problem = first_error(
+    return [
         lifecycle_error(secret["key_status"], "new"),
         P.ref_error(F.col(ref).cast("string")),
         error_when(size == 0, "invalid_input", "plaintext must not be empty"),
@@ -168,32 +161,64 @@ def split_secret(
             "invalid_input",
             "plaintext exceeds sharing profile maximum length",
         ),
-    )
-    made = compute_once(df, {"error": problem})
-    ok = F.col("error").isNull() & F.col(col).isNotNull()
-    made = made.withColumn(
-        "set_id",
-        F.when(ok, to_base64url(keyed_random(run, f"set|{profile}", SET_ID_BYTES, ref, col))),
-    )
+    ]
+
+
+def with_share_bytes(
+    rows: DataFrame, col: str, profile: str, policy: Policy, ref: str, ok: Column
+) -> DataFrame:
+    """Adds ``set_id`` and ``share_bytes``, all shares of the secret in order of their indexes."""
+    spec, run = policy.profile("share", profile), policy.random_column()
+    k, n = spec["threshold"], spec["shares"]
+    ok = ok & F.col(col).isNotNull()
+    set_id = to_base64url(keyed_random(run, f"set|{profile}", SET_ID_BYTES, ref, col))
+    made = rows.withColumn("set_id", F.when(ok, set_id)).withColumn("_secret", F.when(ok, utf8(col)))
     # The run key sits in a column here: Spark allows no subquery inside a lambda.
     made = made.withColumn("_run", run)
-    noise = keyed_random_sized(
-        F.col("_run"), f"coefficients|{profile}", F.octet_length(F.col("_secret")) * (k - 1), ref, col
-    )
-    made = made.withColumn("_secret", F.when(ok, utf8(col))).withColumn("_noise", noise)
-    points = F.when(ok, F.sequence(F.lit(1), F.lit(n)))
-    spread = made.withColumn("index", F.explode_outer(points)).withColumn(
-        "_value", share_bytes_udf(k)(F.col("_secret"), F.col("_noise"), F.coalesce("index", F.lit(0)))
-    )
-    spread = spread.withColumn("_share", to_base64url(F.col("_value")))
-    fields = _unsigned(secret, F.col("set_id"), F.col("index"), F.col("_share"))
+    size = F.octet_length(F.col("_secret")) * (k - 1)
+    noise = keyed_random_sized(F.col("_run"), f"coefficients|{profile}", size, ref, col)
+    made = made.withColumn("_noise", noise)
+    made = made.withColumn("share_bytes", share_bytes_udf(k, n)(F.col("_secret"), F.col("_noise")))
+    return made.drop("_run", "_secret", "_noise")
+
+
+def exploded_shares(rows: DataFrame, set_id: str, values: str, profile: str, policy: Policy) -> DataFrame:
+    """One row per share with ``index`` and the sealed ``share``; rows without shares stay, once."""
+    spec, secret = policy.profile("share", profile), policy.column("share", profile)
+    kept = [c for c in rows.columns if c != values]
+    spread = rows.select(*kept, F.posexplode_outer(values).alias("_at", "_value"))
+    spread = spread.withColumn("index", F.col("_at") + 1).withColumn("_share", to_base64url(F.col("_value")))
+    fields = _unsigned(secret, F.col(set_id), F.col("index"), F.col("_share"))
     spread = spread.withColumn("_tag", _tag(fields, secret, spec["algorithm"]))
     envelope = object_json({**fields, "tag": F.col("_tag")})
     share = F.when(
         F.col("index").isNotNull(), F.concat(F.lit(SHARE_PREFIX), to_base64url(utf8(envelope)))
     )
+    return spread.withColumn("share", share).select(*kept, "index", "share")
+
+
+def split_secret(
+    df: DataFrame,
+    col: str,
+    profile: str,
+    policy: Policy,
+    ref: str,
+    on_error: str = "quarantine",
+    pos: str | None = None,
+):
+    """One row per share: the input columns without the secret, ``set_id, index, share``.
+
+    Rows that fail a check come back once, without a share and with their ``error``; with
+    ``on_error='fail'`` the first of them in ``pos`` order refuses the frame.
+    """
+    if on_error not in ("null", "quarantine", "fail"):
+        raise ValueError(f"unknown on_error: {on_error}")
+    require_unique_refs(df, ref)
+    made = compute_once(df, {"error": first_error(*secret_errors(col, profile, policy, ref))})
+    made = with_share_bytes(made, col, profile, policy, ref, F.col("error").isNull())
+    spread = exploded_shares(made, "set_id", "share_bytes", profile, policy)
     keep = [c for c in df.columns if c != col]
-    out = spread.select(*keep, "set_id", "index", share.alias("share"), "error")
+    out = spread.select(*keep, "set_id", "index", "share", "error")
     if on_error == "null":
         return out
     if on_error == "fail":

@@ -103,53 +103,81 @@ def tokenize(
     often and wherever they are computed, and nothing has to be cached. Write the vault rows
     first: a crash then leaves vault rows without a token, never the other way round.
     """
-    spec, secret = policy.profile("token", profile), policy.column("token", profile)
-    run = policy.random_column()
+    secret = policy.column("token", profile)
     require_unique_refs(df, ref)
     meta = F.lit(None).cast("string")
     if metadata:  # parsed once; checks and canonical form both read the variant
         df = compute_once(df, {"_variant": F.try_parse_json(metadata)})
         meta = F.to_json("_variant")
     problem = first_error(
-        lifecycle_error(secret["key_status"], "new"),
-        P.ref_error(F.col(ref).cast("string")),
-        P.text_error("plaintext", col),
-        error_when(
-            F.char_length(F.col(col)) > secret["max_plaintext_len"],
-            "invalid_input",
-            "plaintext exceeds tokenization profile maximum length",
-        ),
+        *token_plain_errors(col, profile, policy, ref),
         *([P.metadata_error(metadata, parsed=F.col("_variant"))] if metadata else []),
     )
-    said = F.coalesce(meta, F.lit(""))
-    raw = keyed_random(run, f"token|{profile}|{col}", spec["token_len"], ref, col, said)
-    token = F.concat(F.lit(spec["token_prefix"] + "_"), to_base64url(raw))
+    token = new_token(col, profile, policy, ref, F.coalesce(meta, F.lit("")))
     done = compute_once(df, {"error": problem})
     done = done.withColumn("token", F.when(F.col("error").isNull(), token))
     done = done.select(*[c for c in done.columns if c != "error"], "error")
 
+    stored = done.filter(F.col("error").isNull() & F.col(col).isNotNull())
+    stored = with_vault_data(stored, "token", col, profile, policy, ref, meta, created_at)
+    data = F.col("data")
+    vault = stored.select(secret["kid"].alias("kid"), "hashid", data.alias("data"))
+    return done.drop("_variant"), vault
+
+
+def with_vault_data(
+    rows: DataFrame,
+    token_col: str,
+    col: str,
+    profile: str,
+    policy: Policy,
+    ref: str,
+    meta: Column | None = None,
+    created_at: str | None = None,
+) -> DataFrame:
+    """Adds ``hashid`` and ``data``, what the vault stores for a token; NULL without a token."""
+    secret, run = policy.column("token", profile), policy.random_column()
     payload = object_json(
         {
             "created_at": F.lit(created_at or str(int(time.time()))),
-            "metadata": meta,
+            "metadata": F.lit(None).cast("string") if meta is None else meta,
             "plaintext": F.col(col),
             "profile": secret["name"],
         }
     )
-    stored = done.filter(F.col("error").isNull() & F.col(col).isNotNull())
-    stored = compute_once(
-        stored, {"hashid": token_hash(F.col("token"), secret), "_payload": payload}
-    ).withColumn("_aad", _data_aad(secret, F.col("hashid")))
+    hashid = F.when(F.col(token_col).isNotNull(), token_hash(F.col(token_col), secret))
+    made = compute_once(rows, {"hashid": hashid, "_payload": payload})
+    made = made.withColumn("_aad", _data_aad(secret, F.col("hashid")))
     nonce = keyed_random(run, f"vault|{profile}|{col}", NONCE_BYTES, ref, "_payload", "_aad")
-    stored = compute_once(stored, {"_nonce": nonce})
-    sealed = gcm_encrypt(
-        utf8("_payload"), secret["data_key"], F.col("_nonce"), utf8(F.col("_aad"))
-    )
+    made = compute_once(made, {"_nonce": nonce})
+    sealed = gcm_encrypt(utf8("_payload"), secret["data_key"], F.col("_nonce"), utf8(F.col("_aad")))
     data = F.concat_ws(
         ".", to_base64(sealed), to_base64(F.col("_nonce")), to_base64(utf8(F.col("_aad")))
     )
-    vault = stored.select(secret["kid"].alias("kid"), "hashid", data.alias("data"))
-    return done.drop("_variant"), vault
+    data = F.when(F.col("hashid").isNotNull(), data)
+    return made.withColumn("data", data).drop("_payload", "_aad", "_nonce")
+
+
+def new_token(col: str, profile: str, policy: Policy, ref: str, said: Column | None = None) -> Column:
+    """A random token; a function of the run key and of all that is sealed."""
+    spec, run = policy.profile("token", profile), policy.random_column()
+    said = F.lit("") if said is None else said
+    raw = keyed_random(run, f"token|{profile}|{col}", spec["token_len"], ref, col, said)
+    return F.concat(F.lit(spec["token_prefix"] + "_"), to_base64url(raw))
+
+
+def token_plain_errors(col: str, profile: str, policy: Policy, ref: str) -> list[Column]:
+    secret = policy.column("token", profile)
+    return [
+        lifecycle_error(secret["key_status"], "new"),
+        P.ref_error(F.col(ref).cast("string")),
+        P.text_error("plaintext", col),
+        error_when(
+            F.char_length(F.col(col)) > secret["max_plaintext_len"],
+            "invalid_input",
+            "plaintext exceeds tokenization profile maximum length",
+        ),
+    ]
 
 
 def _hashed(df: DataFrame, token_col: str, spec: dict, secret: Column) -> DataFrame:

@@ -76,6 +76,14 @@ def write_once(spark: SparkSession, path: str, text: str) -> str:
         stream.close()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``new_scratch`` named, once its contents are used."""
+    if not path.startswith(shared_dir(spark).rstrip("/") + "/"):
+        raise ValueError("only scratch folders can be removed")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize in the shared folder, so that a lost executor cannot change the rows."""
     shared_dir(df.sparkSession)

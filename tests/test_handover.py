@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.catalog.fixtures import key_ring, policy_document
+from cloakframe.catalog.fixtures import key_ring, kid_of, policy_document
 from cloakframe.catalog.streams import run_batches, stream_frame
 from cloakframe.operators import audit as A
 from cloakframe.operators import commitments
@@ -17,7 +17,7 @@ from cloakframe.operators import tokens as tok
 from cloakframe.plans.jobs import DUPLICATE_REF, JobError
 from cloakframe.plans.keys import RunKey
 from cloakframe.plans.policy import Policy
-from cloakframe.plans.protect import Step
+from cloakframe.plans.protect import Step, protect_and_store
 from cloakframe.sources import audit_log as L
 from cloakframe.sources import tables as T
 from cloakframe.streaming import streams as S
@@ -104,3 +104,21 @@ def test_a_summary_stops_at_the_first_bad_line(spark):
     linked = A.link_lines(L.parse_lines(log))
     assert A.verify_chain(linked).first().bad_line == 16
     assert {r.chain_id: r.records for r in A.chain_summary(linked).collect()} == {chains[0]: 11, chains[1]: 4}
+
+
+def test_seven_jobs_from_one_stage_without_plaintext(spark, policy):
+    rows = spark.createDataFrame([("a", "1234567890"), ("b", "2345678901"), ("c", "12"), ("d", None)], "ref string, v string")
+    steps = [
+        Step("mask", "v", "account", "shown"), Step("tokenize", "v", "account", "token", ref="ref"),
+        Step("encrypt", "v", kid_of("main"), "sealed", ref="ref"), Step("split", "v", "secret", "set_id", ref="ref"),
+    ]
+    made = protect_and_store(rows, steps, policy, drop=["v"])
+    assert sorted(r.ref for r in made.rows.collect()) == ["a", "b", "d"]
+    assert [(r.ref, "v" in r) for r in made.rejects.collect()] == [("c", False)]
+    assert made.vault.count() == 2 and made.shares["set_id"].count() == 10
+    assert not {"1234567890", "2345678901", "12"} & values_below(made.path)
+    assert sum("FileScan" in line for line in made.rows._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
+    made.erase()
+    assert not Path(made.path).exists()
+    with pytest.raises(JobError, match="duplicated ref"):
+        protect_and_store(rows.withColumn("ref", F.lit("same")), steps, policy, drop=["v"])
