@@ -37,6 +37,7 @@ ANCHORS = 50  # every so many ids is an anchor
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95  # a negative has so many hundredths of the positive's score
 PAGE, LEAF = 2048, 64
+STEP = 4  # leaves that an anchor takes from its queue at once
 RANGE_PAGES = 8  # pages that a range of the first coordinate is expected to fill
 _PAGE = "page long, lo binary, hi binary, ids binary, labels binary, vectors binary, sizes binary, low binary, high binary"
 
@@ -142,23 +143,24 @@ _LEAST = np.iinfo(np.int64).min
 _NO_ID = np.iinfo(np.int64).max
 
 
-def _best(score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row: higher scores first, then smaller ids."""
-    order = np.lexsort((who, -np.maximum(score, _LEAST + 1)), axis=-1)[..., :k]
-    return np.take_along_axis(score, order, -1), np.take_along_axis(who, order, -1)
+def _merge(score: np.ndarray, who: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> None:
+    """Let what was found (rows, windows, scores, ids) into the k best of each row and window, in place.
 
-
-def _take(score, who, rows, found, ids, least) -> None:
-    """Let what was found for ``rows`` into their k best, if it is not below ``least``; in place."""
-    least = np.maximum(np.maximum(least, score[rows, -1]), _LEAST + 1)
-    better = np.flatnonzero(found.max(1) >= least)
-    if not len(better):
-        return
-    rows, found = rows[better], found[better]
-    found = np.where(found >= least[better, None], found, _LEAST)
-    near = np.where(found == _LEAST, _NO_ID, ids)
-    both = np.concatenate([score[rows], found], 1), np.concatenate([who[rows], near], 1)
-    score[rows], who[rows] = _best(*both, score.shape[1])
+    Higher scores come first, then smaller ids.
+    """
+    windows, k = score.shape[1:]
+    at = np.nonzero(who != _NO_ID)
+    parts = [(at[0], at[1], score[at], who[at]), *found]
+    row, window, value, ids = (np.concatenate(p) for p in zip(*parts))
+    key = row * windows + window
+    order = np.lexsort((ids, -value, key))
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    place = np.arange(len(key))
+    place = place - np.maximum.accumulate(np.where(new, place, 0))
+    top = place < k
+    for held, values in ((score, value), (who, ids)):
+        held.reshape(-1, k)[key[top], place[top]] = values[order][top]
 
 
 class Page:
@@ -179,54 +181,70 @@ class Page:
         return order, np.take_along_axis(least, order, 1), np.take_along_axis(most, order, 1)
 
     def turns(self, a: np.ndarray, going):
-        """Anchors and leaves to look at: in turn t each anchor takes leaf t of its queue.
+        """Anchors, leaves and scores, turn by turn: each anchor takes the next ``STEP`` leaves of its queue.
 
-        ``going(rows, least, most)`` says which anchors still want it, and which have ended for good.
+        ``going(rows, least, most)`` says which anchors still want a leaf, and which have ended for good.
         """
         order, least, most = self.queue(a)
         rows = np.arange(len(a))
-        for turn in range(order.shape[1]):
-            wanted, ended = going(rows, least[rows, turn], most[rows, turn])
-            now = rows[wanted]
-            leaf = order[now, turn]
-            for t in np.unique(leaf).tolist():
-                mine = now[leaf == t]
+        exact = float(np.abs(a).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * a.shape[1] < 2.0**53
+        left, right = (a.astype(float), self.x.astype(float)) if exact else (a, self.x)
+        for turn in range(0, order.shape[1], STEP):
+            asked, leaf = [], []
+            for at in range(turn, min(turn + STEP, order.shape[1])):
+                wanted, ended = going(rows, least[rows, at], most[rows, at])
+                asked.append(rows[wanted])
+                leaf.append(order[rows[wanted], at])
+            asked, leaf = np.concatenate(asked), np.concatenate(leaf)
+            by_leaf, looked = np.argsort(leaf, kind="stable"), []
+            for mine in np.split(by_leaf, np.flatnonzero(np.diff(leaf[by_leaf])) + 1) if len(leaf) else []:
+                t, mine = leaf[mine[0]], asked[mine]
                 part = slice(self.at[t], self.at[t + 1])
-                yield mine, part, _dot(a[mine], self.x[part])
+                looked.append((mine, part, (left[mine] @ right[part].T).astype(np.int64)))
+            yield looked
             rows = rows[~ended]
             if not len(rows):
                 break
 
     def positives(self, ids, labels, a, kth, k=POSITIVES):
         """The best k rows of each anchor's label, none of them strictly below ``kth``."""
-        score, who = np.full((len(a), k), _LEAST), np.full((len(a), k), _NO_ID)
+        score, who = np.full((len(a), 1, k), _LEAST), np.full((len(a), 1, k), _NO_ID)
+
+        def least_of(rows):
+            return np.maximum(np.maximum(kth[rows], score[rows, 0, -1]), _LEAST + 1)
 
         def going(rows, least, most):
-            out = most < np.maximum(score[rows, -1], kth[rows])
+            out = most < least_of(rows)
             return ~out, out
 
-        for mine, part, found in self.turns(a, going):
-            other = (self.labels[part] != labels[mine, None]) | (self.ids[part] == ids[mine, None])
-            found = np.where(other, _LEAST, found)
-            _take(score, who, mine, found, self.ids[part], kth[mine])
-        return score, who
+        for looked in self.turns(a, going):
+            found = []
+            for mine, part, scores in looked:
+                good = (self.labels[part] == labels[mine, None]) & (self.ids[part] != ids[mine, None])
+                i, j = np.nonzero(good & (scores >= least_of(mine)[:, None]))
+                found.append((mine[i], np.zeros(len(i), np.int64), scores[i, j], self.ids[part][j]))
+            _merge(score, who, found)
+        return score[:, 0], who[:, 0]
 
     def negatives(self, labels, a, low, high, k=NEGATIVES):
         """The best k rows of other labels in each window [low, high] (anchor, window) of scores."""
         score, who = np.full((*low.shape, k), _LEAST), np.full((*low.shape, k), _NO_ID)
 
         def going(rows, least, most):
-            full = score[rows, :, -1]
             # a window is done with a leaf below it or strictly below its k-th, not with one above it
-            out = (most[:, None] < np.maximum(low[rows], full)).all(1)
-            inside = (most[:, None] >= np.maximum(low[rows], full)) & (least[:, None] <= high[rows])
-            return inside.any(1), out
-
-        for mine, part, found in self.turns(a, going):
-            same = self.labels[part] == labels[mine, None]
-            for w in range(low.shape[1]):
-                hit = np.where(same | (found > high[mine, w, None]), _LEAST, found)
-                _take(score[:, w], who[:, w], mine, hit, self.ids[part], low[mine, w])
+            out = most[:, None] < np.maximum(low[rows], score[rows, :, -1])
+            inside = ~out & (least[:, None] <= high[rows])
+            return inside.any(1), out.all(1)
+
+        for looked in self.turns(a, going):
+            found = []
+            for mine, part, scores in looked:
+                scores = np.where(self.labels[part] == labels[mine, None], _LEAST, scores)
+                least = np.maximum(np.maximum(low[mine], score[mine, :, -1]), _LEAST + 1)
+                for w in np.flatnonzero((scores.max(1)[:, None] >= least).any(0)).tolist():
+                    i, j = np.nonzero((scores >= least[:, w, None]) & (scores <= high[mine, w, None]))
+                    found.append((mine[i], np.full(len(i), w), scores[i, j], self.ids[part][j]))
+            _merge(score, who, found)
         return score, who
 
 
