@@ -67,6 +67,7 @@ _DOCUMENT = (
 )
 _CHAIN_ID = "^[0-9A-Fa-f]{32}\\z"
 _SECONDS = "^[0-9]+\\z"
+_COMPRESSED = "\\.(gz|bz2|lz4|snappy|zst|deflate|xz)\\z"
 
 
 def json_of(source: str, names: list[str]) -> Column:
@@ -99,6 +100,30 @@ def scan_lines(spark: SparkSession, path: str, unit: str = "file") -> DataFrame:
     )
 
 
+def cut_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``_blk, _at`` of the last line of every file that does not end with a line feed.
+
+    Lines and their line feeds add up to the size of the file unless the last one is missing. This
+    is a second pass over the text, with one partial sum per task and file; compressed files, whose
+    size says nothing, are left out.
+    """
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    start = F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
+    file = F.col("_metadata.file_path")
+    sizes = text.select(
+        file.alias("file"),
+        F.struct(start.alias("start"), F.monotonically_increasing_id().alias("at")).alias("place"),
+        F.octet_length("value").alias("n"),
+        F.col("_metadata.file_size").alias("size"),
+    )
+    ends = sizes.where(~F.lower("file").rlike(_COMPRESSED)).groupBy("file").agg(
+        F.sum(F.col("n") + 1).alias("read"), F.max("size").alias("size"), F.max("place").alias("last")
+    )
+    return ends.where("read > size").select(
+        F.concat("file", F.lit("|"), F.col("last.start")).alias("_blk"), F.col("last.at").alias("_at")
+    )
+
+
 def _reason(*checks: tuple[Column, str]) -> Column:
     bad, text = checks[0]
     case = F.when(bad, F.lit(text))
@@ -126,8 +151,10 @@ def parse_lines(lines: DataFrame, alg: str = DEFAULT_HASH) -> DataFrame:
         .otherwise("other")
     )
     made = made.withColumn("kind", kind)
+    cut = F.col("_cut") if "_cut" in lines.columns else F.lit(False)
     general = _reason(
         (F.octet_length(line) > RECORD_MAX_BYTES, "record exceeds maximum size"),
+        (cut, "record is truncated (missing trailing newline)"),
         (line == "", "record is empty"),
         (_not(valid), "record contains invalid JSON"),
         (F.col("kind") == "other", "record version is unsupported"),
@@ -188,8 +215,11 @@ def _missing(names: list[str]) -> Column:
 def read_audit_log(
     spark: SparkSession, path: str, unit: str = "file", alg: str = DEFAULT_HASH
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(records, checkpoints, bad lines)``."""
-    return split_lines(parse_lines(scan_lines(spark, path, unit), alg))
+    """``(records, checkpoints, bad lines)``; a last line without its line feed is bad."""
+    cut = cut_lines(spark, path).withColumn("_cut", F.lit(True))
+    lines = scan_lines(spark, path, unit).join(cut, ["_blk", "_at"], "left")
+    lines = lines.withColumn("_cut", F.coalesce("_cut", F.lit(False)))
+    return split_lines(parse_lines(lines, alg))
 
 
 def split_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -141,3 +141,17 @@ def test_same_events_give_same_chain(spark, records):
     )
     built = A.build_chain(again.repartition(5), ["actor"], ["at"], "t", segment=25)
     assert {r["line"] for r in built.collect()} == {r["line"] for r in records.collect()}
+
+
+def test_a_last_line_without_line_feed_is_bad(spark, tmp_path):
+    events = spark.range(8).selectExpr("id", "'e' as event", "'ü' as actor", "cast(id as string) as timestamp")
+    built = A.build_chain(events, ["actor"], ["id"], "t", segment=20)
+    lines = [r.line for r in sorted(built.select("place", "line").collect(), key=lambda r: r.place)]
+    (tmp_path / "whole.log").write_bytes("".join(f"{x}\n" for x in lines).encode())
+    (tmp_path / "cut.log").write_bytes("\n".join(lines).encode())
+    (tmp_path / "empty.log").write_bytes(b"")
+    records, _, bad = L.read_audit_log(spark, str(tmp_path))
+    assert records.count() == 2 * len(lines) - 1
+    (found,) = bad.collect()
+    assert found.line == lines[-1] and found.log.endswith("cut.log")
+    assert found.reason == "record is truncated (missing trailing newline)"
