@@ -13,7 +13,8 @@ Words between blanks are encoded independently by this vocabulary, so tasks reme
 of short words (a bounded number of them, see ``MEMORY``) and merge only new ones.
 
 Definite results: null and empty texts give no tokens and decode to an empty text; equal rows
-get equal results.
+get equal results. An empty table has no rows; other columns,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations

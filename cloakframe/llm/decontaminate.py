@@ -11,7 +11,8 @@ Terms travel as 128-bit word hashes. The benchmark is handled in blocks of at mo
 the benchmark is.
 
 Definite results: null text or item has no words; items with a null id count as hits but are not
-listed; rows with equal ids are separate documents (or one item with several texts).
+listed; rows with equal ids are separate documents (or one item with several texts). An empty
+table has no rows, an empty benchmark no hits; other columns are left alone.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ marginal favours content are the text.
 
 Scripts, styles, form controls and other text that a browser doesn't show as page text are no
 leaves. Hidden elements end with their end tag, with that of a block around them or with what can't
-stand in them (anything that a head can't hold ends the head). Definite results: null or empty html gives an empty text; repeated rows get equal results;
-nesting may be of any depth.
+stand in them (anything that a head can't hold ends the head).
+
+Definite results: null or empty html gives an empty text; repeated rows get equal results;
+nesting may be of any depth. An empty table has no rows; other columns are left alone.
 """
 
 from __future__ import annotations

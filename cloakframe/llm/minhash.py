@@ -20,7 +20,8 @@ long as the two are still in different components. A block emits the links that
 never its pairs. Nothing is capped: turns only leave less for the last step.
 
 Definite results: texts without words are linked to nothing but equal texts; null counts as
-empty; repeated rows are copies.
+empty; repeated rows are copies. An empty table has no rows; other columns, whatever their names,
+are left alone.
 """
 
 from __future__ import annotations

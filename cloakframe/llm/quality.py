@@ -11,7 +11,8 @@ The driver only sees tables of bounded size: bins, a histogram and a few sums. L
 (crc32 of the id, modulo 5) are never read.
 
 Definite results: null and empty texts have the features of no words; a null host or path is a
-site of its own; without labels of both classes the evidence is even and scores are 0.5.
+site of its own; without labels of both classes the evidence is even and scores are 0.5. An
+empty table has no rows; other columns are left alone.
 """
 
 from __future__ import annotations

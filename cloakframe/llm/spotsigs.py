@@ -6,16 +6,17 @@ fingerprint is the set of signatures, as 32-bit hashes in order. A text without
 content word as an anchor, one without content words every word; a text without words has the
 empty fingerprint.
 
-Likeness is the Jaccard similarity of two sets. Sets are first put into partitions by length: sets
-of far partitions cannot reach a likeness, as the shorter is too short, and are not compared
-(``at_least``); within reach the exact value is computed.
+Likeness is the Jaccard similarity of two sets. Where a caller asks for a likeness of ``at_least`` so
+much, sets whose partitions by length are too far apart to reach it are not compared and count
+as 0; the registered query needs exact values for all pairs and asks for none.
 
 Comparing each document with the next in order needs no global sort: ranges of ids are buckets,
 each gets a copy of the first row of the next one, and tasks walk through their buckets. Texts are
 shuffled once, compressed.
 
 Definite results: null is an empty text; null ids come last in descending order; of equal ids the
-one with the smaller text hash comes first; two empty fingerprints have likeness 1.
+one with the smaller text hash comes first; two empty fingerprints have likeness 1. An empty
+table has no rows; other columns are left alone.
 """
 
 from __future__ import annotations

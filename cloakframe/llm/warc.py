@@ -12,7 +12,7 @@ are computed on the way. A reader holds one chunk and, if asked for, one payload
 Of equal payloads (of ``least`` bytes or more) the one with the least page_id is stored as a
 response; the others become revisit records that name it. Definite results: null html is empty;
 null ids come last in their group; rows that repeat the least id are all responses; if no row
-of a group has an id, all are responses.
+of a group has an id, all are responses. An empty table gives no records; other columns are left alone.
 """
 
 from __future__ import annotations
