@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions.digests import hmac_hex, python_hash
 from cloakframe.functions.text import object_json, sanitize, utf8
 from cloakframe.plans.ordering import carry_between, join_carried, row_numbers
-from cloakframe.plans.runtime import ship_package
+from cloakframe.plans.runtime import cut_lineage, ship_package
 from cloakframe.sources.audit_log import (
     BODY_FIELDS,
     CHECKPOINT_EVERY,
@@ -197,9 +197,10 @@ def link_lines(parsed: DataFrame, seal: Column | None = None) -> DataFrame:
     hash of a record or the head hash of a checkpoint).
     Two levels: a window inside each file split, and one summary row per split that carries the
     last record and the line count over to the next one. Nothing is ordered across a whole log.
-    Both levels read one shuffle of the few fields they need, so a line is parsed and hashed once.
+    The few fields all levels need are shuffled and stored once, so a line is parsed and hashed once
+    however often the result is read.
     """
-    lines = _slim(parsed, seal).repartition("log", "_blk")
+    lines = cut_lineage(_slim(parsed, seal).repartition("log", "_blk"))
     is_record, is_checkpoint = F.col("kind") == "record", F.col("kind") == "checkpoint"
     lines = lines.withColumn("_head", F.when(is_record, F.struct("chain_id", "sequence", "hash")))
     newest = F.max(
@@ -313,13 +314,20 @@ def verify_checkpoints(linked: DataFrame) -> DataFrame:
     )
 
 
-def chain_summary(linked: DataFrame) -> DataFrame:
+def chain_summary(linked: DataFrame, per_block: int = 65_536) -> DataFrame:
     """A-3: one row per chain: size, head, and what its checkpoints covered.
 
     Verification stops at the first bad line of a log: neither that line nor any behind it counts.
+    A whole folder may be one log, so lines learn of it by log and block of ``per_block`` lines: a
+    log is neither joined nor aggregated in one task.
     """
-    bad = linked.where(F.col("reason").isNotNull()).groupBy("log").agg(F.min("line_no").alias("_bad"))
-    linked = linked.join(bad, "log", "left").where(F.col("_bad").isNull() | (F.col("line_no") < F.col("_bad")))
+    lines = linked.withColumn("_blk", F.floor(F.col("line_no") / per_block))
+    first = F.min(F.when(F.col("reason").isNotNull(), F.col("line_no")))
+    blocks = lines.groupBy("log", "_blk").agg(first.alias("_first"))
+    so_far = Window.partitionBy("log").orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    stops = blocks.withColumn("_bad", F.min("_first").over(so_far)).where("_bad is not null").drop("_first")
+    lines = join_carried(lines, stops, ["log"])
+    linked = lines.where(F.col("_bad").isNull() | (F.col("line_no") < F.col("_bad")))
     is_record, is_checkpoint = F.col("kind") == "record", F.col("kind") == "checkpoint"
     end = F.struct(F.col("sequence").alias("s"), F.col("hash").alias("h"))
     grouped = (

@@ -131,6 +131,36 @@ def test_folder_is_one_log(spark, records, seal, tmp_path):
     assert len(verdict) == 1 and verdict[0]["valid"] and verdict[0]["lines"] == lines.count()
 
 
+def test_a_summary_keeps_no_log_in_one_task(spark, records, seal, tmp_path):
+    """A folder of many chains is one log: its chains are summed up by several tasks."""
+    lines = A.log_lines(records, A.make_checkpoints(records, seal, 10))
+    L.write_audit_log(lines, str(tmp_path / "log"))
+    linked = A.link_lines(L.parse_lines(L.scan_lines(spark, str(tmp_path / "log"), "directory")), seal)
+    old = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        chains = A.chain_summary(linked).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[1])
+    assert sum(r.records for r in chains) == records.count()
+    assert len({r.task for r in chains}) > 1
+
+
+def test_a_summary_ends_at_the_first_bad_line_in_any_block(spark, records, seal, tmp_path):
+    lines = [*texts(records, seal)]
+    at = len(lines) // 2
+    (tmp_path / "a.log").write_text("".join(f"{x}\n" for x in [*lines[:at], "{}", *lines[at:]]))
+    (tmp_path / "b.log").write_text("".join(f"{x}\n" for x in lines))
+    linked = A.link_lines(L.parse_lines(L.scan_lines(spark, str(tmp_path))), seal)
+    for per_block in (1, 7, 1000):
+        chains = A.chain_summary(linked, per_block).collect()
+        for name, n in (("a.log", at), ("b.log", len(lines))):
+            mine = [r for r in chains if r.log.endswith(name)]
+            assert sum(r.records + r.checkpoints_verified for r in mine) == n
+
+
 def test_same_events_give_same_chain(spark, records):
     again = spark.range(60).select(
         F.col("id").alias("at"),
