@@ -8,12 +8,14 @@ holds one Arrow batch, however many events one key has. They need the RocksDB st
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
+from itertools import batched
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -58,8 +60,18 @@ _VERIFY_OUT = (
 )
 
 
+SPAN = 64  # early records that share an entry of the state
+ENTRIES = 256  # entries that a task holds
+FRAME = 10_000  # records sorted at once
+
+
 class _ChainVerifier(StatefulProcessor):
-    """Advances the head of a chain; records that are early wait in a map by their sequence."""
+    """Advances the head of a chain; records that are early wait in a map by ranges of their sequence.
+
+    A call to the state store costs more than a record, so ``SPAN`` early records share an entry, and
+    an entry is read and written once for a frame (or as often as ``ENTRIES`` others come between).
+    One frame and ``ENTRIES`` entries are in memory.
+    """
 
     def __init__(self, patience_ms: int | None) -> None:
         self.patience_ms = patience_ms
@@ -69,12 +81,13 @@ class _ChainVerifier(StatefulProcessor):
         self.head = handle.getValueState(
             "head", "records bigint, last_sequence bigint, head_hash string, pending bigint, reason string"
         )
-        self.early = handle.getMapState(
-            "early", "sequence bigint", "prev_hash string, event_hash string, genesis boolean, hash_ok boolean"
-        )
+        self.early = handle.getMapState("early", "range bigint", "waiting string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         records, last, head, pending, reason = self.head.get() if self.head.exists() else (0, -1, ZERO_HASH, 0, "")
+        ranges: dict[int, dict] = {}  # entries in memory
+        changed: set[int] = set()
+        stored = pending > 0  # whether the map holds anything
 
         def step(sequence, prev_hash, event_hash, genesis, hash_ok):
             nonlocal records, last, head, reason
@@ -87,27 +100,54 @@ class _ChainVerifier(StatefulProcessor):
             else:
                 records, last, head = records + 1, sequence, event_hash
 
-        for frame in rows:
+        def entry(sequence) -> dict:
+            at = sequence // SPAN
+            if at not in ranges:
+                if len(ranges) >= ENTRIES:
+                    flush()
+                found = self.early.getValue((at,)) if stored else None
+                ranges[at] = {} if found is None else {r[0]: r[1:] for r in json.loads(found[0])}
+            return ranges[at]
+
+        def advance():
+            nonlocal pending
+            while pending and not reason and last + 1 in entry(last + 1):
+                waiting = entry(last + 1).pop(last + 1)
+                changed.add((last + 1) // SPAN)
+                pending -= 1
+                step(last + 1, *waiting)
+
+        def flush():
+            nonlocal stored
+            for at in changed:
+                if ranges[at]:
+                    self.early.updateValue((at,), (json.dumps([[s, *r] for s, r in ranges[at].items()]),))
+                    stored = True
+                elif stored:
+                    self.early.removeKey((at,))
+            ranges.clear()
+            changed.clear()
+
+        for frame in batched(rows, FRAME):
             if reason:
                 continue  # a failed chain stays failed
-            for row in frame.sort_values("sequence").itertuples(index=False):
+            for row in sorted(frame, key=lambda r: r.sequence):
                 at = int(row.sequence)
                 record = (row.prev_hash, row.event_hash, bool(row.genesis), bool(row.hash_ok))
-                if at <= last or (at > last + 1 and pending and self.early.containsKey((at,))):
+                if at <= last or (at > last + 1 and pending and at in entry(at)):
                     reason = "sequence is not consecutive"
                 elif at > last + 1:
-                    self.early.updateValue((at,), record)
+                    entry(at)[at] = record
+                    changed.add(at // SPAN)
                     pending += 1
                 else:
                     step(at, *record)
-                    while pending and not reason and self.early.containsKey((last + 1,)):
-                        waiting = self.early.getValue((last + 1,))
-                        self.early.removeKey((last + 1,))
-                        pending -= 1
-                        step(last + 1, *waiting)
+                    advance()
                 if reason:
                     break
-        if reason and pending:
+            if not reason:
+                flush()
+        if reason and (pending or stored):
             self.early.clear()
             pending = 0
         self.head.update((records, last, head, pending, reason))
@@ -122,7 +162,7 @@ class _ChainVerifier(StatefulProcessor):
         if pending:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         records, last, head, pending, reason = self.head.get()
         if pending and not reason:
             reason = "sequence is not consecutive"
@@ -131,9 +171,9 @@ class _ChainVerifier(StatefulProcessor):
             yield self._row(key, records, last, head, 0, reason)
 
     @staticmethod
-    def _row(key, records, last, head, pending, reason) -> pd.DataFrame:
+    def _row(key, records, last, head, pending, reason) -> Row:
         row = (key[0], records, last, head, pending, not reason and not pending, reason or None)
-        return pd.DataFrame([row], columns=field_names(_VERIFY_OUT))
+        return Row(*field_names(_VERIFY_OUT))(*row)
 
     def close(self) -> None:
         pass
@@ -160,7 +200,7 @@ def verify_chain_stream(
         (F.col("event") == GENESIS_EVENT).alias("genesis"),
         (record_hash("_r", alg) == F.col("event_hash")).alias("hash_ok"),
     )
-    return slim.groupBy("chain_id").transformWithStateInPandas(
+    return slim.groupBy("chain_id").transformWithState(
         statefulProcessor=_ChainVerifier(patience_ms),
         outputStructType=_VERIFY_OUT,
         outputMode="Update",
