@@ -24,10 +24,11 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def stream_frame(spark: SparkSession, df: DataFrame, parts: int = 3) -> DataFrame:
-    """A frame as a stream of several files."""
+    """A frame as a stream of ``parts`` micro-batches, each of as many files as the session has cores."""
     path = new_scratch(spark, "stream")
-    df.repartition(parts).write.parquet(path)
-    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    df.repartition(parts * spark.sparkContext.defaultParallelism).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())  # few rows make fewer files
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // parts)))
     return reader.parquet(path)
 
 

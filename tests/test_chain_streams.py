@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.catalog.fixtures import kid_of
-from cloakframe.catalog.streams import run_batches, run_to_files
+from cloakframe.catalog.fixtures import kid_of, wide
+from cloakframe.catalog.streams import run_batches, run_to_files, stream_frame
 from cloakframe.operators import audit as A
 from cloakframe.plans.runtime import new_scratch
 from cloakframe.sources import audit_log as L
@@ -52,6 +52,48 @@ def test_a_gap_stays_open_and_damage_is_final(spark, chain):
     assert (got.records, got.valid, got.reason) == (5, False, "event hash does not match record content")
 
 
+def test_early_records_share_entries_of_the_state(spark):
+    """300 records without the first are 5 or 6 entries, whichever way they come."""
+    events = spark.range(300).selectExpr("id", "'login' as event", "'u' as actor", "cast(id as string) as timestamp")
+    records = A.build_chain(events, ["actor"], ["id"], "t").select(*L.RECORD_FIELDS).where("sequence > 0")
+    path, state, out = (new_scratch(spark, n) for n in ("in", "state", "out"))
+    records.coalesce(1).write.parquet(path)
+    stream = S.verify_chain_stream(spark.readStream.schema(L.RECORD).parquet(path))
+
+    def keep(batch, number):
+        batch.write.mode("append").parquet(out)
+
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state)
+    query.trigger(availableNow=True).start().awaitTermination()
+    (got,) = spark.read.parquet(out).collect()
+    assert (got.records, got.pending, got.valid) == (0, 300, False)
+    assert spark.read.format("statestore").option("stateVarName", "early").load(state).count() <= 6
+
+
+def test_long_chains_in_any_order(spark):
+    """Many early ranges over several deliveries."""
+    events = spark.range(1500).selectExpr("id", "'login' as event", "'u' as actor", "cast(id as string) as timestamp")
+    rows = A.build_chain(events, ["actor"], ["id"], "t").select(*L.RECORD_FIELDS).collect()
+    got = verified(spark, *[[r for r in rows if (r.sequence * 7919 + 1) % 3 == k] for k in range(3)])
+    assert (got.records, got.last_sequence, got.pending, got.valid) == (1501, 1500, 0, True)
+
+
+def test_wide_tables_and_streams_use_all_cores(spark, tmp_path):
+    """One row group is dealt to all cores, and so is every micro-batch."""
+    spark.range(4000).selectExpr("id as k").coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    rows = wide(spark, str(tmp_path), "t", "k")
+    cores = spark.sparkContext.defaultParallelism
+    assert len(rows.groupBy(F.spark_partition_id()).count().collect()) == cores
+    sizes = []
+    stream = stream_frame(spark, rows, parts=3).withColumn("file", F.input_file_name())
+
+    def keep(batch, _):
+        sizes.append(tuple(batch.agg(F.count("*"), F.count_distinct("file")).first()))
+
+    run_batches(spark, stream.writeStream.foreachBatch(keep))
+    assert sum(n for n, _ in sizes) == 4000 and [f for _, f in sizes] == [cores] * 3
+
+
 def test_a_stopped_stream_goes_on_behind_its_seals(spark, policy):
     """Chains of at most 5 events, sealed every 2; the stream stops twice."""
     pads = policy.seal_column(kid_of("main"), "audit")
